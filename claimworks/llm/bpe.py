@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Texts longer than `SEGMENT` characters are cut at safe boundaries first: between a
-character that is no white space and white space that follows it. No match of the
+character that is no white space and a space or line end that follows it. No match of the
 split pattern crosses such a place and none looks to its left, so the ids of the parts,
 joined, are the ids of the whole; the library then never holds more than one part.
 
@@ -30,8 +30,8 @@ from .common import read, ship, without
 RANKS = "byte_bpe_multi_50k.tiktoken"
 SEGMENT = 1 << 16
 ROWS = 256
-#: A place where the text may be cut: no white space before it, white space after it.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: A place where the text may be cut: no white space before it, a space or line end after it.
+_SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 @lru_cache(maxsize=4)
