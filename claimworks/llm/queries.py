@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from . import quality
 from .bpe import op7_bpe
+from .quality import op3_quality
 
-QUERIES = {"op7_bpe": op7_bpe}
+QUERIES = {"op3_quality": op3_quality, "op7_bpe": op7_bpe}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE}
