@@ -5,7 +5,8 @@ from __future__ import annotations
 from . import quality
 from .bpe import op7_bpe
 from .quality import op3_quality
+from .simhash import op6_simhash
 
-QUERIES = {"op3_quality": op3_quality, "op7_bpe": op7_bpe}
+QUERIES = {"op3_quality": op3_quality, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
 
 ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE}
