@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality
 from .bpe import op7_bpe
+from .mixing import op4_mixing
 from .quality import op3_quality
 from .simhash import op6_simhash
 
-QUERIES = {"op3_quality": op3_quality, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
+QUERIES = {"op4_mixing": op4_mixing, "op3_quality": op3_quality, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
 
-ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE}
