@@ -97,7 +97,7 @@ def locate(words: Words, phrases: list[int], length: int, shard: int = SHARD) ->
     joined, start = _normal(words)
     text = joined.decode("latin-1")
     here = np.zeros(len(words), bool)
-    ends = np.append(start[1:], len(joined)).tolist()
+    ends = (start + (words.end - words.start) + 1).tolist()
     begin = start.tolist()
     by_start = np.full(len(text) + 1, -1, np.int64)
     by_start[start] = np.arange(len(words))

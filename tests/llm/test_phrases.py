@@ -29,7 +29,12 @@ def test_matches_brute_force(spark, shard, monkeypatch):
         parts = [rng.choice(made) if rng.random() < 0.4 else " ".join(str(rng.random()) for _ in range(rng.randint(0, 40))) for _ in range(3)]
         parts = [p[rng.randint(0, 20) :] for p in parts]
         rows.append((i, rng.choice([" ", "\n", " \t"]).join(parts)))
+    rows += [(300 + i, " ".join(made[i % 5].split()[-25 - i // 5 :])) for i in range(40)]  # the same ends, whole documents and parts
+    for k in range(40):  # a passage at the end of one document and within the next
+        passage = " ".join(str(rng.random()) for _ in range(22))
+        rows += [(400 + 2 * k, passage), (401 + 2 * k, passage + " and more")]
     rows += [(200, None), (201, ""), (202, "same " * 90), (203, "same " * 500), (204, made[0]), (205, made[0])]
+    rows.sort()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", phrases.F.lit(1)).repartition(5)
     monkeypatch.setattr(phrases.pack, "__defaults__", ("text", 2000))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in phrases.remove_repeats(df, shard=shard).collect()}
