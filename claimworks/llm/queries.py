@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from . import mixing, quality
 from .bpe import op7_bpe
+from .lm import op9_lm
 from .mixing import op4_mixing
 from .phrases import op5_phrases
 from .quality import op3_quality
 from .simhash import op6_simhash
 
-QUERIES = {"op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_phrases": op5_phrases, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe}
+QUERIES = {"op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_phrases": op5_phrases, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op9_lm": op9_lm}
 
 ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE}
