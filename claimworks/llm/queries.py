@@ -11,7 +11,8 @@ from .mixing import op4_mixing
 from .phrases import op5_phrases
 from .quality import op3_quality
 from .simhash import op6_simhash
+from .toxicity import op1_toxicity
 
-QUERIES = {"op2_language": op2_language, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_phrases": op5_phrases, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_html": op8_html, "op9_lm": op9_lm}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_phrases": op5_phrases, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_html": op8_html, "op9_lm": op9_lm}
 
 ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE}
