@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .common import ship, write_table
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 SCHEMA = "block long, n long, data binary"
 
 _SPACE = np.zeros(256, bool)
@@ -98,7 +98,10 @@ class Words:
         n = len(self.raw)
         power = _powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+        body = total[1:]
+        np.add(self.raw, np.uint64(1), out=body)
+        body *= power[:n]
+        np.cumsum(body, out=body)
         return mixed((total[self.end] - total[self.start]) * _inverses(n + 1)[self.start])
 
 

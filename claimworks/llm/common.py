@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -27,7 +28,12 @@ def fold(column: str, buckets: int) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, through Spark's own file server."""
+    """Send this package to the executors once per application, through Spark's own file server.
+
+    Batches to Python workers are kept small, since a row may hold a long text.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -58,11 +64,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark deletes them when the driver has dropped their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def write_table(df: DataFrame, tag: str) -> str:
     """Write `df` as Parquet into the shared folder; return the path. It goes when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimworks-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     atexit.register(_drop_quietly, spark, path)
     return path
 
