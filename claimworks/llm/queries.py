@@ -7,12 +7,13 @@ from .bpe import op7_bpe
 from .html import op8_html
 from .language import op2_language
 from .lm import op9_lm
+from .media import op10_media
 from .mixing import op4_mixing
 from .phrases import op5_phrases
 from .quality import op3_quality
 from .simhash import op6_simhash
 from .toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_phrases": op5_phrases, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_html": op8_html, "op9_lm": op9_lm}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_phrases": op5_phrases, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_html": op8_html, "op9_lm": op9_lm, "op10_media": op10_media}
 
 ORACLES: dict[str, str] = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE}
