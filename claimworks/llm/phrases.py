@@ -29,14 +29,16 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .blocks import Words, pack, pack_bytes, runs, unpack_bytes
-from .common import materialize, read
+from .common import drop_path, materialize, read, release, without, write_table
 
 WINDOW = 20
 PHRASE = 6
 SHARD = 20_000
+#: Windows in a row of what a block sends on.
+ROW = 1 << 14
 
 
 def _texts(table: pa.Table, text: str = "text") -> list[bytes | None]:
@@ -99,8 +101,8 @@ def locate(words: Words, phrases: list[int], length: int, shard: int = SHARD) ->
     here = np.zeros(len(words), bool)
     ends = (start + (words.end - words.start) + 1).tolist()
     begin = start.tolist()
-    by_start = np.full(len(text) + 1, -1, np.int64)
-    by_start[start] = np.arange(len(words))
+    by_start = np.full(len(text) + 1, -1, np.int32)
+    by_start[start] = np.arange(len(words), dtype=np.int32)
     for at in range(0, len(phrases), shard):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for place in phrases[at : at + shard]:
@@ -134,7 +136,7 @@ def _normal(words: Words) -> tuple[bytes, np.ndarray]:
 def _windows(window: int, phrase: int, shard: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        outs = {"j": [], "window": [], "doc": [], "payload": []}
+        rows: dict[str, list] = {"base": [], "windows": [], "docs": [], "payload": []}
         for data in left.column("data"):
             table = unpack_bytes(data.as_py())
             ids = table.column("key").to_pylist()
@@ -159,12 +161,14 @@ def _windows(window: int, phrase: int, shard: int):
             bits = np.zeros(n, bool)
             bits[later] = True
             payload = pack_bytes(pa.table({"later": pa.array([np.packbits(bits).tobytes()]), "first": pa.array([firsts.astype(np.int32).tobytes()])}))
-            outs["j"].append(np.concatenate([[-1], np.arange(len(firsts))]).astype(np.int32))
-            outs["window"].append(np.concatenate([np.zeros(1, np.uint64), number[order[fresh]]]).view(np.int64))
-            outs["doc"].append(pa.array([None, *[ids[i] for i in doc[order[fresh]].tolist()]], pa.int64()))
-            outs["payload"].append(pa.array([payload] + [None] * len(firsts), pa.binary()))
-        j, window_, doc, payload = (pa.concat_arrays([pa.array(x) for x in outs[k]]) for k in ("j", "window", "doc", "payload"))
-        return pa.table({"block": pa.array(np.full(len(j), block)), "j": j, "window": window_, "doc": doc, "payload": payload})
+            hashes, owners = number[order[fresh]].view(np.int64), doc[order[fresh]].tolist()
+            for at in range(0, max(len(firsts), 1), ROW):
+                rows["base"].append(at)
+                rows["windows"].append(hashes[at : at + ROW])
+                rows["docs"].append([ids[i] for i in owners[at : at + ROW]])
+                rows["payload"].append(payload if at == 0 else None)
+        kinds = {"base": pa.int32(), "windows": pa.list_(pa.int64()), "docs": pa.list_(pa.int64()), "payload": pa.binary()}
+        return pa.table({"block": pa.array([block] * len(rows["base"]), pa.int64()), **{k: pa.array(rows[k], t) for k, t in kinds.items()}})
 
     return run
 
@@ -204,23 +208,30 @@ def _remove(window: int):
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD) -> DataFrame:
-    """(key, text, n_words, n_removed, kept) for each row of `df`: `kept` is the words left, joined by one space."""
-    spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    """`df`, and for each row n_words, n_removed and `kept`, the words left joined by one space. The key is a long."""
+    df = without(df, "n_words", "n_removed", "kept")
+    rest = [c for c in df.columns if c not in (key, text)]
+    # Inside, columns are numbered, so names of the caller can't clash.
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
     blocks = pack(rows, "phrases-blocks")
-    known = materialize(recurring(blocks, window, phrase), "phrases-recurring")
+    path = write_table(recurring(blocks, window, phrase), "phrases-recurring")
+    known = df.sparkSession.read.schema("block long, anchors array<long>").parquet(path)
     bodies = blocks.select("block", "data")
     found = materialize(
-        bodies.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_windows(window, phrase, shard), "block long, j int, window long, doc long, payload binary"),
+        bodies.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_windows(window, phrase, shard), "block long, base int, windows array<long>, docs array<long>, payload binary"),
         "phrases-windows",
     )
-    firsts = found.where("j >= 0").select("window", "doc", "block", "j")
+    drop_path(df.sparkSession, path)
+    release(df.sparkSession)
+    each = found.select("block", "base", F.posexplode(F.arrays_zip("windows", "docs")).alias("at", "first"))
+    firsts = each.select(F.col("first.windows").alias("window"), F.col("first.docs").alias("doc"), "block", (F.col("base") + F.col("at")).alias("j"))
     earliest = W.partitionBy("window").orderBy(F.col("doc").asc_nulls_first(), "block", "j")
     again = firsts.withColumn("r", F.row_number().over(earliest)).where("r > 1").groupBy("block").agg(F.collect_list("j").alias("js"))
-    notes = found.where("j < 0").select("block", "payload", F.lit(None).cast("array<int>").alias("js"))
+    notes = found.where("payload is not null").select("block", "payload", F.lit(None).cast("array<int>").alias("js"))
     notes = notes.union(again.select("block", F.lit(None).cast("binary").alias("payload"), "js"))
-    out = bodies.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_remove(window), "key long, text string, n_words long, n_removed long, kept string")
-    return out.withColumnRenamed("key", key) if key != "key" else out
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()))]])
+    out = bodies.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_remove(window), schema)
+    return out.select(F.col("key").alias(key), F.col("text").alias(text), *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], "n_words", "n_removed", "kept")
 
 
 def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
