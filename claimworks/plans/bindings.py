@@ -26,7 +26,7 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     c = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     number = (F.col("l_suppkey") % 10000).cast("int")
     return c.select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("ord"),
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("ord"),
         X.claim_id(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("claim_id"),
         X.source_number(number).alias("source_id"),
         F.lit("metric").alias("claim_type"),
@@ -43,7 +43,7 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CLAIMS = """
-c0 AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS ord,
+c0 AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS ord,
          'claim-' || substr(sha1(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || l_partkey::VARCHAR), 1, 12) AS claim_id,
          printf('LLM-%04d', l_suppkey % 10000) AS source_id, p_brand AS concept, 'Reported ' || lower(p_type) || ' price' AS predicate, p_name || ' eval' AS object,
          l_extendedprice / l_quantity AS value, CASE WHEN l_tax > 0.04 THEN 'K' ELSE 'usd' END AS unit,

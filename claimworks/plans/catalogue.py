@@ -127,11 +127,11 @@ def _normal(s, sf):
     return M.normalize(B.claims(s, sf))
 
 
-@query(f"""WITH {B.CLAIMS} SELECT unit_family, metric_key, normalized_unit, baseline_key, protocol_key, count(*)::BIGINT AS n, round(min(normalized_value), 4) AS low, round(max(normalized_value), 4) AS high
+@query(f"""WITH {B.CLAIMS} SELECT unit_family, metric_key, normalized_unit, baseline_key, protocol_key, count(*)::BIGINT AS n, min(normalized_value) AS low, max(normalized_value) AS high
 FROM k GROUP BY ALL""")
 def metric_normalize(s, sf):
     g = _normal(s, sf).groupBy("unit_family", "metric_key", "normalized_unit", "baseline_key", "protocol_key")
-    return g.agg(F.count("*").alias("n"), F.round(F.min("normalized_value"), 4).alias("low"), F.round(F.max("normalized_value"), 4).alias("high"))
+    return g.agg(F.count("*").alias("n"), F.min("normalized_value").alias("low"), F.max("normalized_value").alias("high"))
 
 
 @query(f"WITH {B.CLAIMS} SELECT warnings AS warning, count(*)::BIGINT AS n FROM k WHERE warnings <> '' GROUP BY warnings")
@@ -162,18 +162,18 @@ _GROUPS = """q AS (SELECT concept, metric_key, normalized_unit, min(normalized_v
 w AS (SELECT *, (high - low) / abs(high) AS spread FROM q WHERE ns >= 2 AND high <> 0 AND (high - low) / abs(high) > 0.35::DOUBLE)"""
 
 
-@query(f"""WITH {B.CLAIMS}, {_GROUPS} SELECT w.concept, w.metric_key AS predicate_key, w.normalized_unit AS unit_key, round(low, 4) AS low, round(high, 4) AS high, round(spread, 4) AS spread,
+@query(f"""WITH {B.CLAIMS}, {_GROUPS} SELECT w.concept, w.metric_key AS predicate_key, w.normalized_unit AS unit_key, low, high, round(spread, 4) AS spread,
 md5(string_agg(k.claim_id, ',' ORDER BY ord)) AS claims, string_agg(DISTINCT k.source_id, ',' ORDER BY k.source_id) AS sources FROM w JOIN k USING (concept, metric_key, normalized_unit) GROUP BY ALL""")
 def numeric_conflicts(s, sf):
     found = conflicts.numeric(_normal(s, sf))
-    return found.select("concept", "predicate_key", "unit_key", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "spread", F.md5(F.array_join("claims", ",").cast("binary")).alias("claims"), F.array_join("sources", ",").alias("sources"))
+    return found.select("concept", "predicate_key", "unit_key", "low", "high", "spread", F.md5(F.array_join("claims", ",").cast("binary")).alias("claims"), F.array_join("sources", ",").alias("sources"))
 
 
 @query(f"""WITH {B.CLAIMS}, {_GROUPS}, z AS (SELECT *, row_number() OVER (ORDER BY concept, metric_key, normalized_unit) - 1 AS no FROM w),
-t AS (SELECT k.ord, max(no) AS no FROM k LEFT JOIN z USING (concept, metric_key, normalized_unit) GROUP BY k.ord)
-SELECT CASE WHEN no IS NULL THEN '' ELSE printf('CG-%04d', no) END AS contradiction_group, count(*)::BIGINT AS n, sum(ord)::BIGINT AS ords FROM t GROUP BY 1""")
+t AS (SELECT k.ord, no FROM k LEFT JOIN z USING (concept, metric_key, normalized_unit))
+SELECT CASE WHEN no IS NULL THEN '' ELSE printf('CG-%04d', no) END AS contradiction_group, count(*)::BIGINT AS n, sum(ord % 1000003)::BIGINT AS ords FROM t GROUP BY 1""")
 def conflict_groups(s, sf):
-    return conflicts.assign(_normal(s, sf)).groupBy("contradiction_group").agg(F.count("*").alias("n"), F.sum("ord").alias("ords"))
+    return conflicts.assign(_normal(s, sf)).groupBy("contradiction_group").agg(F.count("*").alias("n"), F.sum(F.col("ord") % 1000003).alias("ords"))
 
 
 @query(f"""WITH {B.CLAIMS} SELECT source_id || '-' || claim_id AS review_id, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0 ORDER BY source_id, claim_id LIMIT 50""")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One object for each row, keys in order. Overwriting a path that `df` reads is refused."""
-    if mode == "overwrite" and any(f.rstrip("/").startswith(path.rstrip("/") + "/") for f in df.inputFiles()):
+    plain = lambda x: re.sub(r"^\w+:/+", "/", x).rstrip("/")  # noqa: E731  without the store's scheme
+    if mode == "overwrite" and any(plain(f).startswith(plain(path) + "/") for f in df.inputFiles()):
         raise ValueError("the output is also an input")
     df.select(*sorted(df.columns)).write.mode(mode).json(path)
 

@@ -39,8 +39,7 @@ def body(text: Column) -> Column:
 
 def pages(spark: SparkSession, store: str, folders: tuple[str, ...] = ("sources", "drafts", "concepts")) -> DataFrame:
     """(relpath, folder, stem, frontmatter, body, links) of every Markdown page, at any depth."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
-    rows = read.text([f"{store}/{f}" for f in folders]).withColumn("path", F.col("_metadata.file_path"))
+    rows = spark.read.text([f"{store}/{f}" for f in folders], wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("path", F.col("_metadata.file_path"))
     return page_columns(rows, F.concat_ws("|", *[F.lit(f) for f in folders]))
 
 
@@ -81,7 +80,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
 def json_lines_with_issues(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and a finding for each bad one."""
     kept = T._parse_datatype_string(schema).add("_bad", T.StringType())
-    rows = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines_ = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines_.select(F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
     issue = rows.where("_bad is not null").select(F.lit("P1").alias("priority"), F.lit(path).alias("path"), F.concat(F.lit("invalid JSON row: "), F.substring("_bad", 1, 80)).alias("message"), F.lit("repair the row").alias("fix"))
     return rows.where("_bad is null").drop("_bad"), issue
 
@@ -96,7 +96,7 @@ def raw_files(spark: SparkSession, store: str) -> DataFrame:
 
 def parsed_corpus(spark: SparkSession, store: str) -> DataFrame:
     """(folder, text) of every parsed document."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "combined.md").text(f"{store}/raw")
+    rows = spark.read.text(f"{store}/raw", wholetext=True, recursiveFileLookup=True, pathGlobFilter="combined.md")
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+_markdown)/combined\.md$", 1).alias("folder"), F.col("value").alias("text")).where("folder <> ''")
 
 
