@@ -2,43 +2,44 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import vocab as V
-from .text import word_key
+from .text import let, word_key
 
 
-def _any_part(hay: Column, parts: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [hay.contains(p) for p in parts])
+def family(hay: Column) -> Column:
+    """Of the lower-case text of a claim: the first rule with a part in it decides."""
 
+    def chosen(x: Column) -> Column:
+        out = F.lit("numeric")
+        for name, parts in reversed(V.FAMILY_RULES):
+            out = F.when(x["hay"].rlike("|".join(parts)), name).otherwise(out)
+        return out
 
-def family(predicate: Column, unit: Column, text: Column) -> Column:
-    hay = F.lower(F.concat_ws(" ", predicate, unit, text))
-    chosen = F.lit("numeric")
-    for name, parts in reversed(V.FAMILY_RULES):
-        chosen = F.when(_any_part(hay, parts), name).otherwise(chosen)
-    return chosen
+    return let(chosen, hay=hay)
 
 
 def unit(raw: Column, kind: Column) -> Column:
-    low = F.lower(F.trim(raw))
-    return F.when(low == "%", "%").when(kind != "numeric", kind).otherwise(low)
+    chosen = lambda x: F.when(x["low"] == "%", "%").when(x["kind"] != "numeric", x["kind"]).otherwise(x["low"])
+    return let(chosen, low=F.lower(F.trim(raw)), kind=kind)
 
 
 def value(number: Column, raw_unit: Column, kind: Column) -> Column:
-    low = F.lower(F.trim(raw_unit))
-    factor = F.lit(1.0)
-    for name, times in V.MULTIPLIERS.items():
-        factor = F.when(low == name, times).otherwise(factor)
-    return F.when(kind.isin(V.SCALED_FAMILIES), number * factor).otherwise(number)
+
+    def scaled(x: Column) -> Column:
+        factor = F.lit(1.0)
+        for name, times in V.MULTIPLIERS.items():
+            factor = F.when(x["low"] == name, times).otherwise(factor)
+        return F.when(x["kind"].isin(V.SCALED_FAMILIES), x["number"] * factor).otherwise(x["number"])
+
+    return let(scaled, low=F.lower(F.trim(raw_unit)), kind=kind, number=number)
 
 
-def metric_key(predicate: Column, text: Column) -> Column:
-    own, other = word_key(predicate, V.KEY_STOP_WORDS), word_key(text, V.KEY_STOP_WORDS)
-    other = F.when(other.rlike("^[0-9% ]+$"), "").otherwise(other)
-    return F.when(own != "", own).when(other != "", other).otherwise(V.GENERIC_METRIC)
+def metric_key(own: Column, other: Column) -> Column:
+    """The key of the predicate, or else of the object if that is more than digits, or else a generic one."""
+    chosen = lambda x: F.when(x["own"] != "", x["own"]).when((x["other"] != "") & ~x["other"].rlike("^[0-9% ]+$"), x["other"]).otherwise(V.GENERIC_METRIC)
+    return let(chosen, own=own, other=other)
 
 
 def baseline_key(x: Column) -> Column:
@@ -46,8 +47,7 @@ def baseline_key(x: Column) -> Column:
     return F.when(key.isin(V.NO_BASELINE), "").otherwise(F.substring(key, 1, 120))
 
 
-def protocol_key(predicate: Column, text: Column) -> Column:
-    hay = F.lower(F.concat_ws(" ", predicate, text))
+def protocol_key(hay: Column) -> Column:
     return F.array_join(F.filter(F.array(*[F.lit(m) for m in V.PROTOCOL_MARKERS]), lambda m: F.contains(hay, m)), ",")
 
 
@@ -66,14 +66,15 @@ def normalize(claims: DataFrame) -> DataFrame:
     """Claims (claim_type, predicate, object, value, unit, baseline) with the columns of a normalised claim; other claims than metrics keep blanks."""
     metric = F.col("claim_type") == "metric"
     p, o, u = (F.coalesce(F.col(c), F.lit("")) for c in ("predicate", "object", "unit"))
-    out = claims.withColumn("unit_family", F.when(metric, family(p, u, o)).otherwise(""))
-    out = out.withColumn("metric_key", F.when(metric, metric_key(p, o)).otherwise(""))
+    # Shared parts are columns of their own, so each is worked out once.
+    out = claims.withColumns({"_own": word_key(p, V.KEY_STOP_WORDS), "_other": word_key(o, V.KEY_STOP_WORDS), "_hay": F.lower(F.concat_ws(" ", p, u, o)), "_told": F.lower(F.concat_ws(" ", p, o))})
+    out = out.withColumns({"unit_family": F.when(metric, family(F.col("_hay"))).otherwise(""), "metric_key": F.when(metric, metric_key(F.col("_own"), F.col("_other"))).otherwise("")})
     out = out.withColumn("normalized_unit", F.when(metric, unit(u, F.col("unit_family"))).otherwise(""))
     out = out.withColumn("normalized_value", F.when(metric, value(F.col("value"), u, F.col("unit_family"))))
     out = out.withColumn("baseline_key", baseline_key(F.col("baseline")))
-    out = out.withColumn("protocol_key", F.when(metric, protocol_key(p, o)).otherwise(""))
+    out = out.withColumn("protocol_key", F.when(metric, protocol_key(F.col("_told"))).otherwise(""))
     none = F.array().cast("array<string>")
-    return out.withColumn("normalization_warnings", F.when(metric, warnings(F.col("metric_key"), F.col("normalized_value"), F.col("baseline"), F.col("baseline_key"))).otherwise(none))
+    return out.withColumn("normalization_warnings", F.when(metric, warnings(F.col("metric_key"), F.col("normalized_value"), F.col("baseline"), F.col("baseline_key"))).otherwise(none)).drop("_own", "_other", "_hay", "_told")
 
 
 def review_reasons() -> Column:

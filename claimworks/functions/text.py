@@ -12,6 +12,11 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 NUMBER = r"([-+]?\d+(?:,\d{3})*(?:\.\d+)?)\s*([A-Za-z%]+)?"
 
 
+def let(f, **parts: Column) -> Column:
+    """f(of a struct with the parts): each part is worked out once, however often f names it and wherever the optimizer moves the whole."""
+    return F.element_at(F.transform(F.array(F.struct(*[c.alias(n) for n, c in parts.items()])), f), 1)
+
+
 def squeeze(x: Column) -> Column:
     """White space runs become one space; none at the ends."""
     return F.trim(F.regexp_replace(x, r"\s+", " "))
