@@ -254,13 +254,15 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
     """All columns of `df`, `text` and `n_chars`."""
     df = without(df, *[c for c in ("text", "n_chars") if c != html])
     ship(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    kept = [f for f in df.schema.fields if f.name.lower() not in ("text", "n_chars")]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x) for x in batch.column(html).to_pylist()]
             out = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *out], names=[*names, "text", "n_chars"])
 
     return df.mapInArrow(run, schema)
 

@@ -111,7 +111,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have[1 << BITS :] += np.bincount(found.script, minlength=len(SCRIPTS))
     for lang, have in counts.items():
         key = np.flatnonzero(have)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key), pa.array(have[key])], names=["lang", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(have[key])], names=["lang", "key", "n"])
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:

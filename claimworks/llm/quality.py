@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WORD_GAP, read
+from .common import WORD_GAP, free_name, read
 
 #: Frequent words of the languages in scope.
 STOP_WORDS = (
@@ -77,27 +77,28 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` and the counts in FEATURES (long)."""
     df = df.drop(*[c for c in df.columns if c.lower() in FEATURES])
     keep, body = df.columns, F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_words", F.filter(F.split(body, WORD_GAP), lambda w: w != ""))
-    df = df.withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0))
-    df = df.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
+    words_, lines_, hash_, keys_, sorted_, starts_ = (free_name(df, n) for n in ("_words", "_lines", "_hash", "_keys", "_sorted", "_starts"))
+    df = df.withColumn(words_, F.filter(F.split(body, WORD_GAP), lambda w: w != ""))
+    df = df.withColumn(lines_, F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0))
+    df = df.withColumn(hash_, F.transform(words_, lambda w: F.xxhash64(w)))
     # One number for each window of WINDOW words; equal numbers stand for equal windows.
-    windows = F.transform(F.sequence(F.lit(0), F.size("_hash") - WINDOW), lambda i: F.xxhash64(*[F.get("_hash", i + k) for k in range(WINDOW)]))
-    df = df.withColumn("_keys", F.when(F.size("_hash") >= WINDOW, windows))
+    windows = F.transform(F.sequence(F.lit(0), F.size(hash_) - WINDOW), lambda i: F.xxhash64(*[F.get(hash_, i + k) for k in range(WINDOW)]))
+    df = df.withColumn(keys_, F.when(F.size(hash_) >= WINDOW, windows))
     df = df.withColumn(
-        "_sorted",
-        F.when(F.size(F.array_distinct("_keys")) < F.size("_keys"), F.array_sort(F.transform("_keys", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))),
+        sorted_,
+        F.when(F.size(F.array_distinct(keys_)) < F.size(keys_), F.array_sort(F.transform(keys_, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))),
     )
-    same = lambda x, j: (x["k"] == F.get("_sorted", j - 1)["k"]) | (x["k"] == F.get("_sorted", j + 1)["k"])
-    starts = F.array_sort(F.array_compact(F.transform("_sorted", lambda x, j: F.when(F.coalesce(same(x, j), F.lit(False)), x["i"]))))
-    df = df.withColumn("_starts", starts)
+    same = lambda x, j: (x["k"] == F.get(sorted_, j - 1)["k"]) | (x["k"] == F.get(sorted_, j + 1)["k"])
+    starts = F.array_sort(F.array_compact(F.transform(sorted_, lambda x, j: F.when(F.coalesce(same(x, j), F.lit(False)), x["i"]))))
+    df = df.withColumn(starts_, starts)
     covered = F.aggregate(
-        F.transform("_starts", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", j + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x
+        F.transform(starts_, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(starts_, j + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x
     )
     bare = lambda w: F.regexp_replace(F.lower(w), "[.,;:!?]+$", "")
-    lines = F.col("_lines")
+    lines = F.col(lines_)
     return df.select(
         *keep,
-        F.size("_words").cast("long").alias("n_words"),
+        F.size(words_).cast("long").alias("n_words"),
         F.length(F.translate(body, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         _count_in(body, SYMBOLS).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
@@ -106,8 +107,8 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "|"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long").alias("n_ellipsis_lines"),
         _count_in(body, "!?").alias("n_marks"),
-        F.size(F.filter("_words", lambda w: (F.octet_length(w) < 12) & bare(w).isin(STOP_WORDS))).cast("long").alias("n_stop"),
-        F.size(F.filter(F.transform("_hash", lambda h, i: h == F.get("_hash", i - 1)), lambda x: x)).cast("long").alias("n_echo_words"),
+        F.size(F.filter(words_, lambda w: (F.octet_length(w) < 12) & bare(w).isin(STOP_WORDS))).cast("long").alias("n_stop"),
+        F.size(F.filter(F.transform(hash_, lambda h, i: h == F.get(hash_, i - 1)), lambda x: x)).cast("long").alias("n_echo_words"),
     )
 
 
