@@ -1,0 +1,340 @@
+"""Near-duplicates by exact Jaccard similarity of shingle sets.
+
+Two texts are linked if their sets of five-word shingles (ASCII letters lower-cased) have a
+Jaccard similarity of at least `SIMILARITY`; groups are the connected components of links.
+No link is left to chance or to the size of a group:
+
+1. Equal sets are one set, by a 64-bit number of the set.
+2. Prefix join: in an order of all shingles, sets of n shingles that are similar share one
+   of their first n - ceil(SIMILARITY * n) + 1. Each set enters a cell for each of these.
+   Frequent shingles come last in the order, so boilerplate rarely makes a cell. Any order
+   is right; which shingles count as frequent decides the work only.
+3. A cell of up to `DENSE` sets sends all its pairs; a larger one pairs each set with the
+   first and with the one before. Pairs that parity sketches don't exclude are verified on the
+   whole sets.
+4. What is linked by then is one group. A larger cell that still holds several groups
+   compares all pairs of sets of different groups, block by block in separate tasks; those
+   that parity sketches don't exclude are verified as well. Within a group nothing is left
+   to find.
+
+Parity sketches: bit j is the parity of the number of shingles that fall to j, so sketches
+differ in at most as many bits as sets differ in shingles, and none is excluded wrongly.
+Larger sets have larger sketches; one is folded to the size of the other.
+Shingles are 63-bit numbers; equal numbers are taken for equal shingles. Fewer words than
+`words` make one shingle. Null and empty texts are equal sets. An empty table gives an empty
+result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from .blocks import Words, _inverses, _powers, mixed
+from .common import materialize, ship
+from .components import components
+
+WORDS = 5
+#: Similarity as a fraction, so that the bound itself is met exactly.
+SIMILARITY = (4, 5)
+DENSE = 16
+BLOCK = 1024
+#: The most frequent shingles, put last. More of them would save work in cells, not change links.
+FREQUENT = 1 << 16
+SKETCH = 512
+_SLICE = 4 << 20
+_SAMPLE = 1 << 21
+
+
+def shingles(texts: list[bytes | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(document, number) of the distinct shingles of each text, sorted."""
+    found = Words(texts, lower=True)
+    size = found.last - found.first
+    many = np.where(size > 0, np.maximum(size - words + 1, 1), 0)
+    doc = np.repeat(np.arange(len(texts)), many)
+    start = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + found.first[doc]
+    end = np.minimum(start + words, found.last[doc])
+    total = np.zeros(len(found) + 1, np.uint64)
+    np.cumsum(found.numbers() * _powers(len(found)), out=total[1:])
+    number = mixed((total[end] - total[start]) * _inverses(len(found) + 1)[start]) >> np.uint64(1)
+    order = np.lexsort((number, doc))
+    doc, number = doc[order], number[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
+    return doc[new], number[new]
+
+
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Parts of a batch with some megabytes of text each."""
+    texts = batch.column(text).cast(pa.binary()).to_pylist()
+    at, weight = 0, 0
+    for i, t in enumerate(texts):
+        weight += len(t) if t else 0
+        if weight >= _SLICE or i + 1 == len(texts):
+            yield batch.slice(at, i + 1 - at), texts[at : i + 1]
+            at, weight = i + 1, 0
+
+
+def _set_numbers(doc: np.ndarray, number: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and 64-bit number of the set of each document."""
+    n = np.bincount(doc, minlength=docs)
+    total = np.zeros(len(doc) + 1, np.uint64)
+    np.cumsum(mixed(number), out=total[1:])
+    ends = np.cumsum(n)
+    return n, mixed(total[ends] - total[ends - n] + n.astype(np.uint64)).view(np.int64)
+
+
+def _sketches(doc: np.ndarray, number: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A parity sketch of each set: a power of two of bits, SKETCH or as many as shingles at least."""
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(n, SKETCH))).astype(np.int64)
+    ends = np.cumsum(bits)
+    at = (ends - bits)[doc] + (number & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+    return [packed[e - b : e] for b, e in zip((bits // 8).tolist(), (ends // 8).tolist(), strict=True)]
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of `size` bytes of the same set."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def frequent(df: DataFrame, text: str, words: int) -> np.ndarray:
+    """Numbers of the most frequent shingles, the least frequent first; at most FREQUENT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            number, count = np.unique(np.concatenate(held), return_counts=True)
+            often = count >= 8
+            return pa.RecordBatch.from_arrays([pa.array(number[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["s", "n"])
+
+        for batch in batches:
+            for _, texts in _slices(batch, text):
+                held.append(shingles(texts, words)[1])
+                n += len(held[-1])
+                if n >= _SAMPLE:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    counted = df.select(text).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    rows = counted.where("n >= 32").orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
+    return np.array([r.s for r in rows[::-1]], np.int64).view(np.uint64)
+
+
+def with_sets(df: DataFrame, text: str, words: int, last: np.ndarray) -> DataFrame:
+    """All columns of `df` but `text`; the number of the set, its size, its prefix and its sketch."""
+    rest = [c for c in df.columns if c != text]
+    by_number = np.argsort(last)
+    known = last[by_number]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, texts in _slices(whole, text):
+                doc, number = shingles(texts, words)
+                n, sig = _set_numbers(doc, number, len(texts))
+                starts = np.cumsum(n) - n
+                sketch = _sketches(doc, number, n)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, number), len(known) - 1)
+                    number = np.where(known[at] == number, by_number[at].astype(np.uint64) | np.uint64(1 << 63), number)
+                    number = number[np.lexsort((number, doc))]
+                prefix = n - (SIMILARITY[0] * n + SIMILARITY[1] - 1) // SIMILARITY[1] + 1
+                prefix = np.where(n > 0, prefix, 0)
+                parts = [number[s : s + p].tobytes() for s, p in zip(starts.tolist(), prefix.tolist(), strict=True)]
+                made = [pa.array(sig), pa.array(n.astype(np.int64)), pa.array(parts, pa.binary()), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *made], names=[*rest, "sig", "n", "prefix", "sketch"])
+
+    added = [T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("sketch", T.BinaryType())]
+    return df.select(*rest, text).mapInArrow(run, T.StructType([*df.select(*rest).schema.fields, *added]))
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prefix = batch.column("prefix").to_pylist()
+        many = np.array([len(p) // 8 for p in prefix], np.int64)
+        cell = np.frombuffer(b"".join(prefix), np.int64)
+        sig, n = (np.repeat(batch.column(c).to_numpy(), many) for c in ("sig", "n"))
+        for at in range(0, len(cell), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(cell[part]), pa.array(sig[part]), pa.array(n[part])], names=["cell", "sig", "n"])
+
+
+def _near_size(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return SIMILARITY[1] * np.minimum(a, b) >= SIMILARITY[0] * np.maximum(a, b)
+
+
+def _meet(dense: int):
+    """Over (cell, sig, n) sorted by cell and sig: pairs (a, b), and the rows (sig, n, cell) of cells beyond `dense`."""
+
+    def send(cell: np.ndarray, sig: np.ndarray, n: np.ndarray, large: bool) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        size = np.diff(np.append(edge, len(cell)))
+        many, lead = np.repeat(size > dense, size), np.repeat(edge, size)
+        many = many | large
+        left, right = [], []
+        for d in range(1, dense):
+            i = np.flatnonzero(cell[d:] == cell[:-d]) if len(cell) > d else np.empty(0, int)
+            i = i[~many[i] | (d == 1)]
+            left.append(i)
+            right.append(i + d)
+        i = np.flatnonzero(many & (np.arange(len(cell)) > lead + 1))
+        left, right = np.concatenate([*left, lead[i]]), np.concatenate([*right, i])
+        near = _near_size(n[left], n[right]) & (sig[left] != sig[right])
+        left, right = left[near], right[near]
+        pairs = np.unique(np.stack([np.minimum(sig[left], sig[right]), np.maximum(sig[left], sig[right])], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "cell"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(n[many]), pa.array(cell[many])], names=["a", "b", "cell"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lead = [np.empty(0, np.int64)] * 3, None  # `lead`: the first row of a cell that has gone out in part
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("cell", "sig", "n"), strict=True)]
+            if lead is not None:
+                go = int(np.searchsorted(held[0] != lead[0], True))
+                if go:
+                    yield from send(*[np.concatenate([[x], h[:go]]) for x, h in zip(lead, held, strict=True)], True)
+                    held = [h[go:] for h in held]
+                if not len(held[0]):
+                    continue
+                lead = None
+            go = int(np.searchsorted(held[0] == held[0][-1], True))
+            if go:
+                yield from send(*[h[:go] for h in held], False)
+                held = [h[go:] for h in held]
+            if len(held[0]) > 1 << 15:
+                yield from send(*held, True)
+                lead, held = [int(h[0]) for h in held], [h[:0] for h in held]
+        if len(held[0]):
+            yield from send(*held, False)
+
+    return run
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (a, b, left, right) with both sets: the pairs that are similar."""
+    for batch in batches:
+        good = []
+        for i, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
+            left, right = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            if SIMILARITY[1] * both >= SIMILARITY[0] * (len(left) + len(right) - both):
+                good.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+
+def _numbered(df: DataFrame, text: str, words: int) -> DataFrame:
+    """(sig, text) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, texts in _slices(whole, text):
+                sig = _set_numbers(*shingles(texts, words), len(texts))[1]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), batch.column(text)], names=["sig", "text"])
+
+    return df.select(text).mapInArrow(run, "sig long, text string")
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, texts in _slices(whole, "text"):
+                doc, number = shingles(texts, words)
+                ends = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
+                parts = [number[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(parts, pa.binary())], names=["sig", "items"])
+
+    return run
+
+
+def _attach(pairs: DataFrame, side: str, table: DataFrame, column: str, name: str) -> DataFrame:
+    """`pairs` with `column` of the set in `side` as `name`. A set in many pairs is dealt out in copies; such sets are few beside the pairs."""
+    often = F.broadcast(pairs.groupBy(side).agg(F.ceil(F.count("*") / 64).cast("int").alias("copies")).where("copies > 1"))
+    left = pairs.join(often, side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    dealt = table.select(F.col("sig").alias(side), F.col(column).alias(name)).join(often, side, "left")
+    dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return left.join(dealt, [side, "salt"]).drop("salt")
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (a, b, na, nb, left, right) with both sizes and sketches: the pairs that sketches don't exclude."""
+    for batch in batches:
+        apart = np.empty(batch.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)):
+            size = min(len(x), len(y))
+            apart[i] = np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum(dtype=np.int64)
+        size = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        good = np.flatnonzero(sum(SIMILARITY) * apart <= (SIMILARITY[1] - SIMILARITY[0]) * size)
+        yield batch.select(["a", "b"]).take(pa.array(good))
+
+
+def possible(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The distinct pairs that sketches don't exclude."""
+    pairs = materialize(pairs.distinct(), "jaccard-met-pairs")
+    table = own.select("sig", F.struct("n", "sketch").alias("x"))
+    both = _attach(_attach(pairs, "a", table, "x", "x"), "b", table, "x", "y")
+    return both.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.sketch").alias("left"), F.col("y.sketch").alias("right")).mapInArrow(_possible, "a long, b long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of set numbers that are similar; `texts` (sig, text) has one row or more for each set."""
+    pairs = materialize(pairs.distinct(), "jaccard-pairs")
+    needed = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct(), "jaccard-needed")
+    one = texts.join(needed, "sig", "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
+    sets = materialize(one.mapInArrow(_sets(words), "sig long, items binary"), "jaccard-sets")
+    both = _attach(_attach(pairs, "a", sets, "items", "left"), "b", sets, "items", "right")
+    return materialize(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"), "jaccard-links")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """(cell, sig, n, root, sketch) -> pairs of sets of one cell and different roots that sketches don't exclude."""
+    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    block = rows.join(parts, "cell").withColumn("k", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    paired = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "cell", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).alias("second"), "sig", "n", "root", "sketch"
+    )
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("second")
+        sig, n, root = (table.column(c).to_numpy() for c in ("sig", "n", "root"))
+        sketch = np.array([_folded(s, SKETCH // 8) for s in table.column("sketch").to_pylist()])
+        own = key[1].as_py() == key[2].as_py()
+        left = len(sig) if own else int((~table.column("second").to_numpy()).sum())
+        a, b = [], []
+        for i in range(left):
+            at = i + 1 if own else left
+            j = at + np.flatnonzero((root[at:] != root[i]) & _near_size(n[at:], n[i]))
+            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            j = j[sum(SIMILARITY) * apart <= (SIMILARITY[1] - SIMILARITY[0]) * (n[j] + n[i])]
+            a.append(np.minimum(sig[j], sig[i]))
+            b.append(np.maximum(sig[j], sig[i]))
+        return pa.table({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])})
+
+    return paired.groupBy("cell", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", words: int = WORDS, dense: int = DENSE) -> DataFrame:
+    """All columns of `df` but `text`, and `component`: a number for the group of each row. One row for each row."""
+    ship(df.sparkSession)
+    rest = [c for c in df.columns if c != text]
+    marked = materialize(with_sets(df, text, words, frequent(df, text, words)), "jaccard-marked")
+    own = materialize(marked.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "jaccard-distinct")
+    dealt = own.select("sig", "n", "prefix").mapInArrow(_cells, "cell long, sig long, n long").repartition("cell").sortWithinPartitions("cell", "sig")
+    met = materialize(dealt.mapInArrow(_meet(dense), "a long, b long, cell long"), "jaccard-met")
+    texts = _numbered(df, text, words)
+    found = similar(possible(met.where("cell is null").select("a", "b"), own), texts, words)
+    large = met.where("cell is not null").select("cell", F.col("a").alias("sig"), F.col("b").alias("n")).distinct()
+    rooted = components(found, "jaccard-components")
+    label = large.join(rooted, F.col("sig") == F.col("node"), "left").select("cell", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    label = materialize(label, "jaccard-large")
+    mixed_cells = label.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
+    open_rows = materialize(label.join(mixed_cells, "cell", "left_semi").join(own.select("sig", "sketch"), "sig").select("cell", "sig", "n", "root", "sketch"), "jaccard-open")
+    if not open_rows.isEmpty():
+        more = similar(possible(_across(open_rows), own), texts, words)
+        rooted = components(found.union(more), "jaccard-components")
+    return marked.join(rooted, F.col("sig") == F.col("node"), "left").select(*rest, F.coalesce("root", "sig").alias("component"))
