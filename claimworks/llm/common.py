@@ -16,6 +16,7 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 _own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,15 +51,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of this process only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set: a temporary folder if driver and executors are one process (tests), an error on a cluster.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    return _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="claimworks-"))
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
+    if app not in _own_dir:
+        _own_dir[app] = tempfile.mkdtemp(prefix="claimworks-")
+    return _own_dir[app]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written table, wherever it lies."""
+    if path in _written:
+        _written.remove(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -71,18 +83,26 @@ def release(spark: SparkSession) -> None:
 
 
 def write_table(df: DataFrame, tag: str) -> str:
-    """Write `df` as Parquet into the shared folder; return the path. It goes when the process ends."""
+    """Write `df` as Parquet into the shared folder; return the path. It goes with `cleanup` or when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimworks-{tag}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_last_cleanup, spark)
+    _written.append(path)
     df.write.parquet(path)
     release(spark)
-    atexit.register(_drop_quietly, spark, path)
     return path
 
 
-def _drop_quietly(spark: SparkSession, path: str) -> None:
+def cleanup(spark: SparkSession) -> None:
+    """Delete every table that operators have written so far: call it once the results built on them have been read."""
+    while _written:
+        drop_path(spark, _written.pop())
+
+
+def _last_cleanup(spark: SparkSession) -> None:
     try:
-        drop_path(spark, path)
+        cleanup(spark)
     except Exception:  # noqa: BLE001  the session may be gone at exit; the folder belongs to the cluster
         pass
 

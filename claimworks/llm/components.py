@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import drop_path, write_table
 
+#: Rounds grow with the logarithm of the number of nodes; so many mean that something is wrong.
 MAX_ROUNDS = 60
 
 
@@ -27,16 +28,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
+def components(edges: DataFrame, tag: str = "components", most_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Edges (a, b) -> (node, root) for every node of an edge that isn't its component's least node.
 
-    Self-loops and repeated edges are harmless; nodes without an edge don't appear.
+    Self-loops and repeated edges are harmless; nodes without an edge don't appear. Labels that still
+    change after `most_rounds` rounds are an error, never a result.
     """
     spark = edges.sparkSession
     schema = "a long, b long"
     path = write_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), tag)
     state = None
-    for _ in range(MAX_ROUNDS):
+    for _ in range(most_rounds):
         now = spark.read.schema(schema).parquet(path)
         after = write_table(_small_star(_large_star(now)), tag)
         stars = spark.read.schema(schema).parquet(after)
@@ -46,4 +48,6 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         if mark == state:
             break
         state = mark
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return spark.read.schema(schema).parquet(path).select(F.col("a").alias("node"), F.col("b").alias("root"))

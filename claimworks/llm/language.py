@@ -11,7 +11,7 @@ Texts are labelled in whole batches: words are dealt into chunks of `CHUNK`, all
 advance together for every language they could start in, and the chunks of a text are
 then joined, so a very long text costs no more steps than its number of chunks.
 
-Null texts and texts without a letter are `und` with score 0 and no spans. Words whose
+Null texts and texts without a letter (Unicode category L) are `und` with score 0. Words whose
 script no language uses count for every language alike. Ties go to the first language in
 order. Without training rows every text is `und`. Repeated rows are labelled each.
 """
@@ -36,7 +36,7 @@ PENALTY = 14.0
 SMOOTHING = 0.1
 #: A language uses a script if at least this share of its training letters has it.
 SCRIPT_SHARE = 0.01
-#: Letters labelled at once.
+#: Letters labelled at once; fewer where there are many languages.
 LETTERS = 1 << 21
 
 #: First and last code point of scripts; fixed values of the Unicode blocks.
@@ -46,22 +46,20 @@ SCRIPT_RANGES = [
     ("Armenian", 0x0530, 0x058F), ("Hebrew", 0x0590, 0x05FF), ("Hebrew", 0xFB1D, 0xFB4F), ("Arabic", 0x0600, 0x06FF), ("Arabic", 0x0750, 0x077F), ("Arabic", 0x08A0, 0x08FF), ("Arabic", 0xFB50, 0xFDFF), ("Arabic", 0xFE70, 0xFEFF),
     ("Devanagari", 0x0900, 0x097F), ("Bengali", 0x0980, 0x09FF), ("Gurmukhi", 0x0A00, 0x0A7F), ("Gujarati", 0x0A80, 0x0AFF), ("Oriya", 0x0B00, 0x0B7F), ("Tamil", 0x0B80, 0x0BFF), ("Telugu", 0x0C00, 0x0C7F), ("Kannada", 0x0C80, 0x0CFF), ("Malayalam", 0x0D00, 0x0D7F), ("Sinhala", 0x0D80, 0x0DFF),
     ("Thai", 0x0E00, 0x0E7F), ("Lao", 0x0E80, 0x0EFF), ("Tibetan", 0x0F00, 0x0FFF), ("Myanmar", 0x1000, 0x109F), ("Georgian", 0x10A0, 0x10FF), ("Georgian", 0x1C90, 0x1CBF), ("Ethiopic", 0x1200, 0x139F), ("Khmer", 0x1780, 0x17FF), ("Mongolian", 0x1800, 0x18AF),
-    ("Hangul", 0x1100, 0x11FF), ("Hangul", 0x3130, 0x318F), ("Hangul", 0xAC00, 0xD7AF), ("Kana", 0x3040, 0x30FF), ("Kana", 0x31F0, 0x31FF), ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Han", 0xF900, 0xFAFF), ("Han", 0x20000, 0x323AF),
+    ("Hangul", 0x1100, 0x11FF), ("Hangul", 0x3130, 0x318F), ("Hangul", 0xA960, 0xA97F), ("Hangul", 0xAC00, 0xD7FF), ("Kana", 0x3040, 0x30FF), ("Kana", 0x31F0, 0x31FF), ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Han", 0xF900, 0xFAFF), ("Han", 0x20000, 0x323AF),
 ]
 SCRIPTS = ["Other", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES)]
 
 
 @lru_cache(maxsize=1)
 def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point: is it a letter or mark, its lower case, its script."""
-    letter, lower, script = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, np.uint8)
-    for i in (*range(0x41, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000)):
-        c = chr(i)
-        letter[i] = unicodedata.category(c)[0] in "LM"
-        if len(low := c.lower()) == 1:
+    """For each code point: 1 for a mark, 2 for a letter, 0 else; its lower case; its script."""
+    letter, lower, script = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        kind = unicodedata.category(chr(i))[0]
+        letter[i] = (kind == "M") + 2 * (kind == "L")
+        if kind == "L" and len(low := chr(i).lower()) == 1:
             lower[i] = ord(low)
-    for a, b in ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x323AF)):
-        letter[a : b + 1] = True
     for name, a, b in SCRIPT_RANGES:
         script[a : b + 1] = SCRIPTS.index(name)
     return letter, lower, script
@@ -75,10 +73,13 @@ class Letters:
         code = np.frombuffer("\n".join(t or "" for t in texts).encode("utf-32-le"), np.uint32)
         size = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
         self.doc_start = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-        self.is_letter = letter[code]
+        kind = letter[code]
+        letters = np.concatenate([[0], np.cumsum(kind == 2)])
+        #: Texts with a letter; marks belong to words but don't make a text one.
+        self.lettered = letters[self.doc_start + size] > letters[self.doc_start]
         low = np.zeros(len(code) + 2, np.uint32)
-        low[1:-1] = np.where(self.is_letter, lower[code], 0)
-        at = np.flatnonzero(self.is_letter)
+        low[1:-1] = np.where(kind > 0, lower[code], 0)
+        at = np.flatnonzero(kind)
         self.trigram = ((low[at] * np.uint32(0x9E3779B1)) ^ (low[at + 1] * np.uint32(0x85EBCA77)) ^ (low[at + 2] * np.uint32(0xC2B2AE3D)))
         self.trigram = ((self.trigram ^ (self.trigram >> np.uint32(15))) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
         self.script = script[code[at]]
@@ -168,7 +169,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, last: np.ndarray, penalty: flo
         now[on] = (now[on][:, :, None] + through[c]).max(axis=1)
         now[on] -= now[on].max(axis=1, keepdims=True)
     stay = np.zeros((chunk, len(start), k), bool)
-    best = np.zeros((chunk, len(start)), np.int8)
+    best = np.zeros((chunk, len(start)), np.int32)
     s = enter
     for t in range(chunk):
         a = live[t]
@@ -179,8 +180,8 @@ def viterbi(score: np.ndarray, first: np.ndarray, last: np.ndarray, penalty: flo
         stay[t, :a] = s[:a] >= top - penalty
         s[:a] = np.maximum(s[:a], top - penalty) + score[start[:a] + t]
     # Backwards: the path of each chunk for each label at its end.
-    path = np.zeros((chunk, len(start), k), np.int8)
-    here = np.broadcast_to(np.arange(k, dtype=np.int8), (len(start), k)).copy()
+    path = np.zeros((chunk, len(start), k), np.int32)
+    here = np.broadcast_to(np.arange(k, dtype=np.int32), (len(start), k)).copy()
     for t in range(chunk - 1, -1, -1):
         a = live[t]
         if a:
@@ -193,7 +194,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, last: np.ndarray, penalty: flo
         c = where[base[on] + q]
         leave[c] = np.where(parts[on] == q + 1, s[c].argmax(axis=1), after[on])
         after[on] = here[c, leave[c]]
-    out = np.zeros(n, np.int8)
+    out = np.zeros(n, np.int32)
     for t in range(chunk):
         a = live[t]
         if a:
@@ -204,34 +205,38 @@ def viterbi(score: np.ndarray, first: np.ndarray, last: np.ndarray, penalty: flo
 SPANS = "array<struct<lang:string,begin:int,end:int>>"
 
 
-def _label(model: Model, texts: list[str | None], spans: bool) -> tuple[list[str], list[float], list | None]:
+def _label(model: Model, texts: list[str | None], spans: bool) -> tuple[list[str], list[float], list[float], list | None]:
     found = Letters(texts)
     none: list = [[] for _ in texts]
     if not len(found.word) or not model.languages:
-        return ["und"] * len(texts), [0.0] * len(texts), none if spans else None
+        return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts), none if spans else None
     label = viterbi(emissions(model, found), found.first, found.last)
     weight = np.diff(np.append(found.word, len(found.trigram)))
     doc = np.repeat(np.arange(len(texts)), found.last - found.first)
     k = len(model.languages)
     share = np.bincount(doc * k + label, weights=weight, minlength=len(texts) * k).reshape(-1, k)
-    total = share.sum(axis=1)
+    total = share.sum(axis=1) * found.lettered
     top = share.argmax(axis=1)
     lang = [model.languages[i] if n else "und" for i, n in zip(top.tolist(), total.tolist(), strict=True)]
     score = np.divide(share[np.arange(len(top)), top], total, out=np.zeros(len(top)), where=total > 0).tolist()
+    used = model.uses.any(axis=1)[found.script[found.word]]
+    known = np.bincount(doc, weights=weight * used, minlength=len(texts))
+    known = np.divide(known, total, out=np.zeros(len(top)), where=total > 0).tolist()
     if not spans:
-        return lang, score, None
+        return lang, score, known, None
     turn = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])]))
     ends = np.append(turn[1:], len(label)) - 1
     offset = found.doc_start[doc[turn]]
     for d, x, a, b in zip(doc[turn].tolist(), label[turn].tolist(), (found.begin[turn] - offset).tolist(), (found.end[ends] - offset).tolist(), strict=True):
         none[d].append({"lang": model.languages[x], "begin": a, "end": b})
-    return lang, score, none
+    return lang, score, known, none
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
-    """All columns of `df`, `lang_pred`, `score` and, if asked, `spans`: runs of one language, in characters of the text."""
-    added = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
-    names = ["lang_pred", "score", *["spans"] * spans]
+    """All columns of `df`, `lang_pred`, `score`, `known_share` (of the letters, in scripts that a learned language uses)
+    and, if asked, `spans`: runs of one language, in characters of the text."""
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("known_share", T.DoubleType())]
+    names = ["lang_pred", "score", "known_share", *["spans"] * spans]
     df = without(df, *[c for c in names if c != text])
     ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, t) for c, t in added]])
@@ -242,14 +247,15 @@ def identify(df: DataFrame, model: Model, text: str = "text", spans: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        letters = LETTERS // max(1, len(known.languages) ** 2 // 64)  # the tables of `viterbi` grow with the square
         for whole in batches:
             texts = whole.column(text).to_pylist()
             total = np.cumsum([len(t) if t else 0 for t in texts])
             at = 0
             while at < len(texts):
-                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + LETTERS, "right")))
-                lang, score, found = _label(known, texts[at:end], spans)
-                out = [pa.array(lang, pa.string()), pa.array(score, pa.float64())] + ([pa.array(found, kind)] if spans else [])
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + letters, "right")))
+                lang, score, share, found = _label(known, texts[at:end], spans)
+                out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.float64())] + ([pa.array(found, kind)] if spans else [])
                 part = whole.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *names])
                 at = end

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD_GAP, materialize, read
+from .common import WORD_GAP, free_name, materialize, read
 
 SEED = 17
 WEIGHTS = 3
@@ -119,32 +119,30 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     return plan(materialize(sizes_of(df, key, text, source), "mix-sizes"), seed)
 
 
-def _excerpt(text: Column) -> Column:
+def _excerpt(text: Column, at: Column) -> Column:
     """The words of `text` in blocks taken from the last pass, each with the white space after it."""
     pieces = F.split(F.regexp_replace(text, f"^{WORD_GAP}", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    before = lambda j: _div(j * F.col("blocks") + F.col("offset"), F.col("blocks_of"))
+    before = lambda j: _div(j * at["blocks"] + at["offset"], at["blocks_of"])
 
     def taken(_: Column, i: Column) -> Column:
-        j = _div(F.col("size_before") + i, F.col("block"))
+        j = _div(at["size_before"] + i, at["block"])
         return before(j + 1) > before(j)
 
     return F.array_join(F.filter(pieces, taken), "")
 
 
 def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """The mixed rows of `df`, with its columns: each document whole, once for each pass, then an excerpt of the words
+    """The mixed rows of `df`, with all its columns: each document whole, once for each pass, then an excerpt of the words
     that the blocks of the last pass take. Rows with an equal key, source and size are all taken like the first of them."""
-    places = ["size_before", "block", "passes", "blocks", "blocks_of", "offset", "size", "taken"]
-    placed = mix(df, key, text, source, seed).groupBy("key", "source", "size").agg(F.min(F.struct(*places)).alias("_at"))
-    placed = placed.select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_at")
-    sized = df.withColumn("_words", _size(text))
-    both = sized.join(placed, sized[key].eqNullSafe(F.col("_key")) & sized[source].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    part = F.col("taken") - F.col("passes") * F.col("size")
-    rows = both.select(*[F.col(c) for c in df.columns if c not in places], *[F.col(f"_at.{c}").alias(c) for c in places])
-    rows = rows.withColumn("_times", F.col("passes") + (part > 0).cast("long")).where("_times > 0")
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    rows = rows.withColumn(text, F.when(F.col("_k") <= F.col("passes"), F.col(text)).otherwise(_excerpt(F.col(text))))
-    return rows.select(*[c for c in df.columns if c not in places])
+    key_, source_, size_, at_, words_, k_ = (free_name(df, n) for n in ("_key", "_source", "_size", "_at", "_words", "_k"))
+    places = F.struct("size_before", "block", "passes", "blocks", "blocks_of", "offset", "size", "taken")
+    placed = mix(df, key, text, source, seed).groupBy(F.col("key").alias(key_), F.col("source").alias(source_), F.col("size").alias(size_)).agg(F.min(places).alias(at_))
+    sized = df.withColumn(words_, _size(text))
+    both = sized.join(placed, F.col(key).eqNullSafe(F.col(key_)) & F.col(source).eqNullSafe(F.col(source_)) & (F.col(words_) == F.col(size_)))
+    at = F.col(at_)
+    times = at["passes"] + (at["taken"] > at["passes"] * at["size"]).cast("long")
+    rows = both.where(times > 0).withColumn(k_, F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return rows.withColumn(text, F.when(F.col(k_) <= at["passes"], F.col(text)).otherwise(_excerpt(F.col(text), at))).select(*df.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,20 +81,21 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn(words_, F.filter(F.split(body, WORD_GAP), lambda w: w != ""))
     df = df.withColumn(lines_, F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0))
     df = df.withColumn(hash_, F.transform(words_, lambda w: F.xxhash64(w)))
-    # One number for each window of WINDOW words; equal numbers stand for equal windows.
+    # One number for each window of WINDOW words; where numbers repeat, the words themselves are compared.
     windows = F.transform(F.sequence(F.lit(0), F.size(hash_) - WINDOW), lambda i: F.xxhash64(*[F.get(hash_, i + k) for k in range(WINDOW)]))
     df = df.withColumn(keys_, F.when(F.size(hash_) >= WINDOW, windows))
     df = df.withColumn(
         sorted_,
-        F.when(F.size(F.array_distinct(keys_)) < F.size(keys_), F.array_sort(F.transform(keys_, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))),
+        F.when(F.size(F.array_distinct(keys_)) < F.size(keys_), F.array_sort(F.transform(keys_, lambda k, i: F.struct(k.alias("k"), F.slice(words_, i + 1, WINDOW).alias("w"), i.alias("i"))))),
     )
-    same = lambda x, j: (x["k"] == F.get(sorted_, j - 1)["k"]) | (x["k"] == F.get(sorted_, j + 1)["k"])
-    starts = F.array_sort(F.array_compact(F.transform(sorted_, lambda x, j: F.when(F.coalesce(same(x, j), F.lit(False)), x["i"]))))
+    equal = lambda x, y: F.coalesce((x["k"] == y["k"]) & (x["w"] == y["w"]), F.lit(False))
+    same = lambda x, j: equal(x, F.get(sorted_, j - 1)) | equal(x, F.get(sorted_, j + 1))
+    starts = F.array_sort(F.array_compact(F.transform(sorted_, lambda x, j: F.when(same(x, j), x["i"]))))
     df = df.withColumn(starts_, starts)
     covered = F.aggregate(
         F.transform(starts_, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(starts_, j + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x
     )
-    bare = lambda w: F.regexp_replace(F.lower(w), "[.,;:!?]+$", "")
+    bare = lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))
     lines = F.col(lines_)
     return df.select(
         *keep,
@@ -107,7 +108,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "|"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long").alias("n_ellipsis_lines"),
         _count_in(body, "!?").alias("n_marks"),
-        F.size(F.filter(words_, lambda w: (F.octet_length(w) < 12) & bare(w).isin(STOP_WORDS))).cast("long").alias("n_stop"),
+        F.size(F.filter(words_, lambda w: bare(w).isin(STOP_WORDS))).cast("long").alias("n_stop"),
         F.size(F.filter(F.transform(hash_, lambda h, i: h == F.get(hash_, i - 1)), lambda x: x)).cast("long").alias("n_echo_words"),
     )
 
@@ -151,7 +152,7 @@ f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
         len(list_filter(ls, lambda x: ltrim(x)[1:1] IN ('-', '*', '•', '|')))::BIGINT AS n_bullet_lines,
         len(list_filter(ls, lambda x: suffix(rtrim(x), '...') OR suffix(rtrim(x), '…')))::BIGINT AS n_ellipsis_lines,
         length(regexp_replace(t, '[^!?]+', '', 'g'))::BIGINT AS n_marks,
-        len(list_filter(ws, lambda x: strlen(x) < 12 AND rtrim(lower(x), '.,;:!?') IN ({", ".join(f"'{s}'" for s in STOP_WORDS)})))::BIGINT AS n_stop,
+        len(list_filter(ws, lambda x: rtrim(lower(x), '.,;:!?') IN ({", ".join(f"'{s}'" for s in STOP_WORDS)})))::BIGINT AS n_stop,
         len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_echo_words
       FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed FROM f)

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from claimworks.llm import bpe, html, mixing, phrases, quality, simhash
+from claimworks.llm import bpe, html, language, media, mixing, phrases, quality, simhash, toxicity
 from claimworks.llm.queries import QUERIES
 
 SCHEMAS = {
@@ -102,9 +102,12 @@ def test_quality_counts_match_brute_force(spark):
         (lambda df: bpe.encode(df, decoded=True), ["ids", "decoded", "n_tokens"]),
         (lambda df: html.extract(df, "text"), ["n_chars", "html"]),
         (phrases.remove_repeats, ["kept", "n_words", "block", "data"]),
-        (mixing.apply_mix, ["size", "taken", "target", "key", "_number"]),
+        (mixing.apply_mix, ["size", "taken", "target", "_key", "_source", "_size", "_at", "_words", "_times", "_k"]),
         (lambda df: mixing.mix(df), ["size", "taken", "target", "key"]),
         (lambda df: simhash.near_duplicates(df), ["fp", "component_id", "node", "root"]),
+        (lambda df: language.identify(df, language.fit(df.withColumn("lang", F.lit("en")))), ["lang_pred", "SCORE", "spans", "lang"]),
+        (lambda df: toxicity.score(df, toxicity.fit(df.limit(0), df.selectExpr("doc_id", "1 as toxic").limit(0))), ["score", "predicted", "toxic", "mark"]),
+        (lambda df: media.copies(df.withColumn("image", F.lit(b"x")), "doc_id"), ["class_id", "n_links", "id", "sum"]),
     ],
 )
 def test_clashing_columns(spark, apply, clashing):
@@ -115,5 +118,10 @@ def test_clashing_columns(spark, apply, clashing):
     assert len({c.lower() for c in out.columns}) == len(out.columns)
     rows = out.collect()
     assert len(rows) >= 1
-    if "_words" in clashing:
+    if "_words" in clashing and "_words" in rows[0]:
         assert {r["_words"] for r in rows} == {"clash"}
+
+
+def test_stop_words_of_any_length_count(spark):
+    df = spark.createDataFrame([(1, "avec........ THE!?!?!?!?!?!? x")], "doc_id int, text string")
+    assert quality.features(df).first().n_stop == 2

@@ -47,3 +47,15 @@ def test_identify(spark):
     assert L.identify(df.where("false"), model).count() == 0
     empty = L.fit(train.where("false"))
     assert {r.lang_pred for r in L.identify(df, empty).collect()} == {"und"}
+
+
+def test_many_languages_and_what_is_a_letter(spark):
+    words = {f"l{i:03d}": " ".join(chr(0x4E00 + 20 * i + j) * 3 for j in range(20)) for i in range(140)}
+    model = L.fit(spark.createDataFrame(list(words.items()), "lang string, text string"))
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(words.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    assert L.identify(df, model).where("lang_pred <> want").count() == 0
+    odd = spark.createDataFrame([(1, "\u0301"), (2, "\ud7b0"), (3, "12\u0301 34"), (4, "plain"), (5, "\u4e00" * 8 + " ab")], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.identify(odd.withColumn("known_share", F.lit("x")), model).collect()}
+    assert [got[i].lang_pred == "und" for i in (1, 2, 3, 4)] == [True, False, True, False]
+    assert got[4].known_share == 0 and got[5].known_share == 0.8 and got[5].lang_pred == "l000"

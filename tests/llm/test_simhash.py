@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from claimworks.llm import simhash
+from claimworks.llm.components import components
 
 
 def _components(fps, radius=3):
@@ -50,3 +51,10 @@ def test_edge_cases(spark):
     assert [g[1] for g in got[:3]] == [0, 0, 0] and {g[2] for g in got[:3]} == {1}
     assert {g[2] for g in got if g[0] in (4, 5)} == {4}
     assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_components_that_do_not_settle_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {r.root for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=2)
