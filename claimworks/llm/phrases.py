@@ -2,34 +2,40 @@
 
 1. Documents are packed into blocks. In each block every window of `WINDOW` words names
    its anchor, the phrase of `PHRASE` words in it with the least number; equal windows
-   have equal anchors. Anchors that occur twice, in one block or in several, are kept:
-   only windows around them can repeat.
-2. Each block comes back with its recurring phrases. Their texts are confirmed in the
-   block and compiled into Aho-Corasick automata, a shard of at most `SHARD` phrases
-   each; the documents of the block are streamed through them, and every occurrence is
-   located. The windows around occurrences are numbered; within the block all but the
-   first of equal windows are marked, the first go on.
-3. Firsts of equal windows meet sorted by window; all but the earliest are sent back to
-   their block, which removes the covered words.
-
-A phrase is compiled in each block that holds it, so automata grow with a block and not
-with the corpus. Between blocks a window is one row per block, however often it repeats
-there; no key, passage or group of copies is gathered whole.
+   have equal anchors whatever the numbers are. Anchors are counted by their text: those that
+   occur twice, in one block or in several, are the confirmed phrases. Only windows around
+   them can repeat.
+2. Each block gets the texts of the confirmed phrases among its anchors. They are compiled
+   into Aho-Corasick automata, a shard of at most `SHARD` phrases each; the documents of the
+   block are streamed through all of them, and the automata locate every occurrence. Only
+   windows around occurrences go on. Each stands by the 128-bit BLAKE2 digest of its text;
+   within the block all but the first of equal windows are marked.
+3. Firsts of equal windows are aggregated to the earliest, which is joined back: all others
+   are sent to their block, which removes the covered words.
+
+Numbers of words only choose anchors; what is removed is decided by texts and their
+cryptographic digests. A phrase is compiled in each block that holds it, so automata grow
+with a block and not with the corpus: one set of automata over the corpus would make work
+grow with its square. Between blocks a phrase or a window is one row per block, however often
+it repeats there, and is aggregated before it is joined back; no key, passage or group of
+copies is gathered whole.
 
 Windows are judged on the input and order is (doc_id, start); null ids come first. Rows
 with the same id are ordered by block and place, so a repeated row is removed like a copy.
-Null and empty texts have no words. An empty table gives an empty result.
+Null and empty texts have no words. An empty table gives an empty result. Columns of the input
+named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .blocks import Words, pack, pack_bytes, runs, unpack_bytes
 from .common import drop_path, materialize, read, release, without, write_table
@@ -45,15 +51,14 @@ def _texts(table: pa.Table, text: str = "text") -> list[bytes | None]:
     return table.column(text).cast(pa.binary()).to_pylist()
 
 
-def _anchors(words: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the phrase at each word, and for each word the anchor's place of the window that starts there (-1: no window)."""
+def _anchors(words: Words, window: int, phrase: int, numbers: Callable[[Words], np.ndarray]) -> np.ndarray:
+    """For each word the place of the anchor of the window that starts there (-1: no window): its phrase with the least number, the first of equals."""
     n = len(words)
-    numbers = words.numbers()
-    own = runs(numbers, phrase)
+    own = runs(numbers(words), phrase)
     place = np.full(n, -1, np.int64)
     width = window - phrase + 1
     if n < window:
-        return own, place
+        return place
     # Least number of every `width` phrases, by doubling; the place is its first.
     at = np.arange(len(own))
     value, span = own.copy(), 1
@@ -67,49 +72,65 @@ def _anchors(words: Words, window: int, phrase: int) -> tuple[np.ndarray, np.nda
     last = np.repeat(words.last, words.last - words.first)
     whole = np.flatnonzero(np.arange(n) + window <= last)
     place[whole] = at[whole]
-    return own, place
+    return place
 
 
-def _block_anchors(window: int, phrase: int):
+class Stream:
+    """The words of some documents as one string, ' w w w \\n w w \\n ', for automata and digests."""
+
+    def __init__(self, words: Words):
+        joined, self.start = _normal(words)
+        self.bytes, self.text = joined, joined.decode("latin-1")
+        self.end = self.start + (words.end - words.start)
+
+    def phrases(self, places: np.ndarray, length: int) -> list[str]:
+        """The texts of `length` words from each place on, with the space on either side."""
+        text = self.text
+        return [text[s:e] for s, e in zip((self.start[places] - 1).tolist(), (self.end[places + length - 1] + 1).tolist(), strict=True)]
+
+    def digests(self, places: np.ndarray, length: int) -> np.ndarray:
+        """128 bits for the text of each window, as two unsigned numbers [window, 2]."""
+        view, make = memoryview(self.bytes), hashlib.blake2b
+        whole = [make(view[s:e], digest_size=16).digest() for s, e in zip(self.start[places].tolist(), self.end[places + length - 1].tolist(), strict=True)]
+        return np.frombuffer(b"".join(whole), np.uint64).reshape(-1, 2)
+
+
+def _anchor_rows(window: int, phrase: int, numbers: Callable[[Words], np.ndarray]):
+    """Over blocks: (phrase, block, twice) for the text of each anchor of a block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
                 words = Words(_texts(unpack_bytes(data.as_py())))
-                own, place = _anchors(words, window, phrase)
-                found, count = np.unique(own[np.unique(place[place >= 0])], return_counts=True)
-                for at in range(0, len(found), 1 << 16):
-                    part = found[at : at + (1 << 16)].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block)), pa.array(count[at : at + (1 << 16)] > 1)], names=["anchor", "block", "twice"])
+                place = _anchors(words, window, phrase, numbers)
+                found = Counter(Stream(words).phrases(np.unique(place[place >= 0]), phrase)) if len(words) else Counter()
+                texts, twice = list(found), [n > 1 for n in found.values()]
+                for at in range(0, len(texts), 1 << 14):
+                    part = pa.array([t.encode("latin-1") for t in texts[at : at + (1 << 14)]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part, pa.array([block] * len(part), pa.int64()), pa.array(twice[at : at + (1 << 14)])], names=["phrase", "block", "twice"])
 
     return run
 
 
-def recurring(blocks: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(block, anchors): the phrases of each block that occur elsewhere too, or twice in it."""
-    rows = blocks.select("block", "data").mapInArrow(_block_anchors(window, phrase), "anchor long, block long, twice boolean")
-    counted = rows.withColumn("n", F.count("*").over(W.partitionBy("anchor")))
-    return counted.where("n > 1 or twice").groupBy("block").agg(F.collect_list("anchor").alias("anchors"))
+def confirmed(blocks: DataFrame, window: int = WINDOW, phrase: int = PHRASE, numbers: Callable[[Words], np.ndarray] = Words.numbers) -> DataFrame:
+    """(block, phrases): the anchors of each block that occur in another block too, or twice in it, by their texts."""
+    rows = blocks.select("block", "data").mapInArrow(_anchor_rows(window, phrase, numbers), "phrase binary, block long, twice boolean")
+    often = rows.groupBy("phrase").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("phrase")
+    often = materialize(often, "phrases-confirmed")
+    return rows.select("phrase", "block").join(often, "phrase", "left_semi").groupBy("block").agg(F.collect_list("phrase").alias("phrases"))
 
 
-def locate(words: Words, phrases: list[int], length: int, shard: int = SHARD) -> np.ndarray:
-    """Every place (word) where one of the phrases occurs; each is given by a place where it stands.
-
-    The words are streamed as bytes with one space between words and a line end between documents.
-    """
-    joined, start = _normal(words)
-    text = joined.decode("latin-1")
-    here = np.zeros(len(words), bool)
-    ends = (start + (words.end - words.start) + 1).tolist()
-    begin = start.tolist()
-    by_start = np.full(len(text) + 1, -1, np.int32)
-    by_start[start] = np.arange(len(words), dtype=np.int32)
+def locate(stream: Stream, phrases: list[str], shard: int = SHARD) -> np.ndarray:
+    """The word at which each occurrence of each phrase starts, found by automata of at most `shard` phrases; words as booleans."""
+    here = np.zeros(len(stream.start), bool)
+    by_start = np.full(len(stream.text) + 1, -1, np.int32)
+    by_start[stream.start] = np.arange(len(stream.start), dtype=np.int32)
     for at in range(0, len(phrases), shard):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for place in phrases[at : at + shard]:
-            s, e = begin[place] - 1, ends[place + length - 1]
-            automaton.add_word(text[s:e], e - s)  # with the space on either side
+        for text in phrases[at : at + shard]:
+            automaton.add_word(text, len(text))
         automaton.make_automaton()
-        hits = np.array([end - size + 2 for end, size in automaton.iter(text)], np.int64)
+        hits = np.array([end - size + 2 for end, size in automaton.iter(stream.text)], np.int64)
         if len(hits):
             here[by_start[hits]] = True
     return here
@@ -133,41 +154,42 @@ def _normal(words: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), start
 
 
-def _windows(window: int, phrase: int, shard: int):
+def _windows(window: int, phrase: int, shard: int, numbers: Callable[[Words], np.ndarray]):
+    """Over a block and the phrases confirmed for it: the first of equal windows go on, the places of the others stay as notes."""
+
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        rows: dict[str, list] = {"base": [], "windows": [], "docs": [], "payload": []}
+        phrases = [t.decode("latin-1") for part in right.column("phrases").to_pylist() for t in part]
+        rows: dict[str, list] = {"base": [], "highs": [], "lows": [], "docs": [], "payload": []}
         for data in left.column("data"):
             table = unpack_bytes(data.as_py())
             ids = table.column("key").to_pylist()
             words = Words(_texts(table))
             n = len(words)
-            own, place = _anchors(words, window, phrase)
-            wanted = np.concatenate([np.empty(0, np.int64), *[np.asarray(x.values) for x in right.column("anchors")]]).view(np.uint64) if right.num_rows else np.empty(0, np.uint64)
-            places = np.unique(place[place >= 0])
-            phrases = places[np.isin(own[places], wanted)]
-            _, one = np.unique(own[phrases], return_index=True)
-            found = locate(words, phrases[np.sort(one)].tolist(), phrase, shard)
-            near = np.flatnonzero((place >= 0) & found[place])
-            number = runs(words.numbers(), window)[near] if n >= window else np.empty(0, np.uint64)
+            near, digest = np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+            if phrases:
+                place, stream = _anchors(words, window, phrase, numbers), Stream(words)
+                near = np.flatnonzero((place >= 0) & locate(stream, phrases, shard)[place])
+                digest = stream.digests(near, window)
             # Earliest first: by document, then place.
             doc = np.repeat(np.arange(len(ids)), words.last - words.first)[near]
             rank = np.empty(len(ids), np.int64)
             rank[sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))] = np.arange(len(ids))
-            order = np.lexsort((near, rank[doc], number))
+            order = np.lexsort((near, rank[doc], digest[:, 1], digest[:, 0]))
             fresh = np.ones(len(order), bool)
-            fresh[1:] = number[order][1:] != number[order][:-1]
+            fresh[1:] = (digest[order][1:] != digest[order][:-1]).any(axis=1)
             firsts, later = near[order[fresh]], near[order[~fresh]]
             bits = np.zeros(n, bool)
             bits[later] = True
             payload = pack_bytes(pa.table({"later": pa.array([np.packbits(bits).tobytes()]), "first": pa.array([firsts.astype(np.int32).tobytes()])}))
-            hashes, owners = number[order[fresh]].view(np.int64), doc[order[fresh]].tolist()
+            sums, owners = digest[order[fresh]].view(np.int64), doc[order[fresh]].tolist()
             for at in range(0, max(len(firsts), 1), ROW):
                 rows["base"].append(at)
-                rows["windows"].append(hashes[at : at + ROW])
+                rows["highs"].append(sums[at : at + ROW, 0])
+                rows["lows"].append(sums[at : at + ROW, 1])
                 rows["docs"].append([ids[i] for i in owners[at : at + ROW]])
                 rows["payload"].append(payload if at == 0 else None)
-        kinds = {"base": pa.int32(), "windows": pa.list_(pa.int64()), "docs": pa.list_(pa.int64()), "payload": pa.binary()}
+        kinds = {"base": pa.int32(), "highs": pa.list_(pa.int64()), "lows": pa.list_(pa.int64()), "docs": pa.list_(pa.int64()), "payload": pa.binary()}
         return pa.table({"block": pa.array([block] * len(rows["base"]), pa.int64()), **{k: pa.array(rows[k], t) for k, t in kinds.items()}})
 
     return run
@@ -207,26 +229,39 @@ def _remove(window: int):
     return run
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD) -> DataFrame:
-    """`df`, and for each row n_words, n_removed and `kept`, the words left joined by one space. The key is a long."""
+def remove_repeats(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    window: int = WINDOW,
+    phrase: int = PHRASE,
+    shard: int = SHARD,
+    numbers: Callable[[Words], np.ndarray] = Words.numbers,
+) -> DataFrame:
+    """`df`, and for each row n_words, n_removed and `kept`, the words left joined by one space. The key is a long.
+
+    `numbers` gives each word a number; any function of a word's text will do.
+    """
+    spark = df.sparkSession
     df = without(df, "n_words", "n_removed", "kept")
     rest = [c for c in df.columns if c not in (key, text)]
     # Inside, columns are numbered, so names of the caller can't clash.
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
     blocks = pack(rows, "phrases-blocks")
-    path = write_table(recurring(blocks, window, phrase), "phrases-recurring")
-    known = df.sparkSession.read.schema("block long, anchors array<long>").parquet(path)
+    path = write_table(confirmed(blocks, window, phrase, numbers), "phrases-of-blocks")
+    known = spark.read.schema("block long, phrases array<binary>").parquet(path)
     bodies = blocks.select("block", "data")
-    found = materialize(
-        bodies.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_windows(window, phrase, shard), "block long, base int, windows array<long>, docs array<long>, payload binary"),
-        "phrases-windows",
-    )
-    drop_path(df.sparkSession, path)
-    release(df.sparkSession)
-    each = found.select("block", "base", F.posexplode(F.arrays_zip("windows", "docs")).alias("at", "first"))
-    firsts = each.select(F.col("first.windows").alias("window"), F.col("first.docs").alias("doc"), "block", (F.col("base") + F.col("at")).alias("j"))
-    earliest = W.partitionBy("window").orderBy(F.col("doc").asc_nulls_first(), "block", "j")
-    again = firsts.withColumn("r", F.row_number().over(earliest)).where("r > 1").groupBy("block").agg(F.collect_list("j").alias("js"))
+    schema = "block long, base int, highs array<long>, lows array<long>, docs array<long>, payload binary"
+    found = materialize(bodies.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_windows(window, phrase, shard, numbers), schema), "phrases-windows")
+    drop_path(spark, path)
+    release(spark)
+    each = found.select("block", "base", F.posexplode(F.arrays_zip("highs", "lows", "docs")).alias("at", "x"))
+    firsts = each.select(F.col("x.highs").alias("high"), F.col("x.lows").alias("low"), F.col("x.docs").alias("doc"), "block", (F.col("base") + F.col("at")).alias("j"))
+    own = F.struct(F.col("doc").isNotNull().alias("some"), "doc", "block", "j")  # null ids come first
+    earliest = firsts.groupBy("high", "low").agg(F.min(own).alias("e"), F.count("*").alias("n")).where("n > 1").select("high", "low", F.col("e.block").alias("eb"), F.col("e.j").alias("ej"))
+    earliest = materialize(earliest, "phrases-earliest")
+    later = firsts.select("high", "low", "block", "j").join(earliest, ["high", "low"]).where("block <> eb or j <> ej")
+    again = materialize(later.groupBy("block").agg(F.collect_list("j").alias("js")), "phrases-later")
     notes = found.where("payload is not null").select("block", "payload", F.lit(None).cast("array<int>").alias("js"))
     notes = notes.union(again.select("block", F.lit(None).cast("binary").alias("payload"), "js"))
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()))]])

@@ -20,8 +20,13 @@ def brute(rows, window):
     return out
 
 
-@pytest.mark.parametrize("shard", [3, 20_000])
-def test_matches_brute_force(spark, shard, monkeypatch):
+def _colliding(words):
+    """Only the first byte of a word counts: most numbers are equal."""
+    return words.raw[words.start].astype("uint64")
+
+
+@pytest.mark.parametrize(("shard", "numbers"), [(3, phrases.Words.numbers), (20_000, phrases.Words.numbers), (20_000, _colliding)])
+def test_matches_brute_force(spark, shard, numbers, monkeypatch):
     rng = random.Random(5)
     made = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + "é" for _ in range(60)) for _ in range(12)]
     rows = []
@@ -37,6 +42,16 @@ def test_matches_brute_force(spark, shard, monkeypatch):
     rows.sort()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", phrases.F.lit(1)).repartition(5)
     monkeypatch.setattr(phrases.pack, "__defaults__", ("text", 2000))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in phrases.remove_repeats(df, shard=shard).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in phrases.remove_repeats(df, shard=shard, numbers=lambda w: numbers(w)).collect()}
     assert got == brute(rows, 20)
     assert phrases.remove_repeats(df.where("false")).count() == 0
+
+
+def test_occurrences_come_from_the_automata(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(30))
+    df = spark.createDataFrame([(1, f"a {passage}"), (2, f"{passage} b")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in phrases.remove_repeats(df).collect()) == [0, 30]
+    words = phrases.Words([b"x y z x y", b"y z x"])
+    stream = phrases.Stream(words)
+    assert phrases.locate(stream, [" x y ", " z x "]).tolist() == [True, False, True, True, False, False, True, False]
+    assert not phrases.locate(stream, []).any() and not phrases.locate(stream, [" y y ", " y y"]).any()
