@@ -1,18 +1,26 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of its block elements; inline markup only adds text. Blocks of text
-give points for length and commas, less their share of link text, to the elements above
-them, half as much with each step up; the element with most points and the siblings that
-score well beside it are kept, the article or main element around it in whole.
+give points for length and commas, less their share of link text, to the element that holds
+them, and each element passes half of its points on to the one above (an article all of
+them, a main element nine tenths). Some tags and class words add points. An element's score
+is its points less its share of link text; the best one is kept whole, and with it the
+siblings that score well beside it. No tag decides by itself.
 
 Left out: elements that are menus, headers outside the article, footers, sidebars, notices,
 adverts, forms, hidden parts and reader comments, by tag, role or the words of class and
-id; scripts, styles and the head. Character references are decoded, white space in a block
-becomes one space, blocks are joined by a line end in page order; nothing else is dropped.
+id; scripts, styles and the head. Class words only speak of containers: a paragraph, heading,
+list item or cell is never left out for its own class, nor a container with a first heading or an
+article in it. Character references are decoded, white space in a block becomes one space,
+blocks are joined by a line end in page order; nothing else is dropped.
+
+Work is linear in the page: tags are scanned once, open elements are found by tag, points go
+up and decisions go down the tree in one pass each.
 
 Null and empty pages give the empty text. Unclosed and misnested tags are allowed: a block
-tag ends an open paragraph, an end tag without a start is ignored. Repeated rows are
-extracted each. Columns of the input named `text` or `n_chars` are replaced.
+tag ends an open paragraph, an end tag without a start is ignored, a tag that never ends is
+text. Repeated rows are extracted each. Columns of the input named `text` or `n_chars` are
+replaced.
 """
 
 from __future__ import annotations
@@ -26,46 +34,49 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import read, ship, without
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|title|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*>"
-    r"|<[a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag: a quoted value may hold the sign that ends one.
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
+#: Elements whose content is not text of the page.
+RAW = set("script style template iframe title".split())
 BLOCKS = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head "
+    "button textarea select".split()
 )
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = {"br", "hr"}
-#: Elements that end an open one of these when they start.
+#: Elements that end an open one of these when they start, and the elements that shield it.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-OUT_TAGS = set("nav footer aside form dialog menu button head".split())
+OUT_TAGS = set("nav footer aside form dialog menu button textarea select head".split())
 OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 OUT_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "newsletter subscribe subscription signup sidebar comment comments disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs "
     "menu navbar nav navigation footer masthead pagination pager popup modal overlay widget widgets login search skip toolbar hidden copyright disclaimer header topbar".split()
 )
+#: Elements that class words can leave out.
+CONTAINERS = set("div section span ul ol dl table header figure details center fieldset".split())
 GOOD_WORDS = set("article body content entry main page post text blog story".split())
-START_POINTS = {"article": 30.0, "main": 20.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0, "li": -3.0}
+START_POINTS = {"article": 60.0, "main": 40.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0, "li": -3.0}
+GOOD_POINTS = 25.0
+#: The share of its kids' points that an element gets.
+PASSED = {"article": 1.0, "main": 0.9}
+#: Blocks whose points go to the element around them.
+LEAVES = set("p pre span h1 h2 h3 h4 h5 h6 li td blockquote".split())
 
 
 class _Node:
-    __slots__ = ("tag", "up", "out", "by_word", "good", "kids", "points", "chars", "links", "keep")
+    __slots__ = ("tag", "up", "out", "by_word", "good", "holds", "within", "kids", "points", "chars", "links", "keep")
 
-    def __init__(self, tag: str, up: _Node | None, attrs: str = ""):
-        self.tag, self.up, self.kids = tag, up, []
+    def __init__(self, tag: str, attrs: str = ""):
+        self.tag, self.up, self.kids = tag, None, []
         self.points = self.chars = self.links = 0.0
         self.out, self.by_word, self.good, self.keep = tag in OUT_TAGS, False, False, False
-        if up is not None:
-            up.kids.append(self)
+        self.holds = self.within = False
         if attrs:
             self._marks(attrs)
 
@@ -81,173 +92,182 @@ class _Node:
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 self.out = True
         self.good |= bool(words & GOOD_WORDS)
-        self.by_word = bool(words & OUT_WORDS) and self.tag not in ("html", "body", "article", "main")
+        self.by_word = bool(words & OUT_WORDS) and self.tag in CONTAINERS
 
 
-def _parse(html: str) -> tuple[_Node, list[tuple[_Node, str, int]]]:
-    """The tree, and the blocks of text in page order: element, text, characters in links."""
-    root = here = _Node("#page", None)
+def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """('text', text, ''), ('start', tag, attributes) and ('end', tag, '') in page order; comments and raw elements are skipped."""
+    at, begin, quotes = 0, 0, True  # `begin`: where text not yet given starts
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at + 1 >= len(html):
+            break
+        after = html[at + 1]
+        kind = attrs = ""
+        tag = ""
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+        elif after in "!?" or (after == "/" and not html[at + 2 : at + 3].isalpha()):
+            end = html.find(">", at) + 1
+        elif m := _TAG.match(html, at):
+            rest = _REST.match(html, m.end()) if quotes else None
+            quotes = rest is not None  # no quote closes from here on, if one search ran to the end
+            end = rest.end() if rest else html.find(">", m.end()) + 1
+            kind, tag, attrs = ("end" if after == "/" else "start"), m[1].lower(), html[m.end() : max(end - 1, 0)]
+        else:
+            at += 1
+            continue
+        if end <= 0:  # no tag ends from here on
+            break
+        if at > begin:
+            yield "text", html[begin:at], ""
+        at = begin = end
+        if kind == "start" and tag in RAW:
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, end)
+            at = begin = close.end() if close else len(html)
+        elif kind:
+            yield kind, tag, attrs
+    if begin < len(html):
+        yield "text", html[begin:], ""
+
+
+class _Open:
+    """The open elements: the innermost one, and the depth of the innermost of each tag."""
+
+    def __init__(self, root: _Node):
+        self.stack, self.depths, self.solid = [root], {}, [0]
+
+    def push(self, node: _Node) -> None:
+        node.up = self.stack[-1]
+        node.up.kids.append(node)
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag not in ("span", "button"):
+            self.solid.append(len(self.stack))
+        self.stack.append(node)
+
+    def depth(self, tags: set[str]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at `depth` and all within it."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+            if self.solid[-1] == len(self.stack):
+                self.solid.pop()
+
+    def make_room(self, tag: str) -> None:
+        """Close what a block of this tag ends."""
+        if self.stack[self.solid[-1]].tag == "p":
+            self.cut(self.solid[-1])
+        if tag in CLOSES:
+            found = self.depth(CLOSES[tag])
+            if found > self.depth(FENCES[tag]):
+                self.cut(found)
+
+
+def _parse(html: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """The elements, each after the one around it, and the blocks of text in page order: element, text, characters in links."""
+    root = _Node("#page")
+    open_, nodes = _Open(root), [root]
     blocks: list[tuple[_Node, str, int]] = []
     pieces: list[str] = []
     linked: list[str] = []
     in_link = False
 
-    def put(text: str) -> None:
-        pieces.append(text)
-        if in_link:
-            linked.append(text)
-
     def flush() -> None:
         if pieces:
             text = " ".join(_decoded("".join(pieces)).split())
             if text:
-                blocks.append((here, text, min(len(text), len(" ".join(_decoded(" ".join(linked)).split())))))
+                blocks.append((open_.stack[-1], text, min(len(text), len(" ".join(_decoded(" ".join(linked)).split())))))
             pieces.clear()
             linked.clear()
 
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            put(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["end"]:
-            if tag == "a":
-                in_link = False
-            elif tag in BLOCKS or tag == "span" or tag == "button":
-                node = here
-                while node is not root and node.tag != tag:
-                    node = node.up
-                if node is not root:
-                    flush()
-                    here, in_link = node.up, False
-                elif tag == "p":
-                    flush()
-            continue
-        if tag in BREAKS:
+    for kind, tag, attrs in _tokens(html):
+        if kind == "text":
+            pieces.append(tag)
+            if in_link:
+                linked.append(tag)
+        elif tag in BREAKS:
             flush()
         elif tag == "a":
-            in_link = True
-        elif tag in BLOCKS or tag == "button" or (tag == "span" and m["attrs"]):
-            node = _Node(tag, None, m["attrs"])
-            if tag == "span" and not (node.out or node.by_word):
-                continue
-            if tag != "span":
+            in_link = kind == "start"
+        elif kind == "end":
+            if open_.depths.get(tag):
                 flush()
+                open_.cut(open_.depths[tag][-1])
                 in_link = False
-                here = _implied(here, tag, root)
-            else:
+            elif tag == "p":
+                flush()
+        elif tag in BLOCKS:
+            flush()
+            in_link = False
+            open_.make_room(tag)
+            nodes.append(_Node(tag, attrs))
+            open_.push(nodes[-1])
+        elif tag == "span" and attrs and attrs[-1] != "/":
+            node = _Node(tag, attrs)
+            if node.out or node.by_word:
                 flush()
-            node.up = here
-            here.kids.append(node)
-            if m["attrs"][-1:] != "/" or tag in BLOCKS:
-                here = node
-    if at < len(html):
-        put(html[at:])
+                nodes.append(node)
+                open_.push(node)
     flush()
-    return root, blocks
-
-
-def _implied(here: _Node, tag: str, root: _Node) -> _Node:
-    """Where a block starts: outside a paragraph, and outside an item that its kind ends."""
-    ends, fence = CLOSES.get(tag, {"p"}), FENCES.get(tag, set())
-    node, found = here, None
-    while node is not root and node.tag not in fence:
-        if node.tag in ends:
-            found = node
-            if node.tag != "p":
-                break
-        elif node.tag not in ("span", "button") and tag not in CLOSES:
-            break
-        node = node.up
-    return found.up if found is not None else here
+    return nodes, blocks
 
 
 def _decoded(text: str) -> str:
     return unescape(text) if "&" in text else text
 
 
-def _settle(node: _Node, inside: bool = False) -> bool:
-    """Decide what is out; True if an article, a main element or a first heading is within."""
-    stack, order = [(node, inside)], []
-    while stack:
-        n, within = stack.pop()
-        order.append((n, within))
-        stack += [(k, within or n.tag in ("article", "main")) for k in n.kids]
-    holds: set[int] = set()
-    for n, within in reversed(order):
-        has = n.tag in ("article", "main", "h1") or any(id(k) in holds for k in n.kids)
-        if has:
-            holds.add(id(n))
-        if n.tag == "header" and not within:
-            n.out = True
-        if n.by_word and not any(id(k) in holds for k in n.kids):
-            n.out = True
-    return id(node) in holds
+def _settle(nodes: list[_Node]) -> None:
+    """Decide what is out, with all that is in it."""
+    for n in reversed(nodes):
+        n.holds |= n.tag in ("article", "main", "h1")
+        if n.up is not None:
+            n.up.holds |= n.holds
+    for n in nodes:
+        if n.up is not None:
+            n.within = n.up.within or n.up.tag in ("article", "main")
+            n.out |= n.up.out
+        n.out |= (n.tag == "header" and not n.within) or (n.by_word and not n.holds)
 
 
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    root, blocks = _parse(html)
-    _settle(root)
-    live = []
-    for node, text, links in blocks:
-        n = node
-        while n is not None and not n.out:
-            n = n.up
-        if n is None:
-            live.append((node, text, links))
+    nodes, blocks = _parse(html)
+    _settle(nodes)
+    live = [b for b in blocks if not b[0].out]
     if not live:
         return ""
-    touched: dict[int, _Node] = {}
     for node, text, links in live:
         # Inner punctuation is what prose has and menus lack.
-        points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - links / len(text))
-        container = node.up if node.tag in ("p", "pre", "span", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote") and node.up is not None else node
-        n, share = container, 1.0
-        while n is not None:
-            n.points += points * share
-            n.chars += len(text)
-            n.links += links
-            touched[id(n)] = n
-            n, share = n.up, share / 2
-    best, most = root, float("-inf")
-    for n in touched.values():
-        if n.tag in ("html", "#page"):
-            continue
-        score = (n.points + START_POINTS.get(n.tag, 0.0) + 25 * n.good) * (1 - n.links / max(n.chars, 1))
-        n.points = score
-        if score > most:
-            best, most = n, score
-    n = best
-    while n is not None:  # the whole article around the best element
-        if n.tag in ("article", "main"):
+        holder = node.up if node.tag in LEAVES and node.up is not None else node
+        holder.points += (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) * (1 - links / len(text))
+        holder.chars += len(text)
+        holder.links += links
+    for n in reversed(nodes):
+        if n.up is not None:
+            n.up.points += n.points * PASSED.get(n.up.tag, 0.5)
+            n.up.chars += n.chars
+            n.up.links += n.links
+    best = None
+    for n in nodes:
+        n.points = (n.points + START_POINTS.get(n.tag, 0.0) + GOOD_POINTS * n.good) * (1 - n.links / n.chars) if n.chars else 0.0
+        if n.chars and n.tag not in ("html", "#page") and (best is None or n.points > best.points):
             best = n
-            if n.tag == "article":
-                break
-        n = n.up
+    best = best or nodes[0]
     best.keep = True
-    if best.up is not None and best.tag not in ("body", "#page"):
+    if best.up is not None and best.tag != "body":
         for k in best.up.kids:
-            density = k.links / max(k.chars, 1)
-            if k is not best and not k.out and (k.tag == "h1" or (id(k) in touched and density < 0.3 and k.tag == best.tag and k.points >= max(10.0, 0.2 * most))):
-                k.keep = True
-        direct = [b for b in live if b[0].up is best.up and b[0].tag == "p" and len(b[1]) > 80 and b[2] < 0.25 * len(b[1])]
-        for b in direct:
-            b[0].keep = True
-    kept = []
-    for node, text, _ in live:
-        n = node
-        while n is not None and not n.keep:
-            n = n.up
-        if n is not None:
-            kept.append(text)
-    return "\n".join(kept)
+            quiet = k.links < 0.3 * max(k.chars, 1)
+            k.keep |= not k.out and (k.tag == "h1" or (k.chars > 0 and quiet and k.tag == best.tag and k.points >= max(10.0, 0.2 * best.points)))
+        for node, text, links in live:
+            node.keep |= node.up is best.up and node.tag == "p" and len(text) > 80 and links < 0.25 * len(text)
+    for n in nodes:
+        n.keep |= n.up is not None and n.up.keep
+    return "\n".join(text for node, text, _ in live if node.keep)
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
