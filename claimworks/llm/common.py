@@ -89,6 +89,7 @@ def write_table(df: DataFrame, tag: str) -> str:
     if not _written:
         atexit.register(_last_cleanup, spark)
     _written.append(path)
+    release(spark)  # what steps before have left
     df.write.parquet(path)
     release(spark)
     return path

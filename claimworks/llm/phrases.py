@@ -249,12 +249,12 @@ def remove_repeats(
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
     blocks = pack(rows, "phrases-blocks")
     path = write_table(confirmed(blocks, window, phrase, numbers), "phrases-of-blocks")
+    release(spark)
     known = spark.read.schema("block long, phrases array<binary>").parquet(path)
     bodies = blocks.select("block", "data")
     schema = "block long, base int, highs array<long>, lows array<long>, docs array<long>, payload binary"
     found = materialize(bodies.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_windows(window, phrase, shard, numbers), schema), "phrases-windows")
     drop_path(spark, path)
-    release(spark)
     each = found.select("block", "base", F.posexplode(F.arrays_zip("highs", "lows", "docs")).alias("at", "x"))
     firsts = each.select(F.col("x.highs").alias("high"), F.col("x.lows").alias("low"), F.col("x.docs").alias("doc"), "block", (F.col("base") + F.col("at")).alias("j"))
     own = F.struct(F.col("doc").isNotNull().alias("some"), "doc", "block", "j")  # null ids come first
