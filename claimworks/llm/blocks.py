@@ -70,6 +70,24 @@ def pack(df: DataFrame, tag: str, text: str = "text", size: int = BLOCK_BYTES) -
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+#: What blocks ask of buckets, and buckets answer: one row for each block and bucket.
+MESSAGE = "block long, bucket int, data binary"
+
+
+def messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=["block", "bucket", "data"])
+
+
+def dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each bucket that occurs, in order."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    for b in range(buckets):
+        if edges[b] < edges[b + 1]:
+            yield b, order[edges[b] : edges[b + 1]]
+
+
 class Words:
     """The words of some texts: where each lies in `buffer`, its document, and its 64-bit number."""
 

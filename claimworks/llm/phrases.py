@@ -2,23 +2,21 @@
 
 1. Documents are packed into blocks. In each block every window of `WINDOW` words names
    its anchor, the phrase of `PHRASE` words in it with the least number; equal windows
-   have equal anchors whatever the numbers are. Anchors are counted by their text: those that
-   occur twice, in one block or in several, are the confirmed phrases. Only windows around
-   them can repeat.
-2. Each block gets the texts of the confirmed phrases among its anchors. They are compiled
-   into Aho-Corasick automata, a shard of at most `SHARD` phrases each; the documents of the
-   block are streamed through all of them, and the automata locate every occurrence. Only
-   windows around occurrences go on. Each stands by the 128-bit BLAKE2 digest of its text;
-   within the block all but the first of equal windows are marked.
-3. Firsts of equal windows are aggregated to the earliest, which is joined back: all others
-   are sent to their block, which removes the covered words.
+   have equal anchors whatever the numbers are. Each block sends the texts of its anchors to buckets,
+   one message a bucket; a bucket compares texts, and those that occur twice, in one block or
+   in several, are the confirmed phrases. Only windows around them can repeat.
+2. The confirmed phrases of a block are compiled into Aho-Corasick automata, a shard of at most
+   `SHARD` phrases each; the documents of the block are streamed through all of them, and the
+   automata locate every occurrence. Only windows around occurrences go on. Each stands by the
+   128-bit BLAKE2 digest of its text; within the block all but the first of equal windows are marked.
+3. Firsts of equal windows meet in buckets of digests. All but the earliest are answered with a
+   mark to their block, which removes the covered words.
 
 Numbers of words only choose anchors; what is removed is decided by texts and their
 cryptographic digests. A phrase is compiled in each block that holds it, so automata grow
 with a block and not with the corpus: one set of automata over the corpus would make work
-grow with its square. Between blocks a phrase or a window is one row per block, however often
-it repeats there, and is aggregated before it is joined back; no key, passage or group of
-copies is gathered whole.
+grow with its square. A phrase or a window is sent once per block, however often it repeats
+there, and answered with one bit; no key, passage or group of copies is gathered whole.
 
 Windows are judged on the input and order is (doc_id, start); null ids come first. Rows
 with the same id are ordered by block and place, so a repeated row is removed like a copy.
@@ -35,16 +33,17 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .blocks import Words, pack, pack_bytes, runs, unpack_bytes
-from .common import drop_path, materialize, read, release, without, write_table
+from .blocks import MESSAGE, Words, dealt, messages, pack, pack_bytes, runs, unpack_bytes
+from .common import materialize, read, without
 
 WINDOW = 20
 PHRASE = 6
 SHARD = 20_000
-#: Windows in a row of what a block sends on.
-ROW = 1 << 14
+#: Blocks for each bucket: some two million phrases or windows.
+BUCKET = 32
 
 
 def _texts(table: pa.Table, text: str = "text") -> list[bytes | None]:
@@ -95,29 +94,37 @@ class Stream:
         return np.frombuffer(b"".join(whole), np.uint64).reshape(-1, 2)
 
 
-def _anchor_rows(window: int, phrase: int, numbers: Callable[[Words], np.ndarray]):
-    """Over blocks: (phrase, block, twice) for the text of each anchor of a block."""
+def _phrases(words: Words, window: int, phrase: int, numbers: Callable[[Words], np.ndarray], buckets: int) -> tuple[np.ndarray, Stream, list[str], list[bool], np.ndarray]:
+    """Of a block: anchor places, the stream, the different texts of anchors, whether each is there twice, and its bucket."""
+    place, stream = _anchors(words, window, phrase, numbers), Stream(words)
+    found = Counter(stream.phrases(np.unique(place[place >= 0]), phrase))
+    bucket = np.fromiter((xxhash.xxh64_intdigest(t.encode("latin-1")) % buckets for t in found), np.int64, len(found))
+    return place, stream, list(found), [n > 1 for n in found.values()], bucket
+
+
+def _ask_phrases(window: int, phrase: int, numbers: Callable[[Words], np.ndarray], buckets: int):
+    """Over blocks: a message to each bucket with the texts of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                words = Words(_texts(unpack_bytes(data.as_py())))
-                place = _anchors(words, window, phrase, numbers)
-                found = Counter(Stream(words).phrases(np.unique(place[place >= 0]), phrase)) if len(words) else Counter()
-                texts, twice = list(found), [n > 1 for n in found.values()]
-                for at in range(0, len(texts), 1 << 14):
-                    part = pa.array([t.encode("latin-1") for t in texts[at : at + (1 << 14)]], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part, pa.array([block] * len(part), pa.int64()), pa.array(twice[at : at + (1 << 14)])], names=["phrase", "block", "twice"])
+                _, _, texts, twice, bucket = _phrases(Words(_texts(unpack_bytes(data.as_py()))), window, phrase, numbers, buckets)
+                for b, at in dealt(bucket, buckets):
+                    part = pa.table({"p": pa.array([texts[i].encode("latin-1") for i in at.tolist()], pa.binary()), "twice": [twice[i] for i in at.tolist()]})
+                    yield messages([(block, b, pack_bytes(part))])
 
     return run
 
 
-def confirmed(blocks: DataFrame, window: int = WINDOW, phrase: int = PHRASE, numbers: Callable[[Words], np.ndarray] = Words.numbers) -> DataFrame:
-    """(block, phrases): the anchors of each block that occur in another block too, or twice in it, by their texts."""
-    rows = blocks.select("block", "data").mapInArrow(_anchor_rows(window, phrase, numbers), "phrase binary, block long, twice boolean")
-    often = rows.groupBy("phrase").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("phrase")
-    often = materialize(often, "phrases-confirmed")
-    return rows.select("phrase", "block").join(often, "phrase", "left_semi").groupBy("block").agg(F.collect_list("phrase").alias("phrases"))
+def _confirm(key: tuple, table: pa.Table) -> pa.Table:
+    """Over the messages to a bucket: for each text of a message, does it occur twice? As bits."""
+    parts = [unpack_bytes(x.as_py()) for x in table.column("data")]
+    coded = pa.chunked_array([c for p in parts for c in p.column("p").chunks], pa.binary()).combine_chunks().dictionary_encode().indices.to_numpy()
+    twice = np.concatenate([p.column("twice").to_numpy() for p in parts])
+    yes = (np.bincount(coded) + np.bincount(coded, weights=twice) > 1)[coded]
+    ends = np.cumsum([p.num_rows for p in parts]).tolist()
+    answers = [(block, key[0].as_py(), np.packbits(yes[s:e]).tobytes()) for block, s, e in zip(table.column("block").to_pylist(), [0, *ends], ends, strict=False)]
+    return pa.Table.from_batches([messages(answers)])
 
 
 def locate(stream: Stream, phrases: list[str], shard: int = SHARD) -> np.ndarray:
@@ -154,23 +161,24 @@ def _normal(words: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), start
 
 
-def _windows(window: int, phrase: int, shard: int, numbers: Callable[[Words], np.ndarray]):
-    """Over a block and the phrases confirmed for it: the first of equal windows go on, the places of the others stay as notes."""
+def _bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def _windows(window: int, phrase: int, shard: int, numbers: Callable[[Words], np.ndarray], buckets: int):
+    """Over a block and its confirmed phrases: the first of equal windows go to buckets, places are noted (bucket -1)."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        phrases = [t.decode("latin-1") for part in right.column("phrases").to_pylist() for t in part]
-        rows: dict[str, list] = {"base": [], "highs": [], "lows": [], "docs": [], "payload": []}
+        block, rows = key[0].as_py(), []
+        answers = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
         for data in left.column("data"):
             table = unpack_bytes(data.as_py())
             ids = table.column("key").to_pylist()
             words = Words(_texts(table))
-            n = len(words)
-            near, digest = np.empty(0, np.int64), np.empty((0, 2), np.uint64)
-            if phrases:
-                place, stream = _anchors(words, window, phrase, numbers), Stream(words)
-                near = np.flatnonzero((place >= 0) & locate(stream, phrases, shard)[place])
-                digest = stream.digests(near, window)
+            place, stream, texts, _, bucket = _phrases(words, window, phrase, numbers, buckets)
+            known = [texts[i] for b, at in dealt(bucket, buckets) for i in at[_bits(answers[b], len(at))].tolist()]
+            near = np.flatnonzero((place >= 0) & locate(stream, known, shard)[place])
+            digest = stream.digests(near, window)
             # Earliest first: by document, then place.
             doc = np.repeat(np.arange(len(ids)), words.last - words.first)[near]
             rank = np.empty(len(ids), np.int64)
@@ -178,40 +186,47 @@ def _windows(window: int, phrase: int, shard: int, numbers: Callable[[Words], np
             order = np.lexsort((near, rank[doc], digest[:, 1], digest[:, 0]))
             fresh = np.ones(len(order), bool)
             fresh[1:] = (digest[order][1:] != digest[order][:-1]).any(axis=1)
-            firsts, later = near[order[fresh]], near[order[~fresh]]
-            bits = np.zeros(n, bool)
-            bits[later] = True
-            payload = pack_bytes(pa.table({"later": pa.array([np.packbits(bits).tobytes()]), "first": pa.array([firsts.astype(np.int32).tobytes()])}))
-            sums, owners = digest[order[fresh]].view(np.int64), doc[order[fresh]].tolist()
-            for at in range(0, max(len(firsts), 1), ROW):
-                rows["base"].append(at)
-                rows["highs"].append(sums[at : at + ROW, 0])
-                rows["lows"].append(sums[at : at + ROW, 1])
-                rows["docs"].append([ids[i] for i in owners[at : at + ROW]])
-                rows["payload"].append(payload if at == 0 else None)
-        kinds = {"base": pa.int32(), "highs": pa.list_(pa.int64()), "lows": pa.list_(pa.int64()), "docs": pa.list_(pa.int64()), "payload": pa.binary()}
-        return pa.table({"block": pa.array([block] * len(rows["base"]), pa.int64()), **{k: pa.array(rows[k], t) for k, t in kinds.items()}})
+            later = np.zeros(len(words), bool)
+            later[near[order[~fresh]]] = True
+            firsts = np.sort(order[fresh])  # in page order, which packs well
+            target = (digest[firsts, 0] % np.uint64(buckets)).astype(np.int64)
+            note = {"later": [np.packbits(later).tobytes()], "first": [near[firsts].astype(np.int32).tobytes()], "bucket": [target.astype(np.int32).tobytes()]}
+            rows.append((block, -1, pack_bytes(pa.table(note))))
+            for b, at in dealt(target, buckets):
+                own = firsts[at]
+                part = {"high": digest[own, 0], "low": digest[own, 1], "doc": pa.array([ids[i] for i in doc[own].tolist()], pa.int64())}
+                rows.append((block, b, pack_bytes(pa.table(part))))
+        return pa.Table.from_batches([messages(rows)])
 
     return run
 
 
+def _judge(key: tuple, table: pa.Table) -> pa.Table:
+    """Over the messages to a bucket of digests: for each window of a message, does it start earlier elsewhere? As bits."""
+    blocks = table.column("block").to_pylist()
+    parts = [unpack_bytes(x.as_py()) for x in table.column("data")]
+    sizes = [p.num_rows for p in parts]
+    high, low = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("high", "low"))
+    some = np.concatenate([p.column("doc").is_valid().to_numpy() for p in parts])
+    doc = np.concatenate([p.column("doc").fill_null(0).to_numpy() for p in parts])
+    order = np.lexsort((np.repeat(np.array(blocks), sizes), doc, some, low, high))
+    later = np.zeros(len(order), bool)
+    later[order[1:]] = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+    ends = np.cumsum(sizes).tolist()
+    answers = [(block, key[0].as_py(), np.packbits(later[s:e]).tobytes()) for block, s, e in zip(blocks, [0, *ends], ends, strict=False)]
+    return pa.Table.from_batches([messages(answers)])
+
+
 def _remove(window: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         table = unpack_bytes(left.column("data")[0].as_py())
         words = Words(_texts(table))
         n = len(words)
-        gone = np.zeros(n, bool)
-        repeated = [np.empty(0, np.int32)]
-        for payload, js in zip(right.column("payload").to_pylist(), right.column("js"), strict=True):
-            if payload is not None:
-                notes = unpack_bytes(payload)
-                gone |= np.unpackbits(np.frombuffer(notes.column("later")[0].as_py(), np.uint8), count=n).astype(bool)
-                first = np.frombuffer(notes.column("first")[0].as_py(), np.int32)
-            if js.is_valid and len(js.values):
-                repeated.append(np.asarray(js.values))
-        js = np.concatenate(repeated)
-        if len(js):
-            gone[first[js]] = True
+        answers = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
+        note = {c: v[0] for c, v in unpack_bytes(answers.pop(-1)).to_pydict().items()}
+        gone, first, target = _bits(note["later"], n), np.frombuffer(note["first"], np.int32), np.frombuffer(note["bucket"], np.int32)
+        for b, at in dealt(target, int(target.max(initial=0)) + 1):
+            gone[first[at[_bits(answers[b], len(at))]]] = True
         # Cover the window that starts at each marked word.
         edge = np.zeros(n + window + 1, np.int64)
         starts = np.flatnonzero(gone)
@@ -242,28 +257,19 @@ def remove_repeats(
 
     `numbers` gives each word a number; any function of a word's text will do.
     """
-    spark = df.sparkSession
     df = without(df, "n_words", "n_removed", "kept")
     rest = [c for c in df.columns if c not in (key, text)]
     # Inside, columns are numbered, so names of the caller can't clash.
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
     blocks = pack(rows, "phrases-blocks")
-    path = write_table(confirmed(blocks, window, phrase, numbers), "phrases-of-blocks")
-    release(spark)
-    known = spark.read.schema("block long, phrases array<binary>").parquet(path)
+    buckets = -(-blocks.count() // BUCKET) or 1
     bodies = blocks.select("block", "data")
-    schema = "block long, base int, highs array<long>, lows array<long>, docs array<long>, payload binary"
-    found = materialize(bodies.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_windows(window, phrase, shard, numbers), schema), "phrases-windows")
-    drop_path(spark, path)
-    each = found.select("block", "base", F.posexplode(F.arrays_zip("highs", "lows", "docs")).alias("at", "x"))
-    firsts = each.select(F.col("x.highs").alias("high"), F.col("x.lows").alias("low"), F.col("x.docs").alias("doc"), "block", (F.col("base") + F.col("at")).alias("j"))
-    own = F.struct(F.col("doc").isNotNull().alias("some"), "doc", "block", "j")  # null ids come first
-    earliest = firsts.groupBy("high", "low").agg(F.min(own).alias("e"), F.count("*").alias("n")).where("n > 1").select("high", "low", F.col("e.block").alias("eb"), F.col("e.j").alias("ej"))
-    earliest = materialize(earliest, "phrases-earliest")
-    later = firsts.select("high", "low", "block", "j").join(earliest, ["high", "low"]).where("block <> eb or j <> ej")
-    again = materialize(later.groupBy("block").agg(F.collect_list("j").alias("js")), "phrases-later")
-    notes = found.where("payload is not null").select("block", "payload", F.lit(None).cast("array<int>").alias("js"))
-    notes = notes.union(again.select("block", F.lit(None).cast("binary").alias("payload"), "js"))
+    asked = bodies.mapInArrow(_ask_phrases(window, phrase, numbers, buckets), MESSAGE)
+    known = materialize(asked.groupBy("bucket").applyInArrow(_confirm, MESSAGE), "phrases-confirmed")
+    found = bodies.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_windows(window, phrase, shard, numbers, buckets), MESSAGE)
+    found = materialize(found, "phrases-windows")
+    judged = materialize(found.where("bucket >= 0").groupBy("bucket").applyInArrow(_judge, MESSAGE), "phrases-judged")
+    notes = found.where("bucket = -1").union(judged)
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, t) for c, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()))]])
     out = bodies.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_remove(window), schema)
     return out.select(F.col("key").alias(key), F.col("text").alias(text), *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], "n_words", "n_removed", "kept")
