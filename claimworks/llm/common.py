@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Separators of words in every contract: space and \x09-\x0D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
+#: Shuffle files go with the write that made them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
 _written: list[str] = []
@@ -89,8 +92,12 @@ def write_table(df: DataFrame, tag: str) -> str:
     if not _written:
         atexit.register(_last_cleanup, spark)
     _written.append(path)
-    release(spark)  # what steps before have left
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # a table that is written needs its shuffle files no more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     release(spark)
     return path
 

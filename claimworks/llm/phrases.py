@@ -42,8 +42,8 @@ from .common import materialize, read, without
 WINDOW = 20
 PHRASE = 6
 SHARD = 20_000
-#: Blocks for each bucket: some two million phrases or windows.
-BUCKET = 32
+#: Blocks for each bucket: some half a million phrases or windows.
+BUCKET = 8
 
 
 def _texts(table: pa.Table, text: str = "text") -> list[bytes | None]:
