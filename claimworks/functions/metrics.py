@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import vocab as V
@@ -27,13 +29,13 @@ def unit(raw: Column, kind: Column) -> Column:
 
 def value(number: Column, raw_unit: Column, kind: Column) -> Column:
 
-    def scaled(x: Column) -> Column:
+    def scaled(x: dict[str, Column]) -> Column:
         factor = F.lit(1.0)
         for name, times in V.MULTIPLIERS.items():
             factor = F.when(x["low"] == name, times).otherwise(factor)
         return F.when(x["kind"].isin(V.SCALED_FAMILIES), x["number"] * factor).otherwise(x["number"])
 
-    return let(scaled, low=F.lower(F.trim(raw_unit)), kind=kind, number=number)
+    return scaled({"low": F.lower(F.trim(raw_unit)), "kind": kind, "number": number})
 
 
 def metric_key(own: Column, other: Column) -> Column:
@@ -62,19 +64,32 @@ def warnings(key: Column, number: Column, baseline: Column, baseline_key_: Colum
     )
 
 
+#: What a normalised claim depends on, but for its value.
+_NAMES = ["claim_type", "predicate", "object", "unit", "baseline"]
+
+
 def normalize(claims: DataFrame) -> DataFrame:
-    """Claims (claim_type, predicate, object, value, unit, baseline) with the columns of a normalised claim; other claims than metrics keep blanks."""
+    """Claims (claim_type, predicate, object, value, unit, baseline) with the columns of a normalised claim; other claims than metrics keep blanks.
+
+    Names repeat far more often than claims differ: each combination is worked out once and joined back.
+    """
+    names = claims.select(_NAMES).distinct()
     metric = F.col("claim_type") == "metric"
     p, o, u = (F.coalesce(F.col(c), F.lit("")) for c in ("predicate", "object", "unit"))
     # Shared parts are columns of their own, so each is worked out once.
-    out = claims.withColumns({"_own": word_key(p, V.KEY_STOP_WORDS), "_other": word_key(o, V.KEY_STOP_WORDS), "_hay": F.lower(F.concat_ws(" ", p, u, o)), "_told": F.lower(F.concat_ws(" ", p, o))})
+    out = names.withColumns({"_own": word_key(p, V.KEY_STOP_WORDS), "_other": word_key(o, V.KEY_STOP_WORDS), "_hay": F.lower(F.concat_ws(" ", p, u, o)), "_told": F.lower(F.concat_ws(" ", p, o))})
     out = out.withColumns({"unit_family": F.when(metric, family(F.col("_hay"))).otherwise(""), "metric_key": F.when(metric, metric_key(F.col("_own"), F.col("_other"))).otherwise("")})
     out = out.withColumn("normalized_unit", F.when(metric, unit(u, F.col("unit_family"))).otherwise(""))
-    out = out.withColumn("normalized_value", F.when(metric, value(F.col("value"), u, F.col("unit_family"))))
     out = out.withColumn("baseline_key", baseline_key(F.col("baseline")))
-    out = out.withColumn("protocol_key", F.when(metric, protocol_key(F.col("_told"))).otherwise(""))
+    out = out.withColumn("protocol_key", F.when(metric, protocol_key(F.col("_told"))).otherwise("")).drop("_own", "_other", "_hay", "_told")
+    made = [c for c in out.columns if c not in _NAMES]
+    keyed = out.select(*[F.col(c).alias(f"_{c}") for c in _NAMES], *made)
+    same = [claims[c].eqNullSafe(keyed[f"_{c}"]) for c in _NAMES]
+    both = claims.join(keyed, reduce(lambda a, b: a & b, same)).select(*[claims[c] for c in claims.columns], *[keyed[c] for c in made])
+    u = F.coalesce(F.col("unit"), F.lit(""))
+    both = both.withColumn("normalized_value", F.when(metric, value(F.col("value"), u, F.col("unit_family"))))
     none = F.array().cast("array<string>")
-    return out.withColumn("normalization_warnings", F.when(metric, warnings(F.col("metric_key"), F.col("normalized_value"), F.col("baseline"), F.col("baseline_key"))).otherwise(none)).drop("_own", "_other", "_hay", "_told")
+    return both.withColumn("normalization_warnings", F.when(metric, warnings(F.col("metric_key"), F.col("normalized_value"), F.col("baseline"), F.col("baseline_key"))).otherwise(none))
 
 
 def review_reasons() -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, functions as F
 from .vocab import APPROXIMATE, QUOTE_LENGTH, SUSPICIOUS
 
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: Results depend on these patterns as they are.
+WIKI_LINK = r"\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
 NUMBER = r"([-+]?\d+(?:,\d{3})*(?:\.\d+)?)\s*([A-Za-z%]+)?"
 
 
@@ -68,8 +70,8 @@ def table_rows(block: Column, heads: tuple[str, ...] = ("metric", "")) -> Column
 
 
 def links(body: Column) -> Column:
-    """Targets of [[target#part|label]], each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"), 1), lambda x: F.trim(x)))
+    """Targets of [[target#part|label]], each once; a part or label that is there is not empty."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(WIKI_LINK), 1), lambda x: F.trim(x)))
 
 
 def entities(x: Column, most: int = 8) -> Column:

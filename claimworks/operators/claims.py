@@ -27,7 +27,9 @@ def extract(pages: DataFrame, registry: DataFrame, as_of: str) -> DataFrame:
     sources = pages.where((F.col("folder") == "sources") & F.col("stem").rlike(r"^LLM-"))
     sources = sources.withColumn("source_id", F.coalesce(F.col("frontmatter")["id"], F.col("stem"))).withColumn("title", F.coalesce(F.col("frontmatter")["title"], F.col("stem")))
     linked = sources.select("relpath", F.explode("links").alias("concept")).join(concepts, "concept", "left_semi").groupBy("relpath").agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
-    known = registry.groupBy("source_id").agg(F.last("source_uuid", ignorenulls=True).alias("known"))
+    # The last registry row of a source counts: by line, else by date; equal ones by the identity itself.
+    order = F.struct(*[c for c in ("line_no", "updated", "source_uuid") if c in registry.columns])
+    known = registry.where("source_uuid is not null").groupBy("source_id").agg(F.max_by("source_uuid", order).alias("known"))
     sources = sources.join(linked, "relpath", "left").join(known, "source_id", "left")
     sources = sources.withColumn("source_uuid", F.coalesce("known", X.source_uuid(F.col("source_id")))).withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
     base = sources.select("relpath", "source_id", "source_uuid", "title", "concepts", "body")

@@ -91,16 +91,27 @@ def induced(nodes_: DataFrame, edges_: DataFrame, within: DataFrame) -> tuple[Da
 
 
 def resolve(nodes_: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target) -> (target, id): by id, path, stem of the id or label, in that order; the least id of the first kind that fits."""
+    """(target) -> (target, id), by the first step that gives a node: the id itself; a claim by `claims/...#id`; a source, draft or
+    concept by its page; a source by its number; a claim, then a concept by its bare name. Null if none does."""
+    value = F.trim("target")
+    stem = F.regexp_extract(value, r"([^/]+)\.md$", 1)
+    number = F.regexp_extract(value, r"\b(LLM-\d{4})\b", 1)
+    page = lambda folder: value.startswith(f"{folder}/") & value.endswith(".md")
+    by_number = F.when(number != "", number).otherwise(stem)
+    steps = [
+        value,
+        F.when(value.startswith("claims/") & value.contains("#"), F.concat(F.lit("claim:"), F.substring_index(value, "#", -1))),
+        F.when(page("sources"), F.concat(F.lit("source:"), by_number)),
+        F.when(page("drafts"), F.concat(F.lit("draft:"), by_number)),
+        F.when(page("concepts"), F.concat(F.lit("concept:"), stem)),
+        F.when(value.rlike(r"^LLM-\d{4}$"), F.concat(F.lit("source:"), value)),
+        F.concat(F.lit("claim:"), value),
+        F.concat(F.lit("concept:"), value),
+    ]
     t = targets.select("target").distinct()
-    tail = F.substring_index("id", ":", -1)
-    keys = [(1, F.col("id")), (2, F.col("path")), (3, tail), (4, F.lower("label"))]
-    options = None
-    for rank, key in keys:
-        part = nodes_.select(F.lower(key).alias("key") if rank == 4 else key.alias("key"), "id", F.lit(rank).alias("rank"))
-        options = part if options is None else options.unionByName(part)
-    found = t.join(options, (F.col("key") == F.col("target")) | False, "left").groupBy("target").agg(F.min(F.struct("rank", "id")).alias("f"))
-    return found.select("target", F.col("f.id").alias("id"))
+    tried = t.select("target", F.posexplode(F.array(*steps)).alias("step", "id")).where("id <> ''")
+    found = tried.join(nodes_.select("id"), "id", "left_semi").groupBy("target").agg(F.min_by("id", "step").alias("id"))
+    return t.join(found, "target", "left")
 
 
 def layers(nodes_: DataFrame) -> DataFrame:

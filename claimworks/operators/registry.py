@@ -16,16 +16,17 @@ def duplicate_groups(rows: DataFrame, item: str, keys: list[str] = KEYS, order:
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key_type"), F.col(k).cast("string").alias("key")) for k in keys]))
     long = rows.select(F.col(order or item).alias("o"), F.col(item).alias("item"), pairs.alias("k")).select("o", "item", "k.key_type", "k.key")
     long = long.where(F.coalesce("key", F.lit("")) != "")
-    repeated = long.groupBy("key_type", "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("o", "item"))).alias("all"))
-    return repeated.where("n > 1").select("key_type", "key", F.transform("all", lambda x: x["item"]).alias("items"), "n")
+    often = long.groupBy("key_type", "key").agg(F.count("*").alias("n")).where("n > 1")
+    listed = long.join(often, ["key_type", "key"]).groupBy("key_type", "key", "n").agg(F.array_sort(F.collect_list(F.struct("o", "item"))).alias("all"))
+    return listed.select("key_type", "key", F.transform("all", lambda x: x["item"]).alias("items"), "n")
 
 
 def mark_duplicates(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, duplicate_of, status): rows with the content of an earlier one are archived duplicates of it."""
-    w = W.partitionBy(content)
-    first = F.min(key).over(w)
-    twice = F.col(content).isNotNull() & (F.col(key) != first)
-    return rows.select(key, F.when(twice, first).alias("duplicate_of"), F.when(twice, "archived").otherwise("candidate").alias("status"))
+    first = rows.where(F.col(content).isNotNull()).groupBy(F.col(content).alias("_same")).agg(F.min(key).alias("_first"))
+    both = rows.select(key, F.col(content).alias("_own")).join(first, F.col("_own") == F.col("_same"), "left")
+    twice = F.coalesce(F.col(key) != F.col("_first"), F.lit(False))
+    return both.select(key, F.when(twice, F.col("_first")).alias("duplicate_of"), F.when(twice, "archived").otherwise("candidate").alias("status"))
 
 
 def register(known: DataFrame, found: DataFrame, as_of: str) -> DataFrame:

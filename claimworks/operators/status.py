@@ -19,7 +19,8 @@ def kpis(named: dict[str, DataFrame]) -> DataFrame:
 def actions(rows: DataFrame, as_of: str) -> DataFrame:
     """(kind, severity, object_type, object_id, reason) with fingerprints; equal fingerprints are one action."""
     named = rows.withColumn("action_id", X.action_id(F.col("kind"), F.col("object_type"), F.col("object_id"), F.col("reason")))
-    return named.dropDuplicates(["action_id"]).withColumn("status", F.lit("open")).withColumn("created_at", F.lit(as_of))
+    least = F.min(F.struct(*[c for c in named.columns if c != "action_id"])).alias("a")
+    return named.groupBy("action_id").agg(least).select("a.*", "action_id").withColumn("status", F.lit("open")).withColumn("created_at", F.lit(as_of))
 
 
 def with_state(actions_: DataFrame, state: DataFrame) -> DataFrame:

@@ -14,8 +14,13 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def upsert(queue: DataFrame, asked: DataFrame) -> DataFrame:
-    """`asked` (action, target, due_at, reason, priority) into the queue: a running task is left, a pending one updated, else a row is added."""
-    new = asked.withColumn("task_id", X.task_id(F.col("action"), F.col("target"))).dropDuplicates(["task_id"])
+    """`asked` (action, target, due_at, reason, priority) into the queue: a running task is left, a pending one updated, else a row is added.
+
+    Of several that ask for one task the one with the least priority number, then the earliest, counts.
+    """
+    named = asked.withColumn("task_id", X.task_id(F.col("action"), F.col("target")))
+    first = F.min(F.struct("priority", "due_at", *[c for c in named.columns if c not in ("priority", "due_at", "task_id")])).alias("a")
+    new = named.groupBy("task_id").agg(first).select("task_id", "a.*")
     live = queue.where(F.col("status").isin("pending", "running")).select("task_id", "status").distinct()
     told = new.select("task_id", *[F.col(c).alias(f"_{c}") for c in ("due_at", "reason", "priority")])
     kept = queue.join(told, "task_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import LINE_END, links, lines
+from ..functions.text import LINE_END, let, links, lines
 
 CLAIMS = (
     "claim_id string, source_uuid string, source_id string, chunk_id string, claim_text string, normalized_claim string, claim_type string, "
@@ -27,9 +27,10 @@ def header(text: Column) -> Column:
     block = F.when(closed, F.regexp_extract(text, r"(?ms)\A---[ \t]*(?:\r\n|\n|\r)(.*?)^[ \t]*---[ \t]*$", 1)).otherwise(block)
     pairs = F.filter(F.split(block, LINE_END), lambda x: x.contains(":") & ~F.ltrim(x).startswith("-") & (F.trim(F.substring_index(x, ":", 1)) != ""))
     named = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.call_function("btrim", F.trim(F.regexp_replace(x, r"^[^:]*:", "")), F.lit('"')).alias("value")))
-    # Keep the last of each key: map_from_entries doesn't allow two.
-    last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["key"] == x["key"]))
-    return F.when(closed, F.map_from_entries(last))
+    # Keep the last of each key: map_from_entries doesn't allow two. `let` parses once.
+    later = lambda s, i: F.slice(s["named"], i + 2, F.size(s["named"]))
+    last = let(lambda s: F.map_from_entries(F.filter(s["named"], lambda x, i: ~F.exists(later(s, i), lambda y: y["key"] == x["key"]))), named=named)
+    return F.when(closed, last)
 
 
 def body(text: Column) -> Column:
@@ -86,12 +87,12 @@ def json_lines_with_issues(spark: SparkSession, path: str, schema: str) -> tuple
     return rows.where("_bad is null").drop("_bad"), issue
 
 
-def raw_files(spark: SparkSession, store: str) -> DataFrame:
-    """(path, length, sha256) of evidence files: dot files, parsed folders and auxiliary notes are left out."""
+def raw_files(spark: SparkSession, store: str, hashed: bool = True) -> DataFrame:
+    """(path, length, sha256) of evidence files: dot files, parsed folders and auxiliary notes are left out. Unless `hashed`, no content is read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{store}/raw")
     name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
     skip = name.startswith(".") | F.col("path").rlike(r"/([^/]*_markdown|__MACOSX|inbox)/") | name.isin("_translation_cache.json", "index.md", "index.txt", "索引.md", "索引.txt")
-    return rows.where(~skip).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return rows.where(~skip).select("path", "length", *[F.sha2("content", 256).alias("sha256")] * hashed)
 
 
 def parsed_corpus(spark: SparkSession, store: str) -> DataFrame:
@@ -100,7 +101,8 @@ def parsed_corpus(spark: SparkSession, store: str) -> DataFrame:
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+_markdown)/combined\.md$", 1).alias("folder"), F.col("value").alias("text")).where("folder <> ''")
 
 
-LOG_LINE = r"^\[(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2})?)\]\s+([^|]+)\|([^|]+)\|([^|]+)\|(.+)$"
+#: Fixed value: a log line, with its parts as groups.
+LOG_LINE = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2})\] ([a-z-]+) \| (.+) \| (.+) \| (.+)$"
 
 
 def log_rows(lines_: DataFrame, line: str = "line") -> DataFrame:
