@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import ship, write_table
+from .common import read_table, ship, write_table
 
 BLOCK_BYTES = 2 << 20
 SCHEMA = "block long, n long, data binary"
@@ -67,7 +67,7 @@ def pack(df: DataFrame, tag: str, text: str = "text", size: int = BLOCK_BYTES) -
             yield row()
 
     path = write_table(df.mapInArrow(run, SCHEMA), tag)
-    return spark.read.schema(SCHEMA).parquet(path)
+    return read_table(spark, path, SCHEMA)
 
 
 #: What blocks ask of buckets, and buckets answer: one row for each block and bucket.

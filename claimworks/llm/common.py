@@ -117,8 +117,20 @@ def _last_cleanup(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder and read it again."""
-    spark, schema = df.sparkSession, df.schema
-    return spark.read.schema(schema).parquet(write_table(df, tag))
+    return read_table(df.sparkSession, write_table(df, tag), df.schema)
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A written table, which `drop_table` can delete before `cleanup` does."""
+    df = spark.read.schema(schema).parquet(path)
+    df.written_at = path
+    return df
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables that nothing will read again."""
+    for df in tables:
+        drop_path(df.sparkSession, df.written_at)
 
 
 def free_name(df: DataFrame, name: str) -> str:
