@@ -419,3 +419,6 @@ SELECT user_id, count(DISTINCT k)::BIGINT AS sessions, max(n)::BIGINT AS longest
 def event_sessions(s, sf):
     n = incremental.sessions(B.table(s, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return n.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+from . import store_queries  # noqa: E402, F401  registers its queries too
