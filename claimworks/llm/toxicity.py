@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-1. A sample of at most `FIT_ROWS` labelled training rows is mined for words and word
-   beginnings that are nearly always found in toxic texts; of those, the ones that between
-   them explain most toxic texts are kept (greedy cover, each text up to `DEPTH` times), so
-   the words of one text with many copies don't pass for toxic ones.
+1. A sample of at most `FIT_ROWS` labelled training rows, equal texts once, is mined for words and
+   word beginnings that at least `LEAST` toxic texts have and hardly any clean one. Each toxic text
+   names its `DEPTH` most frequent ones, and those that at least `GAIN` texts name are kept, so
+   the words of one text, or of its copies, don't pass for toxic ones and push out no others.
 2. Voters: short lexicons for each language, patterns (address, heat, disguised spelling),
    the mined words and beginnings in groups, and one that votes for clean where none of
    these is found. A voter says 1, 0 or nothing.
@@ -14,7 +14,7 @@
 4. A logistic classifier on the presence of mined words, beginnings and pattern features is
    trained on the posterior labels of the sample. It gives the score.
 
-The sample's bound is a parameter; vote counts cover all rows. Labels, languages, sources
+The sample's bound is a parameter, and so are the three numbers above; vote counts cover all rows. Labels, languages, sources
 and ids are not inputs of a score.
 
 Null and empty texts have no features and get the score of a text without any. Without
@@ -33,10 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import fold, read, ship, without
+from .common import fold, materialize, read, ship, without
 
 FIT_ROWS = 20_000
-CANDIDATES = 4096
 LEAST = 4
 GAIN = 3
 DEPTH = 3
@@ -141,8 +140,8 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + self.weight[features].sum()))))
 
 
-def _mine(rows: DataFrame) -> dict[str, int]:
-    """Stems of a bounded sample (text, toxic)."""
+def _mine(rows: DataFrame, least: int = LEAST, gain: int = GAIN, depth: int = DEPTH) -> dict[str, int]:
+    """Stems of a bounded sample of different texts (id, text, toxic)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean, toxic = Counter(), Counter()
@@ -154,34 +153,20 @@ def _mine(rows: DataFrame) -> dict[str, int]:
             part = keys[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([clean[k] for k in part], pa.int64()), pa.array([toxic[k] for k in part], pa.int64())], names=["mark", "clean", "toxic"])
 
-    table = rows.mapInArrow(count, "mark string, clean long, toxic long").groupBy("mark").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sure = table.where((F.col("toxic") >= LEAST) & (F.col("toxic") >= 0.8 * (F.col("toxic") + F.col("clean") + 1)) & (F.col("clean") * 9 <= F.col("toxic")))
-    chosen = sure.orderBy(F.desc("toxic"), F.desc(F.length("mark")), "mark").limit(CANDIDATES).collect()
-    candidates = {r["mark"]: r["toxic"] for r in chosen}
-    if not candidates:
-        return {}
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = candidates.keys()
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(names & marks(_parts(t or "")[1])) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["marks"])
-
-    texts = [set(r.marks) for r in rows.where("toxic = 1").select("text").distinct().mapInArrow(hits, "marks array<string>").collect()]
-    need = [DEPTH] * len(texts)
-    gain, picked = Counter(m for t in texts for m in t), []
-    while gain:
-        best = min(gain, key=lambda m: (-gain[m], -candidates[m], -len(m), m))
-        if gain[best] < GAIN:
-            break
-        picked.append(best)
-        for i, t in enumerate(texts):
-            if best in t and need[i]:
-                need[i] -= 1
-                if not need[i]:
-                    gain.subtract(t)
-        del gain[best]
-    return {m: i for i, m in enumerate(picked)}
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = pa.array(sorted(marks(_parts(text or "")[1])), pa.string())
+                for at in range(0, len(found), 10_000):
+                    part = found.slice(at, 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(part), pa.int64()), part], names=["id", "mark"])
+
+    table = rows.select("text", "toxic").mapInArrow(count, "mark string, clean long, toxic long").groupBy("mark").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sure = table.where((F.col("toxic") >= least) & (F.col("toxic") >= 0.8 * (F.col("toxic") + F.col("clean") + 1)) & (F.col("clean") * 9 <= F.col("toxic"))).select("mark", "toxic")
+    own = rows.where("toxic = 1").select("id", "text").mapInArrow(named, "id long, mark string").join(sure, "mark")
+    best = own.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("toxic", F.length("mark").alias("n"), "mark")), asc=False), 1, depth).alias("best"))
+    picked = best.select(F.explode("best.mark").alias("mark")).groupBy("mark").count().where(F.col("count") >= gain)
+    return {m: i for i, m in enumerate(sorted(r["mark"] for r in picked.collect()))}  # at most depth * FIT_ROWS / gain
 
 
 def label_model(counts: dict[str, int], prior: float, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
@@ -236,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ship(docs.sparkSession)
     labelled = labels.where(F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     sample = labelled.orderBy(F.xxhash64(key), key).limit(fit_rows)
-    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).select("text", "toxic")
+    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = materialize(rows.select(F.xxhash64("text").alias("id"), "text", "toxic"), "toxicity-sample")  # read several times, documents once
     model = Model(_mine(rows))
     voters = [v for _, v in model.voters()]
 
