@@ -9,7 +9,8 @@ blocks of one more pass, evenly spaced from a seeded offset. What a document giv
 follows from its place in the shard in closed form, so blocks are never rows.
 
 Only the blocks near the quota (a source's or shard's exact share, give or take its share
-of half the contenders) are ranked: Sainte-Laguë never strays further.
+of half the contenders) are ranked: Sainte-Laguë never strays further. Ranking is a sort by ranges,
+so neither many sources nor many shards of one source meet in a task.
 
 Null sources are one source, last in order. Null and empty texts have size 0 and give
 nothing. Repeated rows count each. An empty table gives an empty result. Columns of the
@@ -18,6 +19,8 @@ input that have an output's name are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import WORD_GAP, free_name, materialize, read
@@ -40,42 +43,75 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def ranked(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
+    """`df` with `_at`, the place of each row in the order from 0 on: a sort by ranges of keys, then the sizes of its
+    partitions (one number each) are added up. No task sees more than its range."""
+    spark = df.sparkSession
+    sorted_ = materialize(df.orderBy(*order).withColumn("_i", F.monotonically_increasing_id()), tag)
+    part = F.shiftright("_i", 33)
+    offsets, before = [], 0
+    for r in sorted(sorted_.groupBy(part.alias("p")).count().collect()):  # a row for each partition
+        offsets.append((r["p"], before))
+        before += r["count"]
+    table = spark.createDataFrame(offsets, "_p long, _before long")
+    at = F.col("_before") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_.join(F.broadcast(table), part == F.col("_p")).withColumn("_at", at).drop("_i", "_p", "_before")
+
+
+def _with_totals(rows: DataFrame, by: list[str], *totals: Column) -> DataFrame:
+    """`rows` with totals of their group, by an aggregation that is joined back; null is a group like any other."""
+    sums = rows.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(*totals)
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    return rows.join(sums, reduce(lambda a, b: a & b, same)).drop(*[f"_g{i}" for i in range(len(by))])
+
+
 def _apportion(votes: DataFrame, by: list[str], order: list[Column], seats: str) -> DataFrame:
     """`votes` (with columns vote and the total `seats` of its group `by`) and `won`, its seats."""
-    group = W.partitionBy(*by)
-    v = votes.withColumn("_all", F.sum("vote").over(group)).withColumn("_n", F.count("*").over(group))
+    kept = votes.columns
+    by = by or ["_one"]
+    v = _with_totals(votes.withColumn("_one", F.lit(1)), by, F.sum("vote").alias("_all"), F.count("*").alias("_n"))
     v = v.withColumn("_share", F.when(F.col("_all") > 0, F.col("vote") / F.col("_all")).otherwise(0.0))
     v = v.withColumn("_even", F.floor(F.col("_share") * F.col(seats)))
     v = v.withColumn("_off", F.ceil(F.col("_share") * F.col("_n") / 2.0) + 2)
     v = v.withColumn("_low", F.greatest(F.col("_even") - F.col("_off"), F.lit(0).cast("long")))
-    v = v.withColumn("_rest", F.col(seats) - F.sum("_low").over(group))
-    tried = v.withColumn("_s", F.explode(F.sequence(F.col("_low"), F.col("_even") + F.col("_off"))))
-    tried = tried.withColumn("_q", F.col("vote") / (2 * F.col("_s") + 1))
-    ranked = tried.withColumn("_r", F.row_number().over(group.orderBy(F.col("_q").desc(), *order, F.col("_s"))))
-    kept = [c for c in votes.columns]
-    return ranked.groupBy(*kept, "_low").agg(F.count_if((F.col("_r") <= F.col("_rest")) & (F.col("vote") > 0)).alias("_more")).select(*kept, (F.col("_low") + F.col("_more")).alias("won"))
+    v = materialize(v, "mix-votes")
+    tried = v.withColumn("_s", F.explode(F.sequence(F.col("_low"), F.col("_even") + F.col("_off")))).withColumn("_q", F.col("vote") / (2 * F.col("_s") + 1))
+    placed = ranked(tried, [*[F.col(c).asc_nulls_last() for c in by], F.col("_q").desc(), *order, F.col("_s")], "mix-tried")
+    placed = _with_totals(placed, by, F.min("_at").alias("_first"))
+    rest = _with_totals(v, by, F.sum("_low").alias("_lows")).select(*kept, "_one", "_low", (F.col(seats) - F.col("_lows")).alias("_rest"))
+    # A contender's tries stand in order of its quotients, so those that win come first.
+    got = placed.groupBy(*kept, "_low").agg(F.collect_list(F.col("_at") - F.col("_first")).alias("_ranks"))
+    same = reduce(lambda a, b: a & b, [rest[c].eqNullSafe(got[c]) for c in [*kept, "_low"]])
+    both = rest.join(got.select(*kept, "_low", "_ranks"), same).select(*[rest[c] for c in [*kept, "_low", "_rest"]], "_ranks")
+    more = F.when(F.col("vote") > 0, F.size(F.filter("_ranks", lambda r: r < F.col("_rest")))).otherwise(0)
+    return both.select(*kept, (F.col("_low") + more).alias("won"))
+
+
+def _level(ranked_: DataFrame, total: int) -> float:
+    """Words for each unit of weight: what sources give up that would be over their cap is shared by the others, until none is."""
+    level = None
+    while True:
+        full = F.lit(False) if level is None else F.col("cap") / F.col("weight") < level
+        caps, weights = ranked_.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        now = (total - caps) / weights if weights else 0.0
+        if now == level or not weights:
+            return level or 0.0
+        level = now
 
 
 def plan(sizes: DataFrame, seed: int = SEED, weights: int = WEIGHTS, most: int = MOST, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(key, source, size) -> the same rows with source_size, target, and what a document's place in its shard gives:
     size_before (words of the shard before it), block, passes, blocks, blocks_of, offset, taken."""
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    whole = W.partitionBy()
-    ranked = sources.withColumn("weight", 1 + (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % weights)
-    ranked = ranked.withColumn("cap", most * F.col("source_size")).withColumn("total", F.sum("source_size").over(whole))
-    filled = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    ranked = ranked.withColumn("_caps", F.coalesce(F.sum("cap").over(filled.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ranked.withColumn("_weights", F.sum("weight").over(filled.rowsBetween(0, W.unboundedFollowing)))
-    ranked = ranked.withColumn("_level", (F.col("total") - F.col("_caps")) / F.col("_weights"))
-    # The first source, in order of cap over weight, that its level doesn't fill sets the level of the rest.
-    level = F.min(F.when(F.col("_level") <= F.col("cap") / F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("c"), F.col("_level").alias("v")))).over(whole)
-    ranked = ranked.withColumn("_set", level["v"])
-    ranked = ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("_set") * F.col("weight"), F.lit(0.0))))
-    fine = F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(whole) / FINE)
-    ranked = ranked.withColumn("block", F.greatest(F.lit(1).cast("long"), F.least(F.lit(BLOCK).cast("long"), F.coalesce(fine, F.lit(1).cast("long")))))
-    ranked = ranked.withColumn("seats", F.round(F.col("total") / F.col("block")).cast("long"))
-    ranked = ranked.select("source", "source_size", "docs", "target", "block", "seats", F.col("target").alias("vote"))
-    won = _apportion(ranked, [], [F.col("source").asc_nulls_last()], "seats")
+    sources = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), [F.col("source").asc_nulls_last()], "mix-sources")
+    sources = sources.withColumn("weight", 1 + F.col("_at") % weights).withColumn("cap", most * F.col("source_size"))
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    target = F.least(F.col("cap").cast("double"), F.lit(_level(sources, total)) * F.col("weight"))
+    sources = sources.withColumn("target", target)
+    fine = sources.where("target > 0").agg(F.floor(F.min("target") / FINE)).first()[0] or 1
+    block = max(1, min(BLOCK, int(fine)))
+    sources = sources.withColumn("block", F.lit(block).cast("long")).withColumn("seats", F.round(F.lit(total) / F.lit(block)).cast("long"))
+    votes = sources.select("source", "source_size", "docs", "target", "block", "seats", F.col("target").alias("vote"))
+    won = _apportion(votes, [], [F.col("source").asc_nulls_last()], "seats")
     won = won.select("source", "source_size", "target", "block", F.col("won").alias("quota"), F.ceil(F.col("docs") / shard_docs).cast("long").alias("shards"))
 
     marked = sizes.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary")))
