@@ -119,11 +119,11 @@ def _signed(x: int) -> int:
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*[(_signed(x), _signed(y)) for x, y in links], strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "cell"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _join_cells(radius: int, most: int):
-    """Over (cell, fp) sorted by cell: links (a, b) of cells up to `most`, the rows (fp, fp, cell) of larger ones."""
+def _join_cells(radius: int):
+    """Over (cell, fp) sorted by cell: links (a, b) of each cell."""
 
     def small(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.diff(cell)) + 1
@@ -143,60 +143,32 @@ def _join_cells(radius: int, most: int):
             yield _pairs(links)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, fp, passing = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        cell, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
         for batch in batches:
             cell = np.concatenate([cell, batch.column("cell").to_numpy(zero_copy_only=False)])
             fp = np.concatenate([fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-            if passing is not None:  # the rest of a cell that was found too large
-                n = int(np.searchsorted(cell != passing, True))
-                if n:
-                    yield _rows(cell[:n], fp[:n])
-                    cell, fp = cell[n:], fp[n:]
-                if len(cell) == 0:
-                    continue
-                passing = None
-            yield from flush(cell, fp, False)
             n = int(np.searchsorted(cell, cell[-1]))  # sorted: where the last cell begins
-            cell, fp = cell[n:], fp[n:]
-            if len(cell) > most:
-                passing = int(cell[0])
-                yield _rows(cell, fp)
-                cell, fp = cell[:0], fp[:0]
-        if len(cell):
-            yield from flush(cell, fp, True)
-
-    def flush(cell: np.ndarray, fp: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-        n = len(cell) if last else int(np.searchsorted(cell, cell[-1]))
-        cell, fp = cell[:n], fp[:n]
-        if n == 0:
-            return
-        edges = np.flatnonzero(np.diff(cell)) + 1
-        starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
-        big = np.repeat(ends - starts > most, ends - starts)
-        if big.any():
-            yield _rows(cell[big], fp[big])
-            cell, fp = cell[~big], fp[~big]
+            if n:
+                yield from small(cell[:n], fp[:n])
+                cell, fp = cell[n:], fp[n:]
         if len(cell):
             yield from small(cell, fp)
 
-    def _rows(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        own = pa.array(fp.view(np.int64))
-        return pa.RecordBatch.from_arrays([own, own, pa.array(cell)], names=["a", "b", "cell"])
-
     return run
 
 
 def links(fps: DataFrame, radius: int = RADIUS, groups: int = GROUPS, most: int = CELL) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that connect just the fingerprints within `radius` bits of each other, directly or by others."""
-    spark = fps.sparkSession
-    ship(spark)
-    dealt = cells(fps, radius, groups).select("cell", "fp").repartition("cell").sortWithinPartitions("cell")
-    found = materialize(dealt.mapInArrow(_join_cells(radius, most), "a long, b long, cell long"), "simhash-cells")
-    direct = found.where("cell is null").select("a", "b")
+    ship(fps.sparkSession)
+    # Cells are counted first, so that no task sorts a large one.
+    entered = cells(fps, radius, groups).select("cell", "fp")
+    count = entered.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(entered.join(count, "cell"), "simhash-cells")
+    dealt = met.where(F.col("n") <= most).select("cell", "fp").repartition("cell").sortWithinPartitions("cell")
+    direct = dealt.mapInArrow(_join_cells(radius), "a long, b long")
     # Cells beyond the bound: blocks by a hash of the fingerprint, each pair of blocks a task of its own.
-    large = found.where("cell is not null").select("cell", F.col("a").alias("fp"))
-    parts = large.groupBy("cell").agg(F.ceil(F.count("*") / (most // 2)).cast("int").alias("n"))
-    block = large.join(parts, "cell").withColumn("k", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    large = met.where(F.col("n") > most).withColumn("n", F.ceil(F.col("n") / (most // 2)).cast("int"))
+    block = large.withColumn("k", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     paired = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         "cell", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).alias("second"), "fp"
     )
