@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -79,12 +78,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs: Spark deletes them when the driver has dropped their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def write_table(df: DataFrame, tag: str) -> str:
     """Write `df` as Parquet into the shared folder; return the path. It goes with `cleanup` or when the process ends."""
     spark = df.sparkSession
@@ -95,10 +88,9 @@ def write_table(df: DataFrame, tag: str) -> str:
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")  # a table that is written needs its shuffle files no more
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    release(spark)
     return path
 
 
