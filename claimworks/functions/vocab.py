@@ -33,3 +33,49 @@ CONCEPT_FIELDS = ["id", "title", "created", "updated"]
 LEDGER_FIELDS = ["claim_id", "source_id", "source_uuid", "claim_text", "evidence_quote", "evidence_hash", "anchor", "verdict", "created_at", "updated_at"]
 #: Mojibake marks of wrongly decoded text.
 SUSPICIOUS = "�ÃÂâ€™"
+#: Titles that say nothing.
+GENERIC_TITLES = ["abstract", "introduction", "references", "contents", "keywords"]
+#: Tags of a text: a tag is given if one of its parts is in the text. Fixed values.
+TAG_RULES = [
+    ("deepseek", ["deepseek"]),
+    ("attention", ["attention", "self-attention", "multi-head"]),
+    ("transformer", ["transformer", "encoder", "decoder"]),
+    ("language-model", ["language model", "language modeling", "translation", "sequence transduction"]),
+    ("code", ["coder", "code", "programming", "humaneval"]),
+    ("math", ["math", "aime", "mathematical"]),
+    ("reasoning", ["reasoning", "r1", "grpo", "reinforcement"]),
+    ("moe", ["moe", "mixture-of-experts", "expert"]),
+    ("ocr", ["ocr", "document", "layout"]),
+    ("multimodal", ["vl", "vision-language", "multimodal", "image"]),
+    ("theorem-proving", ["prover", "lean", "theorem"]),
+    ("vision-generation", ["janus", "flow", "generation", "visual"]),
+    ("memory", ["engram", "memory"]),
+    ("training-data", ["training data", "dataset", "data"]),
+    ("evaluation", ["benchmark", "evaluation", "score"]),
+]
+#: Concepts of tags. Fixed values.
+TAG_CONCEPTS = {
+    "attention": "attention-mechanisms",
+    "transformer": "transformer-architectures",
+    "language-model": "language-modeling",
+    "translation": "language-modeling",
+    "evaluation": "evaluation-benchmarks",
+    "deepseek": "deepseek-family",
+    "code": "code-generation",
+    "math": "mathematical-reasoning",
+    "reasoning": "reinforcement-learning-reasoning",
+    "moe": "mixture-of-experts",
+    "ocr": "document-ocr",
+    "multimodal": "multimodal-models",
+    "theorem-proving": "theorem-proving",
+    "vision-generation": "vision-generation",
+    "memory": "memory-architectures",
+    "training-data": "training-data",
+}
+#: Patterns of metric values in prose. Fixed values.
+COMPACT_METRIC = r"(?<![A-Za-z])\d+(?:\.\d+)?\s*(?:B|M|K|T)\b"
+EXPLICIT_METRIC = r"(?i)(?<![A-Za-z])\d+(?:\.\d+)?\s*(?:%|tokens?|parameters?|experts?|pages?|samples?|languages|benchmarks|gpu hours?)\b"
+METRIC_CONTEXT = r"(?i)(parameter|activated|active|token|context|expert|language|benchmark|score|accuracy|training|cost|gpu|pass@|aime|math|mmlu|gpqa|humaneval|bleu|ocr|flop)"
+CITATION_YEAR = r"(?i)\b(?:19|20)\d{2}[a-z]\b"
+CITATION_MARKS = ["arxiv", "preprint", "et al", "proceedings"]
+EVIDENCE_WORDS = r"(?i)(parameter|token|benchmark|score|accuracy|training|model|expert|AIME|MATH|HumanEval|GPQA|MMLU|OCR|BLEU|FLOP|%|B\b|M\b|K\b)"

@@ -126,3 +126,35 @@ def findings(nodes_: DataFrame, edges_: DataFrame, paths: DataFrame) -> DataFram
     missing = kinds.select(F.explode(gaps).alias("message")).select(F.lit("P2").alias("priority"), F.lit("graph").alias("path"), "message")
     bare = kinds.join(paths.agg(F.count("*").alias("paths"))).where("claims > 0 and paths = 0").select(F.lit("P2").alias("priority"), F.lit("graph").alias("path"), F.lit("claims without an evidence path").alias("message"))
     return alone.unionByName(missing).unionByName(bare)
+
+
+def claim_findings(claims: DataFrame, pages: DataFrame) -> DataFrame:
+    """(priority, path, message) of claims (claim_id, line_no, source_id, concepts, evidence) that the graph can't hold: no evidence,
+    evidence without its page, line or heading, a missing source or concept."""
+    from ..sources.store import headings
+
+    at = F.concat(F.lit("claims#L"), F.col("line_no").cast("string"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    found = lambda rows, priority, path, message: rows.select(F.lit(priority).alias("priority"), path.alias("path"), message.alias("message"))
+    page, part = F.substring_index("evidence", "#", 1), F.regexp_extract("evidence", r"^[^#]*#(.*)$", 1)
+    told = claims.where(~blank("evidence")).select("evidence", page.alias("page"), part.alias("part")).where(F.col("page").endswith(".md"))
+    size = pages.select(F.col("relpath").alias("page"), F.size(X.lines(F.col("body"))).alias("size"))
+    there = told.join(size, "page").withColumn("no", F.regexp_extract("part", r"^L(\d+)$", 1).try_cast("long"))
+    heads = headings(pages).select(F.col("relpath").alias("page"), "slug").distinct()
+    named = there.where(F.col("no").isNull() & (F.col("part") != "")).withColumn("slug", X.slug(F.col("part")))
+    sources = pages.where("folder = 'sources'").select(F.col("stem").alias("source_id"))
+    concepts = pages.where("folder = 'concepts'").select(F.col("stem").alias("concept"))
+    each = claims.select("line_no", F.explode("concepts").alias("concept"))
+    parts = [
+        found(claims.where(blank("evidence")), "P2", at, F.lit("claim has no evidence anchor")),
+        found(told.join(size, "page", "left_anti"), "P1", F.col("evidence"), F.lit("evidence page is missing")),
+        found(there.where((F.col("no") < 1) | (F.col("no") > F.col("size"))), "P2", F.col("evidence"), F.lit("evidence line was not found")),
+        found(named.join(heads, ["page", "slug"], "left_anti"), "P2", F.col("evidence"), F.lit("evidence heading was not found")),
+        found(claims.where(blank("source_id")), "P1", at, F.lit("claim has no source_id")),
+        found(claims.where(~blank("source_id")).join(sources, "source_id", "left_anti"), "P1", at, F.concat(F.lit("missing source "), "source_id")),
+        found(each.join(concepts, "concept", "left_anti"), "P2", at, F.concat(F.lit("missing concept "), "concept")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, vocab as V
-from ..operators import graph, lint, registry as reg, verify, workqueue
+from ..operators import graph, ingest, lint, registry as reg, status, verify, workqueue
 from ..sources import store
 from . import bindings as B
 from .catalogue import query
@@ -256,3 +256,88 @@ def graph_focus(s, sf):
     p = pages(s, sf).select("relpath", "folder", "stem")
     nodes = p.select(F.concat(F.rtrim(F.col("folder"), F.lit("s")), F.lit(":"), "stem").alias("id"))
     return graph.resolve(nodes, p.select(F.col("relpath").alias("target")).unionByName(p.select(F.col("stem").alias("target"))))
+
+
+_CLEAN = r"trim(trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), ' #*' || chr(9))"
+_KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '[_-]+', ' ', 'g'), '[^a-z0-9 ]+', '', 'g'), '\s+', ' ', 'g'))"
+_SILENT = f"{_KEY} IN ('', 'abstract', 'introduction', 'references', 'contents', 'keywords') OR regexp_matches({_KEY}, '^page [0-9]+$')"
+
+
+@query(rf"""WITH h AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:80], lambda x: {_CLEAN}) AS c, list_transform(string_split(text, chr(10))[1:80], lambda x: starts_with(trim(x), '#')) AS g FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, list_filter(c, lambda x, i: g[i] AND length(x) > 4 AND NOT ({_SILENT})) AS a, list_filter(c, lambda x: length(x) > 12 AND NOT ({_SILENT}) AND NOT regexp_matches(x, '^https?://')) AS b FROM h)
+SELECT doc_id, coalesce(a[1], b[1], 'untitled') AS title FROM t""")
+def ingest_titles(s, sf):
+    docs = B.table(s, sf, "documents").where("text is not null")
+    return docs.select("doc_id", ingest.title(X.lines(F.col("text")), F.lit("untitled")).alias("title"))
+
+
+_KNOWN = {"attention-mechanisms": "Attention", "training-data": "Training Data", "llm-research": "Research", "memory-architectures": "Memory", "evaluation-benchmarks": "Benchmarks"}
+_TAGGED = " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in V.TAG_CONCEPTS.items() if c in _KNOWN)
+_TAGS = "list_sort(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(h, '{p}')" for p in parts) + f" THEN '{tag}' END" for tag, parts in V.TAG_RULES) + "], lambda x: x IS NOT NULL))[1:6]"
+_NAMED = "list_filter([" + ", ".join(f"CASE WHEN contains(h, '{c.replace('-', ' ')}') OR contains(h, '{t.lower()}') THEN '{c}' END" for c, t in _KNOWN.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '') || '  ') AS h FROM documents), g AS (SELECT doc_id, h, {_TAGS} AS tags FROM d),
+c AS (SELECT doc_id, tags, list_sort(list_distinct(list_concat(list_filter(list_transform(tags, lambda t: CASE t {_TAGGED} END), lambda x: x IS NOT NULL), {_NAMED}))) AS c FROM g)
+SELECT doc_id, array_to_string(tags, ',') AS tags, CASE WHEN len(c) > 0 THEN array_to_string(c, ',') ELSE 'llm-research' END AS concepts FROM c""")
+def ingest_tags(s, sf):
+    text = F.coalesce("text", F.lit(""))
+    rows = B.table(s, sf, "documents").select("doc_id", text.alias("text")).withColumn("tags", ingest.tags(F.col("text"), F.lit(""), F.lit("")))
+    named = ingest.concepts(F.col("tags"), F.col("text"), F.lit(""), _KNOWN)
+    return rows.select("doc_id", F.array_join("tags", ",").alias("tags"), F.array_join(named, ",").alias("concepts"))
+
+
+_CONTEXT = V.METRIC_CONTEXT
+_EXPLICIT = V.EXPLICIT_METRIC.replace("(?<![A-Za-z])", "(?:^|[^A-Za-z])(") + ")"
+_COMPACT = V.COMPACT_METRIC.replace("(?<![A-Za-z])", "(?:^|[^A-Za-z])(") + ")"
+_MARKED = " OR ".join(f"contains(lower(x), '{m}')" for m in V.CITATION_MARKS)
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, n, {_CLEAN} AS x FROM l),
+v AS (SELECT *, CASE WHEN regexp_extract(x, '{_EXPLICIT}', 1) <> '' THEN regexp_extract(x, '{_EXPLICIT}', 1)
+   WHEN regexp_extract(x, '{_COMPACT}', 1) <> '' AND regexp_matches(x, '{_CONTEXT}') THEN regexp_extract(x, '{_COMPACT}', 1) ELSE '' END AS value FROM c
+   WHERE length(x) BETWEEN 55 AND 260 AND NOT regexp_matches(lower(x), '^(figure |table |fig\. )') AND NOT starts_with(x, '#') AND regexp_matches(x, '\d') AND regexp_matches(x, '{V.EVIDENCE_WORDS}')
+     AND NOT (regexp_matches(x, '{V.CITATION_YEAR}') AND ({_MARKED})) AND NOT (length(x) - length(replace(x, '$', '')) >= 2 AND NOT regexp_matches(x, '{_CONTEXT}'))),
+g AS (SELECT doc_id, n, x, value, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM v WHERE value <> ''),
+f AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM c WHERE n <= 140 AND length(x) > 70 AND doc_id NOT IN (SELECT doc_id FROM g))
+SELECT doc_id, n::BIGINT AS line_no, value, md5(x) AS line FROM g WHERE r <= 4 UNION ALL SELECT doc_id, n::BIGINT, 'qualitative claim', md5(substr(x, 1, 240)) FROM f WHERE r <= 2""")
+def ingest_evidence(s, sf):
+    docs = B.table(s, sf, "documents").where("text is not null").select("doc_id", "text")
+    rows = ingest.evidence_rows(store.page_lines(docs, "doc_id", "text"), "doc_id")
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "value", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
+@query(f"""WITH {STORE}, x AS (SELECT 'claims#L' || k AS path, c.* FROM c), t AS (SELECT x.*, p.k AS pk, len(string_split(p.body, chr(10))) AS size FROM x LEFT JOIN p ON split_part(evidence, '#', 1) = p.relpath)
+SELECT 'P2' AS priority, path, 'claim has no evidence anchor' AS message FROM x WHERE evidence = ''
+UNION ALL SELECT 'P1', evidence, 'evidence page is missing' FROM t WHERE split_part(evidence, '#', 1) LIKE '%.md' AND pk IS NULL
+UNION ALL SELECT 'P2', evidence, 'evidence line was not found' FROM t WHERE pk IS NOT NULL AND k % 8 = 4
+UNION ALL SELECT 'P2', evidence, 'evidence heading was not found' FROM t WHERE pk IS NOT NULL AND k % 8 = 3 AND k % 4 <> pk % 4
+UNION ALL SELECT 'P1', path, 'missing source ' || source_id FROM x WHERE source_id NOT IN (SELECT stem FROM p WHERE folder = 'sources')
+UNION ALL SELECT 'P2', path, 'missing concept c' || (k + 1) FROM x WHERE 'c' || (k + 1) NOT IN (SELECT stem FROM p WHERE folder = 'concepts')""")
+def graph_claim_findings(s, sf):
+    c = claims(s, sf).withColumn("concepts", F.array(F.concat(F.lit("c"), (F.col("line_no") + 1).cast("string"))))
+    return graph.claim_findings(c, pages(s, sf))
+
+
+@query(f"""WITH {STORE}, raw AS (SELECT CASE WHEN doc_id % 9 = 0 THEN 'raw/inbox/' ELSE 'raw/' END || doc_id AS path FROM documents),
+f AS (SELECT 'P1' AS priority FROM l WHERE link NOT IN (SELECT stem FROM p)),
+r AS (SELECT 'parse_required' AS kind, 'medium' AS severity, 'raw/inbox' AS object_id, count(*)::BIGINT AS n FROM raw WHERE path LIKE 'raw/inbox/%'
+UNION ALL SELECT 'parse_required', 'medium', 'raw/', count(*) FROM raw WHERE path NOT LIKE 'raw/inbox/%' AND path NOT IN (SELECT source_path FROM g WHERE status IN ('published', 'archived'))
+UNION ALL SELECT 'qa_failed', 'high', 'drafts/', count(*) FROM p WHERE folder = 'drafts'
+UNION ALL SELECT 'claims_need_review', 'high', 'claims', count(*) FROM c WHERE k % 7 = 0
+UNION ALL SELECT 'contradiction_review', 'high', 'reports', count(*) FROM p WHERE k % 100 = 7
+UNION ALL SELECT 'concept_stale', 'medium', 'concepts/', count(*) FROM p WHERE folder = 'concepts' AND k % 7 <> 0 AND regexp_matches(lower(body), 'latest|current|state of the art|sota|now')
+UNION ALL SELECT 'unsupported_claim', 'high', 'claims', count(*) FROM c WHERE verdict = 'stale'
+UNION ALL SELECT 'lint_error', 'high', 'store', count(*) FROM f)
+SELECT * FROM r WHERE n > 0""")
+def action_rules(s, sf):
+    p, k = pages(s, sf), F.col("doc_id")
+    docs = B.table(s, sf, "documents").select("doc_id")
+    raw = docs.select(F.concat(F.when(k % 9 == 0, "raw/inbox/").otherwise("raw/"), k.cast("string")).alias("path"))
+    reports = docs.select(F.concat(F.when(k % 100 == 7, "contradiction-").otherwise("qa-"), k.cast("string")).alias("path"))
+    c = claims(s, sf).withColumn("needs_review", F.col("line_no") % 7 == 0)
+    stale = lint.stale_wording(p.where("folder = 'concepts'"), "2001-06-01")
+    found = lint.union(lint.link_rules(p)).where("priority = 'P1'")
+    out = status.generate(p, c, raw, registry(s, sf).withColumnRenamed("source_path", "raw_path"), reports, found, stale, "2001-06-01")
+    return out.select("kind", "severity", "object_id", "n")

@@ -87,6 +87,21 @@ def json_lines_with_issues(spark: SparkSession, path: str, schema: str) -> tuple
     return rows.where("_bad is null").drop("_bad"), issue
 
 
+def json_lines_numbered(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows with path and line_no, and a P1 finding (priority, path, message) with its place for each line that is no JSON object.
+
+    Files are read whole, since a line's number is known in its file only: one file is one task.
+    """
+    kept = T._parse_datatype_string(schema).add("_bad", T.StringType())
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(lines(F.col("value"))).alias("at", "line"))
+    rows = files.where(F.trim("line") != "").select("file", (F.col("at") + 1).alias("line_no"), "line", F.from_json("line", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    object_ = F.trim("line").startswith("{")
+    good = rows.where(object_ & F.col("r._bad").isNull()).select("file", "line_no", "r.*").drop("_bad")
+    message = F.when(object_, "invalid JSON").otherwise("row is not a JSON object")
+    bad = rows.where(~object_ | F.col("r._bad").isNotNull()).select(F.lit("P1").alias("priority"), F.concat("file", F.lit(":"), F.col("line_no").cast("string")).alias("path"), message.alias("message"))
+    return good, bad
+
+
 def raw_files(spark: SparkSession, store: str, hashed: bool = True) -> DataFrame:
     """(path, length, sha256) of evidence files: dot files, parsed folders and auxiliary notes are left out. Unless `hashed`, no content is read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{store}/raw")
