@@ -293,7 +293,9 @@ _COMPACT = V.COMPACT_METRIC.replace("(?<![A-Za-z])", "(?:^|[^A-Za-z])(") + ")"
 _MARKED = " OR ".join(f"contains(lower(x), '{m}')" for m in V.CITATION_MARKS)
 
 
-@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents WHERE text IS NOT NULL),
+@query(rf"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'A model of ' || (doc_id % 90) || 'B in all reaches ' || (doc_id % 70) || '.5% accuracy on the held out benchmark' || chr(10)
+  WHEN 1 THEN 'The expert of ' || (doc_id % 90) || ' M parameter size, activated on each token, is the largest' || chr(10) WHEN 2 THEN 'As told by Smith et al 2020a, a score of ' || (doc_id % 70) || '% was once the best that was known' || chr(10) ELSE '' END || text AS text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM d),
 c AS (SELECT doc_id, n, {_CLEAN} AS x FROM l),
 v AS (SELECT *, CASE WHEN regexp_extract(x, '{_EXPLICIT}', 1) <> '' THEN regexp_extract(x, '{_EXPLICIT}', 1)
    WHEN regexp_extract(x, '{_COMPACT}', 1) <> '' AND regexp_matches(x, '{_CONTEXT}') THEN regexp_extract(x, '{_COMPACT}', 1) ELSE '' END AS value FROM c
@@ -303,7 +305,14 @@ g AS (SELECT doc_id, n, x, value, row_number() OVER (PARTITION BY doc_id ORDER B
 f AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM c WHERE n <= 140 AND length(x) > 70 AND doc_id NOT IN (SELECT doc_id FROM g))
 SELECT doc_id, n::BIGINT AS line_no, value, md5(x) AS line FROM g WHERE r <= 4 UNION ALL SELECT doc_id, n::BIGINT, 'qualitative claim', md5(substr(x, 1, 240)) FROM f WHERE r <= 2""")
 def ingest_evidence(s, sf):
-    docs = B.table(s, sf, "documents").where("text is not null").select("doc_id", "text")
+    k = F.col("doc_id")
+    first = (
+        F.when(k % 4 == 0, F.format_string("A model of %dB in all reaches %d.5%% accuracy on the held out benchmark\n", k % 90, k % 70))
+        .when(k % 4 == 1, F.format_string("The expert of %d M parameter size, activated on each token, is the largest\n", k % 90))
+        .when(k % 4 == 2, F.format_string("As told by Smith et al 2020a, a score of %d%% was once the best that was known\n", k % 70))
+        .otherwise("")
+    )
+    docs = B.table(s, sf, "documents").where("text is not null").select("doc_id", F.concat(first, "text").alias("text"))
     rows = ingest.evidence_rows(store.page_lines(docs, "doc_id", "text"), "doc_id")
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "value", F.md5(F.col("line").cast("binary")).alias("line"))
 

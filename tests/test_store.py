@@ -228,3 +228,25 @@ def test_streaming_register_and_windows(spark, tmp_path):
     q = incremental.register_stream(incremental.arrivals(spark, str(src), "raw_path string, raw_hash string"), str(reg_path), str(tmp_path / "cp"), "2024-01-01")
     q.awaitTermination(60)
     assert sorted(r.source_id for r in spark.read.parquet(f"{reg_path}/v=1").collect()) == ["LLM-0001", "LLM-0002"]
+
+
+def test_abstract_and_numbered_rows(spark, tmp_path):
+    from claimworks.operators import ingest
+
+    texts = ["# T\nAbstract\none two\nKeywords: x\nthree\n1 Introduction\nfour", "no such head\nsecond", "Abstract " + "w" * 130 + "\nrest", "x\nabstract"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: (r.a.text, r.a.line) for r in df.select("k", ingest.abstract(X.lines(F.col("t"))).alias("a")).collect()}
+    assert got == {0: ("one two three", 3), 1: ("no such head second", 1), 2: ("w" * 130, 1), 3: ("", 3)}
+    (tmp_path / "rows.jsonl").write_text('{"a": 1}\n\n[1]\n{"a": \n"x"\n{"a": 2}\n')
+    good, bad = store.json_lines_numbered(spark, str(tmp_path / "rows.jsonl"), "a int")
+    assert sorted((r.line_no, r.a) for r in good.collect()) == [(1, 1), (6, 2)]
+    assert sorted((r.path, r.message) for r in bad.collect()) == [("rows.jsonl:3", "row is not a JSON object"), ("rows.jsonl:4", "invalid JSON"), ("rows.jsonl:5", "row is not a JSON object")]
+
+
+def test_exact_patterns(spark):
+    df = spark.createDataFrame([("[[a#]] [[b|]] [[ c#d|e ]] [[f|g]] [[h]] [[h]]",)], "t string")
+    assert df.select(X.links(F.col("t"))).first()[0] == ["c", "f", "h"]
+    rows = ["[2024-01-02 03:04] ingest | a | b | c", "[2024-01-02T03:04] ingest | a | b | c", "[2024-01-02 03:04:05] ingest | a | b | c", "[2024-01-02 03:04] INGEST! | a | b | c", "2024-01-02 ingest", "", "# log"]
+    lines = spark.createDataFrame([("log", i, x) for i, x in enumerate(rows)], "path string, line_no int, line string")
+    assert [r.valid for r in store.log_rows(lines).collect()] == [True] + [False] * 6
+    assert {r.path for r in lint.log_rules(lines)[0].collect()} == {"log#L1", "log#L2", "log#L3", "log#L4"}
