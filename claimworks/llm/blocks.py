@@ -81,6 +81,7 @@ def messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """The places of each bucket that occurs, in order."""
+    bucket = bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket  # sorted by digits
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
     for b in range(buckets):
