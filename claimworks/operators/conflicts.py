@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import vocab as V
-from ..functions.text import let, word_key
+from ..functions.text import word_key
 
 
 def keyed(claims: DataFrame) -> DataFrame:
     """Metric claims with a value, one row for each concept: (concept, predicate_key, unit_key, v, claim_id, source_id, ord)."""
     rows = claims.where("claim_type = 'metric'").withColumn("v", F.coalesce("normalized_value", "value")).where("v is not null")
-    other = lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"])
-    fallback = word_key(F.coalesce("predicate", F.lit("")), V.PREDICATE_STOP_WORDS)
-    rows = rows.withColumn("predicate_key", let(other, a=F.coalesce("metric_key", F.lit("")), b=fallback))
-    rows = rows.withColumn("unit_key", F.lower(let(other, a=F.coalesce("normalized_unit", F.lit("")), b=F.coalesce("unit", F.lit("")))))
+    # The fallback is worked out only where the key is blank.
+    given = lambda c, other: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(other)
+    rows = rows.withColumn("predicate_key", given("metric_key", word_key(F.coalesce("predicate", F.lit("")), V.PREDICATE_STOP_WORDS)))
+    rows = rows.withColumn("unit_key", F.lower(given("normalized_unit", F.coalesce("unit", F.lit("")))))
     rows = rows.where("unit_key <> ''")
     keyed_ = rows.select(F.explode("concepts").alias("concept"), "predicate_key", "unit_key", "v", "claim_id", "source_id", "ord")
     return keyed_.where("predicate_key <> ''")
