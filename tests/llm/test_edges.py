@@ -15,6 +15,7 @@ SCHEMAS = {
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
     "embeddings": "vec_id long, embedding array<float>, label int",
+    "benchmark": "item_id long, text string",
 }
 PLAIN = "The quick brown fox jumps over the lazy dog near the river bank and then it runs away from the old house"
 LONG = " ".join(f"word{i % 997} and{i % 13}" for i in range(30_000))
@@ -33,6 +34,7 @@ ROWS = {
     ],
     "labels": [(4, None, 1), (6, 1, 0), (None, None, None), (7, 0, 1), (2, 0, None)],
     "pages": [(1, None, None), (2, "u", ""), (3, "u", "<p>" + "A sentence, with words. " * 20 + "</p>"), (3, "u", "<div><<<p>"), (None, None, "text only")],
+    "benchmark": [(1, "a benchmark text"), (1, None), (None, "")],
     "embeddings": [(1, None, None), (2, [], 1), (3, [0.5] * 64, 1), (3, [0.5] * 64, 1), (4, [float("nan")] * 64, None), (None, [1.0] * 64, 2), (5, [None, 1.0], 0)],
 }
 
