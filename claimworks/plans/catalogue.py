@@ -421,4 +421,4 @@ def event_sessions(s, sf):
     return n.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
-from . import store_queries  # noqa: E402, F401  registers its queries too
+from . import state_queries, store_queries  # noqa: E402, F401  register their queries too
