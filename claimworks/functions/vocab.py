@@ -5,6 +5,7 @@ EXCLUDED_VERDICTS = ["contradicted", "retracted", "stale"]
 REVIEW_VERDICTS = ["weak", "unreviewed"]
 SEVERITIES = ["critical", "high", "medium", "low"]
 ACTION_STATES = ["open", "resolved", "ignored"]
+STATUSES = ["candidate", "queued", "parsed", "chunked", "drafted", "qa_passed", "published", "stale", "failed", "archived"]
 PLAN_STATES = ["published", "stale", "failed", "cached", "ready", "stageable", "blocked"]
 CADENCE_DAYS = {"now": 0, "daily": 1, "weekly": 7, "monthly": 30}
 INGEST_STATUSES = ["candidate", "queued", "failed"]

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import lineage
+from ..sources.scratch import new_folder
+from ..streaming import publish
+from ..streaming.commits import Commits
 from . import bindings as B
 from .catalogue import query
 
@@ -110,3 +113,32 @@ def parsed_texts(s, sf):
     texts = texts.unionByName(raws.where((k % 5).isin(2, 3)).select(_raw(k).alias("relpath"), "text"))
     near = lineage.parsed_near(raws.select(_raw(k).alias("raw_path")), texts)
     return near.select("raw_path", "found", F.md5(F.col("text").cast("binary")).alias("text"), F.length("text").cast("long").alias("n"))
+
+
+@query("""WITH d AS (SELECT doc_id AS k, printf('LLM-%04d', doc_id) AS source_id, coalesce(text, '') AS text FROM documents),
+h AS (SELECT *, sha256(text) AS v1, CASE WHEN k % 5 = 0 THEN sha256('v2' || k) ELSE sha256(text) END AS v2, length(text) % 10 < 8 AS good, k % 7 = 0 AS dup, k % 3 <> 0 AS early FROM d),
+x AS (SELECT *, CASE WHEN dup THEN 0 WHEN early AND good AND k % 5 = 0 THEN 1 WHEN early AND good THEN 2 WHEN good THEN 3 ELSE 4 END AS c FROM h)
+SELECT source_id, ['archived', 'stale', 'published', 'published', 'failed'][c + 1] AS status, [NULL, v1, v1, v2, NULL][c + 1] AS raw_hash, [NULL, 'raw source hash changed since last published', NULL, NULL, 'QA score below 7.0'][c + 1] AS last_error,
+  [0, 2, 1, 2, 2][c + 1]::BIGINT AS batch, CASE WHEN c IN (1, 2, 3) THEN md5('page ' || text) END AS page FROM x""")
+def publish_resume(s, sf):
+    """Two batches, the first run twice and the second begun twice, on a store in the shared folder."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    docs = B.table(s, sf, "documents").select("doc_id", text.alias("text"), F.format_string("LLM-%04d", k).alias("source_id"))
+    log = Commits(s, new_folder(s, "publish"))
+    status = F.when(k % 7 == 0, "archived").when(k % 7 == 1, "published").otherwise("candidate")
+    publish.start(log, docs.select("source_id", X.source_uuid(F.col("source_id")).alias("source_uuid"), status.alias("status"), F.when(k % 7 == 0, "LLM-0001").alias("duplicate_of")))
+
+    def arriving(rows: DataFrame, content: Column) -> DataFrame:
+        return rows.select("source_id", F.concat(F.lit("raw/"), k.cast("string")).alias("raw_path"), F.sha2(content.cast("binary"), 256).alias("raw_now"), F.lit("a").alias("artifact_path"), F.lit("h").alias("artifact_hash"), "text")
+
+    def build(rows: DataFrame) -> DataFrame:
+        return rows.select("source_id", F.concat(F.lit("page "), "text").alias("page"), (F.length("text") % 10 < 8).alias("passed"))
+
+    first = arriving(docs.where(k % 3 != 0), F.col("text"))
+    second = arriving(docs, F.when(k % 5 == 0, F.concat(F.lit("v2"), k.cast("string"))).otherwise(F.col("text")))
+    for _ in range(2):
+        publish.publish(log, 1, first, build, "2001-01-01")
+    log.write(build(second).select("source_id", F.lit("half a batch").alias("page")), "pages", 2)  # as if it had died here
+    publish.publish(log, 2, second, build, "2001-01-02")
+    pages = log.latest("pages", publish.PAGES, "source_id").select("source_id", F.md5(F.col("page").cast("binary")).alias("page"))
+    return log.latest("registry", publish.REGISTRY, "source_uuid").join(pages, "source_id", "left").select("source_id", "status", "raw_hash", "last_error", "batch", "page")
