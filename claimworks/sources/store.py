@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.text import LINE_END, let, links, lines
+from .scratch import written
 
 CLAIMS = (
     "claim_id string, source_uuid string, source_id string, chunk_id string, claim_text string, normalized_claim string, claim_type string, "
@@ -87,18 +88,49 @@ def json_lines_with_issues(spark: SparkSession, path: str, schema: str) -> tuple
     return rows.where("_bad is null").drop("_bad"), issue
 
 
-def json_lines_numbered(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows with path and line_no, and a P1 finding (priority, path, message) with its place for each line that is no JSON object.
+#: Splits whose places may be broadcast: 40 bytes each.
+SPLITS = 1 << 20
 
-    Files are read whole, since a line's number is known in its file only: one file is one task.
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_no from 1, value): the lines of text files, numbered in their file, read by as many tasks as there are splits.
+
+    A first scan counts the lines of each split; sums of the counts over the splits of a file say where each split begins. In the second
+    scan a line's number follows from its place in its split. Should the second scan deal the splits to tasks in
+    another way, some line's place would lie outside its split, and the job fails instead of telling wrong numbers.
     """
-    kept = T._parse_datatype_string(schema).add("_bad", T.StringType())
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(lines(F.col("value"))).alias("at", "line"))
-    rows = files.where(F.trim("line") != "").select("file", (F.col("at") + 1).alias("line_no"), "line", F.from_json("line", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    object_ = F.trim("line").startswith("{")
-    good = rows.where(object_ & F.col("r._bad").isNull()).select("file", "line_no", "r.*").drop("_bad")
-    message = F.when(object_, "invalid JSON").otherwise("row is not a JSON object")
-    bad = rows.where(~object_ | F.col("r._bad").isNotNull()).select(F.lit("P1").alias("priority"), F.concat("file", F.lit(":"), F.col("line_no").cast("string")).alias("path"), message.alias("message"))
+    at = F.monotonically_increasing_id()  # rows of a split follow each other
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value").withColumn("_at", at)
+    counted = written(rows.groupBy("file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")), "splits")
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = counted.withColumn("_before", before)
+    if counted.count() <= SPLITS:
+        splits = F.broadcast(splits)
+    place = F.col("_at") - F.col("_first")
+    number = F.when((place >= 0) & (place < F.col("_n")), F.col("_before") + place + 1).otherwise(F.raise_error(F.lit("the splits of the two scans differ")).cast("long"))
+    return rows.join(splits, ["file", "_start"]).select("file", number.alias("line_no"), "value")
+
+
+def json_rows(lines_: DataFrame) -> DataFrame:
+    """(file, line_no, value) -> the same without blank lines, and `problem`: null for a JSON object."""
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    problem = F.when(F.try_parse_json("value").isNull(), "invalid JSON").when(~kind.startswith("OBJECT"), "row is not a JSON object")
+    return lines_.where(~F.col("value").rlike(r"^\s*$")).withColumn("problem", problem)
+
+
+def json_lines_strict(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Rows with file and line_no; the first line that is no JSON object fails the job with `path:line`. A value of another type than the schema's is null."""
+    told = F.concat(F.col("file"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), F.col("problem"))
+    value = F.when(F.col("problem").isNull(), F.col("value")).otherwise(F.raise_error(told))
+    rows = json_rows(numbered_lines(spark, path)).select("file", "line_no", F.from_json(value, schema).alias("r"))
+    return rows.select("file", "line_no", "r.*")
+
+
+def json_lines_numbered(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows with file and line_no, and a P1 finding (priority, path, message) with its place for each line that is no JSON object."""
+    rows = json_rows(numbered_lines(spark, path)).withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1))
+    good = rows.where("problem is null").select("file", "line_no", F.from_json("value", schema).alias("r")).select("file", "line_no", "r.*")
+    bad = rows.where("problem is not null").select(F.lit("P1").alias("priority"), F.concat("file", F.lit(":"), F.col("line_no").cast("string")).alias("path"), F.col("problem").alias("message"))
     return good, bad
 
 
