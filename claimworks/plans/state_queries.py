@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import lineage
+from ..operators import identity, lineage
+from ..sources import store
 from ..sources.scratch import new_folder
 from ..streaming import publish
 from ..streaming.commits import Commits
@@ -142,3 +143,40 @@ def publish_resume(s, sf):
     publish.publish(log, 2, second, build, "2001-01-02")
     pages = log.latest("pages", publish.PAGES, "source_id").select("source_id", F.md5(F.col("page").cast("binary")).alias("page"))
     return log.latest("registry", publish.REGISTRY, "source_uuid").join(pages, "source_id", "left").select("source_id", "status", "raw_hash", "last_error", "batch", "page")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey // 20000 AS part, row_number() OVER (PARTITION BY o_orderkey // 20000 ORDER BY o_orderkey) AS line_no FROM orders)
+SELECT part::BIGINT AS part, line_no, CASE WHEN k % 101 NOT IN (7, 8, 9) THEN k END::BIGINT AS k, CASE k % 101 WHEN 7 THEN 'invalid JSON' WHEN 8 THEN 'row is not a JSON object' END AS problem FROM o WHERE k % 101 <> 9""")
+def numbered_rows(s, sf):
+    """Orders written as JSON Lines, some of them broken or blank, and read again with their numbers."""
+    k = F.col("o_orderkey")
+    value = F.when(k % 101 == 7, '{"k": ').when(k % 101 == 8, "[1]").when(k % 101 == 9, " ").otherwise(F.format_string('{"k": %d, "more": [1, {"a": null}]}', k))
+    rows = B.table(s, sf, "orders").select(F.floor(k / 20000).alias("part"), k, value.alias("value"))
+    path = new_folder(s, "rows")
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy("part").text(path)
+    read = store.json_rows(store.numbered_lines(s, path + "/*"))
+    part = F.regexp_extract("file", r"/part=(\d+)/", 1).cast("long")
+    return read.select(part.alias("part"), "line_no", F.when(F.col("problem").isNull(), F.from_json("value", "k long")["k"]).alias("k"), "problem")
+
+
+_UUID = "substr(sha256(printf('LLM-%04d', {k})), 1, 32)"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS k FROM documents),
+x AS (SELECT k, (k + 1) % 3 = 0 AND k + 1 IN (SELECT k FROM d) AS a, (k + 3) % 3 = 0 AND k + 3 IN (SELECT k FROM d) AS b FROM d)
+SELECT k AS line_no, '{{"id": ' || k || ', "links": [{{"ref": ["' || CASE WHEN a THEN {_UUID.format(k="k + 1")} ELSE 'old-' || (k + 1) END || '", {{"sourceId": "' || printf('LLM-%04d', k + 2) || '", "sourceUuid": "' || {_UUID.format(k="k + 2")}
+  || '"}}]}}, "' || CASE WHEN b THEN {_UUID.format(k="k + 3")} ELSE 'old-' || (k + 3) END || '"], "old-' || k || '": "é", "source_id": "' || printf('LLM-%04d', k) || '", "source_uuid": "' || {_UUID.format(k="k")} || '"}}' AS rewritten,
+  (a::INT + b::INT + 1 + (k % 3 = 0)::INT)::INT AS n_changed FROM x""")
+def identity_rewrite(s, sf):
+    """A state row for each document, nested three deep; every third source has an old uuid."""
+    k, docs = F.col("doc_id"), B.table(s, sf, "documents").select("doc_id")
+    name = lambda n: F.format_string("LLM-%04d", n)
+    old = lambda n: F.concat(F.lit("old-"), n.cast("string"))
+    own = F.when(k % 3 == 0, old(k)).otherwise(X.source_uuid(name(k)))
+    registry = docs.select(name(k).alias("source_id"), own.alias("source_uuid"))
+    value = F.concat(
+        F.lit('{"source_uuid": "'), own, F.lit('", "source_id": "'), name(k), F.lit('", "id": '), k.cast("string"), F.lit(', "links": [{"ref": ["'), old(k + 1),
+        F.lit('", {"sourceUuid": "x", "sourceId": "'), name(k + 2), F.lit('"}]}, "'), old(k + 3), F.lit('"], "'), old(k), F.lit('": "\\u00e9"}'),
+    )
+    rows = docs.select(k.alias("line_no"), value.alias("value"))
+    return identity.rewrite(rows, identity.replacements(registry).select("old", "new"), ["line_no"]).select("line_no", "rewritten", "n_changed")
