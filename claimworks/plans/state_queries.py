@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import identity, lineage
+from ..operators import discovery, identity, lineage
 from ..sources import store
 from ..sources.scratch import new_folder
 from ..streaming import publish
@@ -180,3 +180,62 @@ def identity_rewrite(s, sf):
     )
     rows = docs.select(k.alias("line_no"), value.alias("value"))
     return identity.rewrite(rows, identity.replacements(registry).select("old", "new"), ["line_no"]).select("line_no", "rewritten", "n_changed")
+
+
+def _texts(tag: str, k: Column) -> list[Column]:
+    return [F.concat(F.lit(tag), k.cast("string")).alias(c) for c in discovery.TEXTS]
+
+
+@query("""WITH d AS (SELECT doc_id AS k FROM documents),
+n AS (SELECT k, CASE k % 6 WHEN 0 THEN 'raw/' || k WHEN 2 THEN 'sources/P' || k ELSE 'raw/gone' || k END AS path, CASE WHEN k % 8 <> 6 THEN printf('LLM-%04d', k) END AS sid, ['published', 'stale', 'candidate', 'discovered', 'failed'][k % 10 // 2 + 1] AS status,
+        CASE WHEN k % 4 = 0 THEN 'ks' || k ELSE '' END AS sha FROM d WHERE k % 2 = 0),
+f AS (SELECT 0 AS ph, 'raw/' || k AS path, NULL AS sid, 'r' || k AS t, 'rs' || k AS sha FROM d WHERE k % 3 = 0
+      UNION ALL SELECT 1, 'sources/P' || k, CASE WHEN k % 7 <> 0 THEN printf('LLM-%04d', k - k % 2) ELSE printf('LLM-%04d', 9000000 + k // 100) END, 'p' || k, '' FROM d WHERE k % 3 <> 0),
+h AS (SELECT f.*, ph || ' ' || f.path AS o, coalesce(a.k, b.k) AS hit, a.k IS NOT NULL AS own FROM f LEFT JOIN n a ON a.path = f.path LEFT JOIN n b ON b.sid = f.sid),
+g AS (SELECT hit AS k, arg_max(t, o) AS t, min(o) AS tm, count(*) FILTER (WHERE NOT own) > 0 AS by_id, max(o) FILTER (WHERE own) AS own_at, max(sha) FILTER (WHERE own) AS own_sha, min(o) FILTER (WHERE NOT own) AS id_at FROM h WHERE hit IS NOT NULL GROUP BY hit),
+u AS (SELECT n.k, n.path, n.sid, coalesce(g.t, 'k' || n.k) AS t, CASE WHEN by_id THEN 'published' ELSE status END AS status, g.tm, g.tm IS NOT NULL AND sid IS NULL AND status <> 'discovered' AS lacks,
+        CASE WHEN own_at IS NOT NULL AND (sha = '' OR status NOT IN ('published', 'stale') AND NOT coalesce(id_at < own_at, false)) THEN own_sha ELSE sha END AS sha, n.k % 16 = 0 AS bare FROM n LEFT JOIN g USING (k)),
+w AS (SELECT * FROM h WHERE hit IS NULL QUALIFY sid IS NULL OR row_number() OVER (PARTITION BY sid ORDER BY o) = 1),
+e AS (SELECT o, printf('LLM-%04d', 5000000 + row_number() OVER (ORDER BY o)) AS given FROM (SELECT tm AS o FROM u WHERE lacks UNION ALL SELECT o FROM w WHERE sid IS NULL)),
+r AS (SELECT k AS ord, path, coalesce(given, sid) AS sid, CASE WHEN given IS NOT NULL OR tm IS NOT NULL AND bare AND sid IS NOT NULL THEN 1 WHEN bare THEN 0 ELSE 2 END AS named, t, sha, status FROM u LEFT JOIN e ON lacks AND e.o = u.tm
+      UNION ALL SELECT (SELECT max(k) FROM n) + row_number() OVER (ORDER BY w.o), path, coalesce(given, sid), 1, t, sha, CASE ph WHEN 0 THEN 'candidate' ELSE 'published' END FROM w LEFT JOIN e ON w.sid IS NULL AND e.o = w.o)
+SELECT ord, path AS raw_path, sid AS source_id, CASE named WHEN 1 THEN substr(sha256(sid), 1, 32) WHEN 2 THEN 'own' END AS source_uuid, t AS title, sha AS sha256, status FROM r""")
+def discover_merge(s, sf):
+    """Raw files and pages found for a registry of every other document: hits by path and by id, new rows, ids given."""
+    k, docs = F.col("doc_id"), B.table(s, sf, "documents").select("doc_id")
+    name = lambda n: F.format_string("LLM-%04d", n)
+    known = docs.where(k % 2 == 0).select(
+        k.alias("ord"),
+        F.lit("raw").alias("kind"),
+        _path(F.when(k % 6 == 0, "raw/").when(k % 6 == 2, "sources/P").otherwise("raw/gone"), k.cast("string")).alias("raw_path"),
+        F.lit(None).cast("string").alias("path"),
+        F.when(k % 8 != 6, name(k)).alias("source_id"),
+        F.when(k % 16 != 0, "own").alias("source_uuid"),
+        *_texts("k", k),
+        *[F.when(k % 4 == 0, _path(tag, k.cast("string"))).otherwise("").alias(c) for c, tag in (("sha256", "ks"), ("raw_hash", "kr"))],
+        F.element_at(F.array(*[F.lit(x) for x in ("published", "stale", "candidate", "discovered", "failed")]), (F.floor(k % 10 / 2) + 1).cast("int")).alias("status"),
+    )
+    raw = docs.where(k % 3 == 0).select(_path("raw/", k.cast("string")).alias("path"), *_texts("r", k), _path("rs", k.cast("string")).alias("sha256"), _path("rr", k.cast("string")).alias("raw_hash"))
+    page_id = F.when(k % 7 != 0, name(k - k % 2)).otherwise(name(F.floor(k / 100) + 9000000))
+    pages = docs.where(k % 3 != 0).select(_path("sources/P", k.cast("string")).alias("path"), page_id.alias("source_id"), *_texts("p", k))
+    return discovery.merge(known, discovery.found(raw, pages), 5000001).select("ord", "raw_path", "source_id", "source_uuid", "title", "sha256", "status")
+
+
+@query("""WITH d AS (SELECT doc_id AS k, 'raw/' || doc_id || '.pdf' AS raw, 'raw/' || doc_id || '_markdown/combined.md' AS art, 'h' || doc_id // 3 AS h FROM documents),
+n AS (SELECT *, CASE WHEN k % 15 <> 0 THEN h END AS had, CASE WHEN k % 20 <> 0 THEN printf('LLM-%04d', k) END AS sid FROM d WHERE k % 5 = 0),
+w AS (SELECT d.*, (SELECT min(n.k) FROM n WHERE n.h = d.h AND (n.had IS NOT NULL OR n.art < d.art)) AS twin FROM d WHERE k % 5 <> 0),
+l AS (SELECT *, min(art) OVER (PARTITION BY h) AS lead FROM w),
+v AS (SELECT n.k, least(n.art, coalesce((SELECT min(w.art) FROM w WHERE w.twin = n.k), n.art)) AS tm, 0 AS step FROM n WHERE sid IS NULL UNION ALL SELECT k, art, 1 FROM w),
+e AS (SELECT k, printf('LLM-%04d', 7000000 + row_number() OVER (ORDER BY tm, step)) AS given FROM v),
+r AS (SELECT n.k AS ord, raw, h, art, coalesce(sid, given) AS sid, 'candidate' AS status, NULL AS dup, k FROM n LEFT JOIN e USING (k)
+      UNION ALL SELECT (SELECT max(k) FROM n) + row_number() OVER (ORDER BY l.art), l.raw, l.h, l.art, e.given, CASE WHEN twin IS NOT NULL OR lead < l.art THEN 'archived' ELSE 'candidate' END,
+        CASE WHEN twin IS NOT NULL THEN coalesce(nt.sid, et.given) WHEN lead < l.art THEN el.given END, l.k FROM l JOIN e USING (k) LEFT JOIN n nt ON nt.k = l.twin LEFT JOIN e et ON et.k = l.twin LEFT JOIN d dl ON dl.art = l.lead LEFT JOIN e el ON el.k = dl.k)
+SELECT ord, sid AS source_id, raw AS raw_path, h AS raw_hash, art AS artifact_path, status, dup AS duplicate_of FROM r""")
+def corpus_register(s, sf):
+    """The parsed artifact of each document registered beside every fifth one: by raw path, by artifact path, as duplicates, as candidates."""
+    k, docs = F.col("doc_id"), B.table(s, sf, "documents").select("doc_id")
+    raw, art, content = _path("raw/", k.cast("string"), ".pdf"), _path("raw/", k.cast("string"), "_markdown/combined.md"), _path("h", F.floor(k / 3).cast("string"))
+    blank = [F.lit(None).cast("string").alias(c) for c in ("source_uuid", "artifact_path", "artifact_hash", "duplicate_of", "title", "arxiv", "kind", "created", "updated")]
+    known = docs.where(k % 5 == 0).select(k.alias("ord"), F.when(k % 20 != 0, F.format_string("LLM-%04d", k)).alias("source_id"), F.when(k % 10 == 0, raw).otherwise(art).alias("raw_path"), F.when(k % 15 != 0, content).alias("raw_hash"), F.lit("candidate").alias("status"), *blank)
+    found = docs.select(art.alias("artifact_path"), F.lit("a").alias("artifact_hash"), raw.alias("raw_path"), content.alias("raw_hash"), F.lit("t").alias("title"), F.lit("x").alias("arxiv"))
+    return discovery.register_corpus(known, found, B.AS_OF, 7000001).select("ord", "source_id", "raw_path", "raw_hash", "artifact_path", "status", "duplicate_of")
