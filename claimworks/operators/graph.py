@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from ..sources.scratch import written
+
+
+#: Fixed values, in their order.
+NODE_TYPES = ["source", "draft", "concept", "claim", "metric", "qa-report", "contradiction", "science-review", "raw", "queue-task"]
+BRIEF = 220
+
+
+def brief(text: Column, limit: int = BRIEF) -> Column:
+    """The first lines of a text in one, without headings, rules and table rules, cut to `limit` characters and three dots."""
+    stripped = F.transform(X.lines(text), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    kept = F.filter(stripped, lambda x: (x != "") & ~x.startswith("---") & ~x.startswith("| ---") & ~x.startswith("#"))
+    join = lambda held, x: F.when(F.length(held) >= limit, held).when(held == "", x).otherwise(F.concat(held, F.lit(" "), x))
+    whole = lambda held: F.when(F.length(held) <= limit, held).otherwise(F.concat(F.regexp_replace(F.substring(held, 1, limit - 1), r"(?U)\s+$", ""), F.lit("...")))
+    return F.aggregate(F.transform(kept, lambda x: F.regexp_replace(x, r"(?U)\s+", " ")), F.lit(""), join, whole)
+
+
+def tags(value: Column) -> Column:
+    """A header's list of tags, in order and each once."""
+    bare = F.regexp_replace(F.trim(value), r"^\[(.*)\]$", "$1")
+    each = F.transform(F.split(bare, ","), lambda x: F.call_function("btrim", F.trim(x), F.lit("'\"")))
+    return F.array_sort(F.array_distinct(F.filter(each, lambda x: x != "")))
 
 
 def nodes(*parts: DataFrame) -> DataFrame:
-    """Union of (id, type, label, path, summary), earlier parts first: the first writer of an id wins whole."""
+    """Union of nodes (id, type, label, path, summary and more), earlier parts first, within a part by `ord` if there is one.
+
+    The first writer of an id gives all its fields. `metadata` (map of texts) is merged: each of its keys has the value of the last
+    writer that has the key.
+    """
     all_ = None
     for seq, p in enumerate(parts, 1):
-        p = p.withColumn("seq", F.lit(seq))
+        p = p.withColumn("seq", F.struct(F.lit(seq).alias("part"), (F.col("ord").cast("long") if "ord" in p.columns else F.lit(0).cast("long")).alias("at"))).drop("ord")
         all_ = p if all_ is None else all_.unionByName(p, allowMissingColumns=True)
-    fields = [c for c in all_.columns if c not in ("id", "seq")]
-    first = all_.groupBy("id").agg(F.min(F.struct("seq", *fields)).alias("f"))
-    return first.select("id", *[F.col(f"f.{c}").alias(c) for c in fields])
+    fields = [c for c in all_.columns if c not in ("id", "seq", "metadata")]
+    first = all_.groupBy("id").agg(F.min(F.struct("seq", *fields)).alias("f")).select("id", *[F.col(f"f.{c}").alias(c) for c in fields])
+    if "metadata" not in all_.columns:
+        return first
+    said = all_.select("id", "seq", F.explode("metadata").alias("key", "value")).groupBy("id", "key").agg(F.max(F.struct("seq", "value")).alias("v"))
+    merged = said.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.col("v.value"))))).alias("metadata"))  # one entry a key
+    return first.join(merged, "id", "left").withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
 
 
 def edges(rows: DataFrame, nodes_: DataFrame) -> DataFrame:
@@ -26,11 +56,26 @@ def edges(rows: DataFrame, nodes_: DataFrame) -> DataFrame:
     return named.groupBy("id").agg(F.min(F.struct("source", "target", "type", "label", "weight")).alias("f")).select("id", "f.*")
 
 
+def page_source(stem: Column, told: Column) -> Column:
+    """The source of a page: the number in its name, else the id in its header, else its name."""
+    number = F.regexp_extract(stem, r"\b(LLM-\d{4})\b", 1)
+    return F.coalesce(F.nullif(number, F.lit("")), F.nullif(told, F.lit("")), stem)
+
+
 def page_nodes(pages: DataFrame) -> DataFrame:
-    kind = F.rtrim(F.col("folder"), F.lit("s"))
-    text = F.array_join(F.filter(X.lines(F.col("body")), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#") & (F.trim(x) != "---")), " ")
-    brief = F.when(F.length(text) > 220, F.concat(F.substring(text, 1, 219), F.lit("..."))).otherwise(text)
-    return pages.select(F.concat_ws(":", kind, "stem").alias("id"), kind.alias("type"), F.coalesce(F.col("frontmatter")["title"], F.col("stem")).alias("label"), F.col("relpath").alias("path"), brief.alias("summary"))
+    kind, head = F.rtrim(F.col("folder"), F.lit("s")), F.col("frontmatter")
+    concept = F.col("folder") == "concepts"
+    name = F.when(concept, F.col("stem")).otherwise(page_source(F.col("stem"), head["id"]))
+    return pages.select(
+        F.concat_ws(":", kind, name).alias("id"),
+        kind.alias("type"),
+        F.coalesce(F.nullif(head["title"], F.lit("")), name).alias("label"),
+        F.col("relpath").alias("path"),
+        brief(F.col("body")).alias("summary"),
+        F.coalesce(tags(head["tags"]), F.array().cast("array<string>")).alias("tags"),
+        F.when(concept, "").otherwise(F.coalesce(head["status"], F.lit(""))).alias("status"),
+        F.create_map(F.lit("frontmatter"), F.to_json("frontmatter")).alias("metadata"),
+    )
 
 
 def wikilink_edges(pages: DataFrame) -> DataFrame:
@@ -74,12 +119,13 @@ def neighbourhood(edges_: DataFrame, start: DataFrame, depth: int = 2) -> DataFr
     Each round joins only the new frontier, so cycles end and no path is followed twice.
     """
     both = edges_.select("source", "target").union(edges_.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    seen = start.select("id").distinct().withColumn("hops", F.lit(0))
-    frontier = seen.select("id")
+    frontier = written(start.select("id").distinct().withColumn("hops", F.lit(0)), "hops")
+    seen = frontier
     for hop in range(1, depth + 1):
-        reached = both.join(frontier.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti")
-        seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
+        reached = both.join(frontier.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
+        # Written each hop: the plan of a hop doesn't hold those before it.
+        frontier = written(reached.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)), "hops")
+        seen = seen.unionByName(frontier)
     return seen
 
 
