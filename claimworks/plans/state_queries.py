@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import discovery, identity, lineage
+from ..operators import discovery, graph, graph_document, graph_parts, identity, lineage
 from ..sources import store
 from ..sources.scratch import new_folder
 from ..streaming import publish
@@ -239,3 +239,105 @@ def corpus_register(s, sf):
     known = docs.where(k % 5 == 0).select(k.alias("ord"), F.when(k % 20 != 0, F.format_string("LLM-%04d", k)).alias("source_id"), F.when(k % 10 == 0, raw).otherwise(art).alias("raw_path"), F.when(k % 15 != 0, content).alias("raw_hash"), F.lit("candidate").alias("status"), *blank)
     found = docs.select(art.alias("artifact_path"), F.lit("a").alias("artifact_hash"), raw.alias("raw_path"), content.alias("raw_hash"), F.lit("t").alias("title"), F.lit("x").alias("arxiv"))
     return discovery.register_corpus(known, found, B.AS_OF, 7000001).select("ord", "source_id", "raw_path", "raw_hash", "artifact_path", "status", "duplicate_of")
+
+
+def beside(s: SparkSession, sf: str) -> tuple[dict, dict, DataFrame]:
+    """Nodes, edges and findings of raw files, reports, state rows and markers, each made of `documents`."""
+    k, docs = F.col("doc_id"), B.table(s, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    t, name = k.cast("string"), F.format_string("LLM-%04d", k)
+    files = docs.select(_path(F.when(k % 5 == 0, "raw/.r").when(k % 5 == 1, "other/r").otherwise("raw/c/r"), t).alias("relpath"), F.length("text").alias("length"))
+    stem = F.when(k % 4 == 0, name).when(k % 4 == 1, _path(name, "-contradiction")).otherwise(_path("note", t))
+    reports = docs.select(_path("qa-reports/", stem, ".md").alias("relpath"), F.concat(F.lit("# head\n"), F.when(k % 3 == 0, "verdict: PASS\n").otherwise(""), F.lit("  plain   words\n--- rule\nend")).alias("text"))
+    claims = docs.where(k % 2 == 0).select(_path("claim:c", t).alias("id"))
+    sources = docs.where(k % 3 != 1).select(_path("source:", name).alias("id"))
+    json = lambda *fields: F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+    field = lambda key, value, there=None: F.when(F.lit(True) if there is None else there, F.concat(F.lit(f'"{key}": '), value))
+    text = lambda *x: F.concat(F.lit('"'), *x, F.lit('"'))
+    review = docs.select(
+        (k + 1).alias("line_no"),
+        json(field("review_id", text(F.lit("rev"), t), k % 3 == 0), field("claim_id", text(F.lit("c"), t), k % 7 != 0), field("review_reasons", F.lit('["a  b", "c"]'), k % 2 == 0), field("review_status", F.lit('"done"'), k % 5 == 0)).alias("value"),
+    )
+    target = F.when(k % 4 == 0, _path("c", t)).when(k % 4 == 1, name).when(k % 4 == 2, _path("queue-task:t", (k - 2).cast("string"))).otherwise("none")
+    queue = docs.select((k + 1).alias("line_no"), json(field("task_id", text(F.lit("t"), t)), field("action", F.lit('"grow"'), k % 2 == 0), field("target", text(target), k % 9 != 0), field("reason", F.lit('"why"'))).alias("value"))
+    rows = docs.select((k + 1).alias("line_no"), json(field("source_id", text(name), k % 5 != 0), field("raw_path", text(F.lit("raw/c/r"), t), k % 2 == 0), field("path", F.lit('"https://x/y"'), k % 8 == 0)).alias("value"))
+    folder = F.when(k % 3 == 0, "sources").when(k % 3 == 1, "drafts").otherwise("concepts")
+    mark = F.when(k % 6 < 3, " [CONTRADICTION: c1]").otherwise(" [CONTRADICTION")
+    pages = docs.select(_path(folder, "/", name, ".md").alias("relpath"), folder.alias("folder"), name.alias("stem"), F.concat(F.md5(F.col("text").cast("binary")), mark).alias("text"))
+
+    nodes, edges = {"raw": graph_parts.raw_nodes(files)}, {}
+    nodes["reports"], edges["reports"] = graph_parts.report_parts(reports)
+    nodes["review"], edges["review"], lost = graph_parts.review_parts(review, claims)
+    nodes["queue"], edges["queue"] = graph_parts.queue_parts(queue, claims.unionByName(sources))
+    nodes["registry"], edges["registry"], bare = graph_parts.registry_parts(rows, sources)
+    nodes["markers"], edges["markers"] = graph_parts.marker_parts(pages)
+    return nodes, edges, lost.unionByName(bare)
+
+
+BESIDE = """
+d AS (SELECT doc_id AS k, printf('LLM-%04d', doc_id) AS nm, length(coalesce(text, '')) AS size FROM documents),
+n AS (SELECT 'raw' AS part, 'raw:raw/c/r' || k AS id, 'raw' AS type, 'r' || k AS label, '' AS status, 'Raw evidence or parsed Markdown. Graph nodes do not include raw file content.' AS summary FROM d WHERE k % 5 > 1
+  UNION ALL SELECT 'reports', CASE k % 4 WHEN 0 THEN 'qa-report:' || nm WHEN 1 THEN 'contradiction:' || nm ELSE 'qa-report:note' || k END, CASE k % 4 WHEN 1 THEN 'contradiction' ELSE 'qa-report' END,
+    CASE k % 4 WHEN 0 THEN 'QA report: ' || nm WHEN 1 THEN 'Contradiction report: ' || nm ELSE 'note' || k END, CASE WHEN k % 3 = 0 AND k % 4 <> 1 THEN 'PASS' ELSE '' END, CASE WHEN k % 3 = 0 THEN 'verdict: PASS ' ELSE '' END || 'plain words end' FROM d
+  UNION ALL SELECT 'review', 'science-review:' || CASE WHEN k % 3 = 0 THEN 'rev' || k WHEN k % 7 <> 0 THEN 'c' || k ELSE 'row-' || (k + 1) END, 'science-review', CASE WHEN k % 3 = 0 THEN 'rev' || k ELSE 'Science review ' || (k + 1) END,
+    CASE WHEN k % 5 = 0 THEN 'done' ELSE 'pending' END, CASE WHEN k % 2 = 0 THEN 'a b c' ELSE '' END FROM d
+  UNION ALL SELECT 'queue', 'queue-task:t' || k, 'queue-task', CASE WHEN k % 2 = 0 THEN 'grow' ELSE 't' || k END, '', 'why' FROM d
+  UNION ALL SELECT 'registry', 'raw:raw/c/r' || k, 'raw', 'r' || k, '', 'Raw evidence registry entry.' FROM d WHERE k % 2 = 0 AND k % 8 <> 0
+  UNION ALL SELECT 'markers', 'contradiction-marker:' || CASE k % 3 WHEN 0 THEN 'sources/' ELSE 'concepts/' END || nm || '.md', 'contradiction', 'Contradiction marker in ' || nm || '.md', '', 'Page contains an explicit contradiction marker.' FROM d WHERE k % 6 IN (0, 2)),
+e AS (SELECT 'source:' || nm AS source, CASE k % 4 WHEN 0 THEN 'qa-report:' ELSE 'contradiction:' END || nm AS target, 'reviewed-by' AS type, CASE k % 4 WHEN 0 THEN 'independent QA' ELSE 'contradiction scan' END AS label FROM d WHERE k % 4 < 2
+  UNION ALL SELECT 'claim:c' || k, 'science-review:' || CASE WHEN k % 3 = 0 THEN 'rev' || k ELSE 'c' || k END, 'needs-review', 'science review queue' FROM d WHERE k % 7 <> 0 AND k % 2 = 0
+  UNION ALL SELECT 'queue-task:t' || k, CASE k % 4 WHEN 0 THEN 'claim:c' || k WHEN 1 THEN 'source:' || nm ELSE 'queue-task:t' || (k - 2) END, 'related-to', 'queue target' FROM d WHERE k % 9 <> 0 AND (k % 4 IN (0, 2) OR k % 4 = 1 AND k % 3 <> 1)
+  UNION ALL SELECT 'source:' || nm, 'raw:' || CASE WHEN k % 8 = 0 THEN 'https://x/y' ELSE 'raw/c/r' || k END, 'derived-from', 'source registry' FROM d WHERE k % 2 = 0 AND k % 5 <> 0 AND k % 3 <> 1
+  UNION ALL SELECT CASE k % 3 WHEN 0 THEN 'source:' ELSE 'concept:' END || nm, 'contradiction-marker:' || CASE k % 3 WHEN 0 THEN 'sources/' ELSE 'concepts/' END || nm || '.md', 'contradicts', 'marked contradiction' FROM d WHERE k % 6 IN (0, 2)),
+i AS (SELECT 'P2' AS priority, '_state/science-review-queue.jsonl:' || (k + 1) AS path, 'science review item references missing claim ' || chr(39) || 'c' || k || chr(39) AS message FROM d WHERE k % 7 <> 0 AND k % 2 = 1
+  UNION ALL SELECT 'P3', '_state/source-registry.jsonl:' || (k + 1), 'registry row has raw path but no source_id yet' FROM d WHERE k % 2 = 0 AND k % 5 = 0)
+"""
+
+
+@query(f"""WITH {BESIDE} SELECT part, id, type, label, status, summary FROM n""")
+def graph_part_nodes(s, sf):
+    nodes, _, _ = beside(s, sf)
+    rows = None
+    for part, df in nodes.items():
+        some = df.select(F.lit(part).alias("part"), "id", "type", "label", "status", "summary")
+        rows = some if rows is None else rows.unionByName(some)
+    return rows
+
+
+@query(f"""WITH {BESIDE} SELECT source, target, type, label FROM e UNION ALL SELECT path, message, priority, 'finding' FROM i""")
+def graph_part_edges(s, sf):
+    _, edges, found = beside(s, sf)
+    rows = found.select(F.col("path").alias("source"), F.col("message").alias("target"), F.col("priority").alias("type"), F.lit("finding").alias("label"))
+    for df in edges.values():
+        rows = rows.unionByName(df.select("source", "target", "type", "label"))
+    return rows
+
+
+@query(f"""WITH {BESIDE}, w AS (SELECT k, nm, size, k % 5 > 1 AS a, k % 2 = 0 AND k % 8 <> 0 AS b FROM d)
+SELECT 'raw:raw/c/r' || k AS id, CASE WHEN a THEN 'Raw evidence or parsed Markdown. Graph nodes do not include raw file content.' ELSE 'Raw evidence registry entry.' END AS summary,
+  concat_ws(';', CASE WHEN b THEN 'raw_path=raw/c/r' || k END, CASE WHEN a THEN 'size_bytes=' || size END, CASE WHEN b AND k % 5 <> 0 THEN 'source_id=' || nm END) AS metadata FROM w WHERE a OR b""")
+def graph_merged(s, sf):
+    """Raw nodes written by the listing and by the registry: the first writer's fields, everyone's metadata."""
+    nodes, _, _ = beside(s, sf)
+    merged = graph.nodes(nodes["raw"], nodes["registry"])
+    pairs = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return merged.select("id", "summary", F.array_join(pairs, ";").alias("metadata"))
+
+
+@query(f"""WITH {BESIDE},
+nl AS (SELECT row_number() OVER (ORDER BY type, id) AS r, '{{"id":"' || id || '","label":"' || label || '","type":"' || type || '"}}' AS x FROM n WHERE part IN ('reports', 'queue')),
+el AS (SELECT row_number() OVER (ORDER BY type, source, target, id) AS r, '{{"id":"' || id || '","source":"' || source || '","target":"' || target || '","type":"' || type || '"}}' AS x
+       FROM (SELECT *, 'edge:' || substr(sha1(source || chr(0) || target || chr(0) || type || chr(0) || label), 1, 16) AS id FROM e WHERE label = 'queue target')),
+il AS (SELECT row_number() OVER (ORDER BY priority, path, message) AS r, '{{"message":"' || message || '","path":"' || path || '","priority":"' || priority || '"}}' AS x FROM i),
+c AS (SELECT (SELECT count(*) FROM nl) AS a, (SELECT count(*) FROM el) AS b, (SELECT count(*) FROM il) AS z),
+t AS (SELECT 1 AS line_no, '{{"version": "1.0",' AS x UNION ALL SELECT 2, '"nodes": [' UNION ALL SELECT 2 + r, x || CASE WHEN r < a THEN ',' ELSE '' END FROM nl, c UNION ALL SELECT 3 + a, '],' FROM c
+  UNION ALL SELECT 4 + a, '"edges": [' FROM c UNION ALL SELECT 4 + a + r, x || CASE WHEN r < b THEN ',' ELSE '' END FROM el, c UNION ALL SELECT 5 + a + b, '],' FROM c
+  UNION ALL SELECT 6 + a + b, '"evidence_paths": [' FROM c UNION ALL SELECT 7 + a + b, '],' FROM c
+  UNION ALL SELECT 8 + a + b, '"issues": [' FROM c UNION ALL SELECT 8 + a + b + r, x || CASE WHEN r < z THEN ',' ELSE '' END FROM il, c UNION ALL SELECT 9 + a + b + z, ']' FROM c UNION ALL SELECT 10 + a + b + z, '}}' FROM c)
+SELECT line_no::BIGINT AS line_no, x AS value FROM t""")
+def graph_document_lines(s, sf):
+    """Reports, queue tasks and findings as the lines of one document in canonical order."""
+    nodes, edges, found = beside(s, sf)
+    all_nodes = graph.nodes(nodes["reports"], nodes["queue"]).select("id", "type", "label")
+    named = edges["queue"].withColumn("id", X.edge_id(F.col("source"), F.col("target"), F.col("type"), F.col("label"))).select("id", "source", "target", "type")
+    none = s.createDataFrame([], "concept string, claim string, source string, evidence string")
+    return graph_document.document(all_nodes, named, none, found.select("priority", "path", "message"))
