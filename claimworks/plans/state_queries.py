@@ -6,10 +6,12 @@ start from the same ids and follow rules of their own.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import discovery, graph, graph_document, graph_parts, identity, lineage
+from ..operators import archive, conversion, discovery, graph, graph_document, graph_parts, identity, lineage
 from ..sources import store
 from ..sources.scratch import new_folder
 from ..streaming import publish
@@ -341,3 +343,55 @@ def graph_document_lines(s, sf):
     named = edges["queue"].withColumn("id", X.edge_id(F.col("source"), F.col("target"), F.col("type"), F.col("label"))).select("id", "source", "target", "type")
     none = s.createDataFrame([], "concept string, claim string, source string, evidence string")
     return graph_document.document(all_nodes, named, none, found.select("priority", "path", "message"))
+
+
+@query("""WITH x AS (SELECT event_id AS seq, ts, CASE WHEN event_id % 10 = 0 THEN 'no entry ' || event_id ELSE '[' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || event_type || ' | u' || user_id || ' | agent | done' END AS value FROM events),
+m AS (SELECT max(ts)::DATE - 5 AS day FROM events)
+SELECT seq, value, CASE WHEN seq % 10 = 0 THEN 'none' ELSE strftime(ts, '%Y-%m') END AS month, seq % 10 <> 0 AND day - ts::DATE > 10 AS archived FROM x, m""")
+def log_archive(s, sf):
+    """Events as log entries; those of more than ten days are archived, in two goes."""
+    e = B.table(s, sf, "events")
+    last = e.agg(F.max("ts").cast("date").alias("d")).first().d
+    entry = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("] "), "event_type", F.lit(" | u"), F.col("user_id").cast("string"), F.lit(" | agent | done"))
+    value = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("no entry "), F.col("event_id").cast("string"))).otherwise(entry)
+    folder = new_folder(s, "log")
+    archive.write_log(e.select(F.col("event_id").alias("seq"), value.alias("value")), f"{folder}/live")
+    for back in (20, 5):
+        archive.archive(s, f"{folder}/live", f"{folder}/old", str(last - timedelta(days=back)), 10)
+    return archive.read(s, f"{folder}/live", f"{folder}/old")
+
+
+def _conversions(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, docs = F.col("doc_id"), B.table(s, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    t = k.cast("string")
+    files = docs.where(k % 7 != 0).select(_path("p", t, ".pdf").alias("relpath"), F.lit(9).cast("long").alias("length"))
+    files = files.unionByName(docs.select(_path("p", t, "_markdown/combined.md").alias("relpath"), F.octet_length("text").cast("long").alias("length")))
+    files = files.unionByName(docs.where(k % 5 != 0).select(_path("p", t, "_markdown/manifest.json").alias("relpath"), F.lit(9).cast("long").alias("length")))
+    attempts = F.when(k % 4 == 0, _path('"attempts": ', (k % 6).cast("string"))).when(k % 4 == 1, '"attempts": null').when(k % 4 == 2, '"attempts": "2"')
+    warnings = F.when(k % 3 == 0, _path('"warnings": ["w', t, '", " ", 7, {"deep": null}, "  v  "]')).when(k % 3 == 1, '"warnings": null')
+    told = F.when(k % 11 == 0, "{broken").otherwise(F.concat(F.lit("{"), F.concat_ws(", ", attempts, warnings), F.lit("}")))
+    manifests = docs.where(k % 5 != 0).select(_path("p", t, "_markdown/manifest.json").alias("relpath"), told.alias("text"))
+    return files, manifests, docs.select(_path("p", t, "_markdown/combined.md").alias("relpath"), "text")
+
+
+@query("""WITH d AS (SELECT doc_id AS k, doc_id % 11 <> 0 AS ok FROM documents WHERE doc_id % 5 <> 0),
+w AS (SELECT k, 'w' || k AS w FROM d WHERE ok AND k % 3 = 0 UNION ALL SELECT k, 'v' FROM d WHERE ok AND k % 3 = 0 UNION ALL SELECT k, NULL FROM d WHERE NOT (ok AND k % 3 = 0))
+SELECT 'p' || k || '_markdown/manifest.json' AS relpath, CASE WHEN k % 11 <> 0 AND k % 4 = 0 THEN k % 6 END::BIGINT AS attempts, w AS warning FROM w""")
+def conversion_warnings(s, sf):
+    return conversion.manifest_rows(_conversions(s, sf)[1])
+
+
+@query("""WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t, doc_id % 11 <> 0 AND doc_id % 5 <> 0 AS ok FROM documents)
+SELECT count(*) FILTER (WHERE k % 7 <> 0)::BIGINT AS pdfs, count(*)::BIGINT AS combined_files, count(*) FILTER (WHERE k % 5 <> 0)::BIGINT AS manifests, sum(strlen(t))::BIGINT AS total_bytes, count(*) FILTER (WHERE strlen(t) < 200)::BIGINT AS short_files,
+  min(k % 6) FILTER (WHERE ok AND k % 4 = 0)::BIGINT AS attempts_min, max(k % 6) FILTER (WHERE ok AND k % 4 = 0)::BIGINT AS attempts_max, sum(k % 6) FILTER (WHERE ok AND k % 4 = 0)::BIGINT AS attempts_sum,
+  (2 * count(*) FILTER (WHERE ok AND k % 3 = 0))::BIGINT AS parser_warnings, count(*) FILTER (WHERE contains(t, 'tion') OR contains(t, 'idiot'))::BIGINT AS semantic_matches FROM d""")
+def conversion_report(s, sf):
+    files, manifests, texts = _conversions(s, sf)
+    return conversion.summary(files, manifests, texts, ["tion", "idiot"], 200).drop("suspicious_files")
+
+
+@query(f"""WITH {TREE} SELECT 'P1' AS priority, adir || '/manifest.json' AS path, CASE k % 8 WHEN 2 THEN 'invalid JSON' WHEN 4 THEN 'expected JSON dict' ELSE 'parse artifact source hash mismatch; raw source changed after parsing' END AS message FROM d
+WHERE parsed AND (k % 8 IN (2, 4) OR k % 8 = 6 AND there OR k % 8 = 3 AND there AND k % 5 IN (0, 2, 3) AND (k % 3 = 1 OR dir = 'raw'))""")
+def artifact_hashes(s, sf):
+    files, manifests, _ = tree(s, sf)
+    return conversion.changed_sources(files, manifests, ROOT).select("priority", "path", "message")
