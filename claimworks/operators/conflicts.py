@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vocab as V
 from ..functions.text import word_key
+from ..sources.scratch import numbered
 
 
 def keyed(claims: DataFrame) -> DataFrame:
@@ -40,8 +41,8 @@ def numeric(claims: DataFrame, tolerance: float = V.SPREAD) -> DataFrame:
 def assign(claims: DataFrame, tolerance: float = V.SPREAD) -> DataFrame:
     """Claims with their contradiction_group: CG-0000 and on in key order; a claim of several keeps the last."""
     keys = ["concept", "predicate_key", "unit_key"]
-    numbered = groups(claims, tolerance).select(keys).withColumn("no", F.row_number().over(W.orderBy(*keys)) - 1)  # a row for each conflict
-    last = keyed(claims).join(numbered, keys).groupBy("ord").agg(F.max("no").alias("no"))
+    ids = numbered(groups(claims, tolerance).select(keys), [F.col(c).asc() for c in keys], "no", 0)
+    last = keyed(claims).join(ids, keys).groupBy("ord").agg(F.max("no").alias("no"))
     named = F.coalesce(F.format_string("CG-%04d", "no"), F.lit(""))
     return claims.drop("contradiction_group").join(last, "ord", "left").withColumn("contradiction_group", F.when(F.col("no").isNull(), "").otherwise(named)).drop("no")
 

@@ -94,7 +94,8 @@ def ledger_rules(claims: DataFrame, pages: DataFrame, registry: DataFrame) -> li
 
     at = F.concat(F.lit("claims#L"), F.col("line_no").cast("string"))
     sources = pages.where("folder = 'sources'").select(F.col("stem").alias("source_id"))
-    known = registry.groupBy("source_id").agg(F.first("source_uuid").alias("known_uuid"), F.max(F.col("status") == "stale").alias("is_stale"))
+    last = "ord" if "ord" in registry.columns else "source_uuid"  # of several rows the last one counts, in the order there is
+    known = registry.groupBy("source_id").agg(F.max_by("source_uuid", last).alias("known_uuid"), F.max(F.col("status") == "stale").alias("is_stale"))
     c = claims.join(known, "source_id", "left")
     lacking = F.array_except(F.array(*[F.lit(f) for f in V.LEDGER_FIELDS]), F.json_object_keys("raw"))
     blank = lambda n: F.coalesce(F.col(n), F.lit("")) == ""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X, vocab as V
+from ..sources.scratch import numbered
 
 KEYS = ["arxiv", "doi", "sha256", "title_key"]
 
@@ -21,6 +22,14 @@ def duplicate_groups(rows: DataFrame, item: str, keys: list[str] = KEYS, order:
     return listed.select("key_type", "key", F.transform("all", lambda x: x["item"]).alias("items"), "n")
 
 
+def duplicate_rows(rows: DataFrame, item: str, keys: list[str] = KEYS) -> DataFrame:
+    """(key_type, key, item, n): a row for each member of a group of duplicates, so that no group is ever one value or one task."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key_type"), F.col(k).cast("string").alias("key")) for k in keys]))
+    long = rows.select(F.col(item).alias("item"), pairs.alias("k")).select("item", "k.key_type", "k.key").where("coalesce(key, '') <> ''")
+    often = long.groupBy("key_type", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return long.join(often, ["key_type", "key"]).select("key_type", "key", "item", "n")
+
+
 def mark_duplicates(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, duplicate_of, status): rows with the content of an earlier one are archived duplicates of it."""
     first = rows.where(F.col(content).isNotNull()).groupBy(F.col(content).alias("_same")).agg(F.min(key).alias("_first"))
@@ -37,13 +46,16 @@ def register(known: DataFrame, found: DataFrame, as_of: str) -> DataFrame:
     f = f.withColumn("source_id", F.coalesce("by_hash", "by_path"))
     top = known.agg(F.coalesce(F.max(F.regexp_extract("source_id", r"LLM-(\d+)", 1).try_cast("int")), F.lit(0)).alias("top"))
     fresh = f.where("source_id is null").join(F.broadcast(top))  # one row
-    fresh = fresh.withColumn("n", F.row_number().over(W.orderBy("raw_path"))).withColumn("source_id", X.source_number((F.col("top") + F.col("n")).cast("int")))
+    fresh = numbered(fresh, [F.col("raw_path").asc()], "n").withColumn("source_id", X.source_number((F.col("top") + F.col("n")).cast("int")))
     made = fresh.select("source_id", X.source_uuid(F.col("source_id")).alias("source_uuid"), "raw_hash", "raw_path", F.lit("candidate").alias("status"), F.lit(as_of).alias("created"), F.lit(as_of).alias("updated"))
     return known.unionByName(made, allowMissingColumns=True)
 
 
 def transition(rows: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply (source_id, new_status, error): the error goes unless the row failed or a new one is given."""
+    """Apply (source_id, new_status, error): the error goes unless the row failed or a new one is given. An unknown status fails the job."""
+    known = F.col("new_status").isNull() | F.col("new_status").isin(V.STATUSES)
+    checked = F.when(known, F.col("new_status")).otherwise(F.raise_error(F.concat(F.lit("invalid status "), "new_status")))
+    changes = changes.withColumn("new_status", checked)
     both = rows.join(changes.select("source_id", "new_status", "error"), "source_id", "left")
     moved = F.col("new_status").isNotNull()
     error = F.when(~moved, F.col("last_error")).when(F.col("error").isNotNull(), F.col("error")).when(F.col("new_status") == "failed", F.col("last_error"))

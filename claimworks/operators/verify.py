@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X, vocab as V
-from ..sources.store import headings, page_lines
+from ..sources.store import headings
 
 
 def quote_verdict() -> Column:
@@ -41,9 +41,13 @@ def issues(claims: DataFrame, pages: DataFrame) -> DataFrame:
     c = c.withColumn("_to", X.evidence_target(F.coalesce("evidence", F.lit(""))))
     size = pages.select(F.col("relpath").alias("_path"), F.size(X.lines(F.col("body"))).alias("_size"))
     c = c.join(size, F.col("_to.path") == F.col("_path"), "left")
-    heads = headings(pages).select(F.col("relpath").alias("_hpath"), F.col("slug").alias("_slug"), F.lit(True).alias("_head")).distinct()
+    # Only what claims cite is taken apart: pages by path, their lines by number.
+    to = c.where("_to.path is not null").groupBy(F.col("_to.path").alias("relpath")).agg(F.collect_set("_to.line").alias("cited"))  # at most the page's lines, and odd numbers
+    cited = pages.select("relpath", "body").join(to, "relpath")
+    heads = headings(cited).select(F.col("relpath").alias("_hpath"), F.col("slug").alias("_slug"), F.lit(True).alias("_head")).distinct()
     c = c.join(heads, (F.col("_to.path") == F.col("_hpath")) & (X.slug(F.col("_to.fragment")) == F.col("_slug")), "left")
-    at = page_lines(pages).select(F.col("relpath").alias("_lpath"), F.col("line_no").alias("_no"), F.col("line").alias("_line"))
+    lines = cited.select("relpath", "cited", X.lines(F.col("body")).alias("all"))
+    at = lines.select(F.col("relpath").alias("_lpath"), F.explode(F.transform("cited", lambda n: F.struct(n.alias("_no"), F.when(n > 0, F.get("all", n - 1)).alias("_line")))).alias("x")).select("_lpath", "x.*")
     c = c.join(at, (F.col("_to.path") == F.col("_lpath")) & (F.col("_to.line") == F.col("_no")), "left")
     evidence, quote = F.coalesce("evidence", F.lit("")), F.coalesce("evidence_quote", F.lit(""))
     metric = F.col("claim_type") == "metric"

@@ -28,9 +28,10 @@ def header(text: Column) -> Column:
     block = F.when(closed, F.regexp_extract(text, r"(?ms)\A---[ \t]*(?:\r\n|\n|\r)(.*?)^[ \t]*---[ \t]*$", 1)).otherwise(block)
     pairs = F.filter(F.split(block, LINE_END), lambda x: x.contains(":") & ~F.ltrim(x).startswith("-") & (F.trim(F.substring_index(x, ":", 1)) != ""))
     named = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.call_function("btrim", F.trim(F.regexp_replace(x, r"^[^:]*:", "")), F.lit('"')).alias("value")))
-    # Keep the last of each key: map_from_entries doesn't allow two. `let` parses once.
-    later = lambda s, i: F.slice(s["named"], i + 2, F.size(s["named"]))
-    last = let(lambda s: F.map_from_entries(F.filter(s["named"], lambda x, i: ~F.exists(later(s, i), lambda y: y["key"] == x["key"]))), named=named)
+    # Keep the last of each key: map_from_entries doesn't allow two. `let` parses and sorts once.
+    placed = F.array_sort(F.transform(named, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["value"].alias("value"))))
+    final = lambda s: F.filter(s["placed"], lambda x, i: F.coalesce(F.get(s["placed"], i + 1)["key"] != x["key"], F.lit(True)))
+    last = let(lambda s: F.map_from_entries(F.transform(final(s), lambda x: F.struct(x["key"], x["value"]))), placed=placed)
     return F.when(closed, last)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.registry import register
 
+REGISTRY = "source_id string, source_uuid string, raw_hash string, raw_path string, status string, created string, updated string"
+
 
 def arrivals(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
@@ -31,12 +33,20 @@ def sessions(events: DataFrame, ts: str = "ts", by: str = "user_id", gap: str =
 
 
 def register_stream(found: DataFrame, registry_path: str, checkpoint: str, as_of: str) -> StreamingQuery:
-    """Merge arriving raw files into the registry, one version of it for each batch; a batch that is run again gives the same version."""
+    """Merge arriving raw files into the registry, one version of it for each batch; a batch that is run again gives the same version.
+
+    Where version 0 is missing the registry begins empty. Versions but the last two are removed. `publish` has the form that writes only what changes.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{registry_path}/v={number}"
-        known = spark.read.parquet(before)
-        register(known, batch, as_of).write.mode("overwrite").parquet(f"{registry_path}/v={number + 1}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path(registry_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        at = lambda n: f"{registry_path}/v={n}"
+        begun = number > 0 or files.exists(path(at(0)))
+        known = spark.read.parquet(at(number)) if begun else spark.createDataFrame([], REGISTRY)
+        register(known, batch, as_of).write.mode("overwrite").parquet(at(number + 1))
+        if number > 0:
+            files.delete(path(at(number - 1)), True)
 
     return found.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

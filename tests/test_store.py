@@ -228,6 +228,12 @@ def test_streaming_register_and_windows(spark, tmp_path):
     q = incremental.register_stream(incremental.arrivals(spark, str(src), "raw_path string, raw_hash string"), str(reg_path), str(tmp_path / "cp"), "2024-01-01")
     q.awaitTermination(60)
     assert sorted(r.source_id for r in spark.read.parquet(f"{reg_path}/v=1").collect()) == ["LLM-0001", "LLM-0002"]
+    (src / "b.json").write_text('{"raw_path":"raw/d","raw_hash":"h3"}\n')
+    for where, batches in ((reg_path, 1), (tmp_path / "new", 2)):  # the second begins with nothing
+        cp = tmp_path / ("cp" if batches == 1 else "cp2")
+        incremental.register_stream(incremental.arrivals(spark, str(src), "raw_path string, raw_hash string", 1), str(where), str(cp), "2024-01-01").awaitTermination(120)
+        assert spark.read.parquet(f"{where}/v=2").count() == 3
+    assert sorted(p.name for p in (tmp_path / "new").iterdir()) == ["v=1", "v=2"]
 
 
 def test_abstract_and_numbered_rows(spark, tmp_path):
@@ -250,3 +256,17 @@ def test_exact_patterns(spark):
     lines = spark.createDataFrame([("log", i, x) for i, x in enumerate(rows)], "path string, line_no int, line string")
     assert [r.valid for r in store.log_rows(lines).collect()] == [True] + [False] * 6
     assert {r.path for r in lint.log_rules(lines)[0].collect()} == {"log#L1", "log#L2", "log#L3", "log#L4"}
+
+
+def test_unknown_status_and_duplicate_rows(spark):
+    rows = spark.createDataFrame([("LLM-0001", "candidate", None)], "source_id string, status string, last_error string")
+    with pytest.raises(Exception, match="invalid status odd"):
+        reg.transition(rows, spark.createDataFrame([("LLM-0001", "odd", None)], "source_id string, new_status string, error string")).collect()
+    files = spark.createDataFrame([(1, "a", ""), (2, "a", "x"), (3, "b", "x"), (4, None, "y")], "id int, sha256 string, doi string")
+    assert sorted((r.key_type, r.key, r.item, r.n) for r in reg.duplicate_rows(files, "id", ["doi", "sha256"]).collect()) == [("doi", "x", 2, 2), ("doi", "x", 3, 2), ("sha256", "a", 1, 2), ("sha256", "a", 2, 2)]
+
+
+def test_many_header_lines(spark):
+    text = "---\n" + "\n".join(f"k{i % 700}: v{i}" for i in range(2000)) + "\n---\nbody"
+    head = spark.createDataFrame([(text,)], "t string").select(store.header(F.col("t")).alias("h")).first().h
+    assert head == {f"k{i}": f"v{max(n for n in range(i, 2000, 700))}" for i in range(700)}
