@@ -11,7 +11,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import archive, conversion, discovery, graph, graph_document, graph_parts, identity, lineage
+from ..operators import archive, conversion, discovery, graph, graph_document, graph_parts, identity, lineage, overview, registry as reg
 from ..sources import store
 from ..sources.scratch import new_folder
 from ..streaming import publish
@@ -395,3 +395,55 @@ WHERE parsed AND (k % 8 IN (2, 4) OR k % 8 = 6 AND there OR k % 8 = 3 AND there
 def artifact_hashes(s, sf):
     files, manifests, _ = tree(s, sf)
     return conversion.changed_sources(files, manifests, ROOT).select("priority", "path", "message")
+
+
+def _store_listing(s: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id")
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("raw/", "raw/inbox/", "raw/inbox/d/", "drafts/", "sources/LLM-", "sources/", "concepts/", "qa-reports/contradiction-", "qa-reports/", "raw/x_markdown/")]), (k % 10 + 1).cast("int"))
+    return B.table(s, sf, "documents").select(k, _path(folder, k.cast("string"), F.when(k % 10 < 3, ".pdf").otherwise(".md")).alias("relpath"))
+
+
+@query("""WITH d AS (SELECT doc_id AS k, text FROM documents)
+SELECT (count(*) FILTER (WHERE k % 10 = 1) + (count(*) FILTER (WHERE k % 10 = 2) > 0)::INT)::BIGINT AS raw_inbox, count(*) FILTER (WHERE k % 10 = 0)::BIGINT AS raw_evidence, count(*) FILTER (WHERE k % 10 = 3)::BIGINT AS draft_sources, count(*) FILTER (WHERE k % 10 = 4)::BIGINT AS stable_sources,
+  count(*)::BIGINT AS claims, count(*) FILTER (WHERE k % 3 = 0)::BIGINT AS claims_needing_review, count(*) FILTER (WHERE k % 4 = 0)::BIGINT AS science_review_queue, count(*) FILTER (WHERE k % 10 IN (7, 8))::BIGINT AS qa_reports, count(*) FILTER (WHERE k % 10 = 7)::BIGINT AS contradiction_reports,
+  count(*) FILTER (WHERE k % 10 = 6)::BIGINT AS concepts, (SELECT count(*) FROM events)::BIGINT AS growth_queue, (SELECT count(*) FROM events WHERE event_type = 'error')::BIGINT AS growth_queue_pending,
+  count(*) FILTER (WHERE k % 10 = 6 AND k % 4 = 2 AND regexp_matches(lower(text), 'latest|current|state of the art|sota|now'))::BIGINT AS stale_concepts FROM d""")
+def store_counters(s, sf):
+    docs, k = B.table(s, sf, "documents"), F.col("doc_id")
+    pages = docs.select(F.when(k % 10 == 6, "concepts").otherwise("sources").alias("folder"), F.create_map(F.lit("updated"), F.when(k % 4 == 2, "2000-01-01").otherwise("2001-05-30")).alias("frontmatter"), F.col("text").alias("body"))
+    claims = docs.select((k % 3 == 0).alias("needs_review"))
+    queue = B.table(s, sf, "events").select(F.when(F.col("event_type") == "error", "pending").otherwise("done").alias("status"))
+    return overview.counters(_store_listing(s, sf), pages, claims, docs.where(k % 4 == 0), queue, B.AS_OF)
+
+
+@query("""WITH d AS (SELECT doc_id % 7 AS f, doc_id AS k, coalesce(text, '') AS t, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id % 100 DESC, 'p' || doc_id) AS place FROM documents)
+SELECT f::VARCHAR AS folder, place::INT AS place, 'p' || k AS relpath, CASE WHEN k % 3 = 0 THEN 'T' || k WHEN k % 3 = 1 THEN 'H' || k ELSE 's' || k END AS title FROM d WHERE place <= 8""")
+def recent_pages(s, sf):
+    """The eight pages of each folder that changed last: a report of the top few."""
+    k, t = F.col("doc_id"), F.col("doc_id").cast("string")
+    head = F.create_map(F.lit("title"), F.when(k % 3 == 0, _path("T", t)).otherwise(""))
+    body = F.concat(F.when(k % 3 == 1, _path("x\n# H", t, "\n")).otherwise("x\n"), F.translate(F.coalesce("text", F.lit("")), "#", "."))
+    pages = B.table(s, sf, "documents").select((k % 7).cast("string").alias("folder"), _path("p", t).alias("relpath"), _path("s", t).alias("stem"), (k % 100).alias("changed"), head.alias("frontmatter"), body.alias("body"))
+    return overview.recent(pages)
+
+
+@query("""SELECT 'P0' AS priority, path, 'required directory is missing' AS message FROM (VALUES ('claims'), ('templates'), ('_state'), ('log-archive')) v(path)
+UNION ALL SELECT 'P0', path, 'required file is missing' FROM (VALUES ('SCHEMA.md'), ('index.md'), ('log.md'), ('_state/id-counter.md'), ('_state/growth-queue.jsonl'), ('_state/source-registry.jsonl'), ('_state/science-review-queue.jsonl')) v(path)
+UNION ALL SELECT 'P0', 'concepts', 'required directory is missing' WHERE (SELECT count(*) FROM documents WHERE doc_id % 10 = 6) = 0
+UNION ALL SELECT 'P2', 'claims/claims.jsonl', 'claim graph has not been generated'""")
+def store_structure(s, sf):
+    return overview.structure(s, _store_listing(s, sf), ROOT)
+
+
+@query("""WITH e AS (SELECT DISTINCT p_brand AS concept, printf('LLM-%04d', l_suppkey) AS source_id FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT concept, source_id, row_number() OVER (PARTITION BY concept ORDER BY source_id)::INT AS place, count(*) OVER (PARTITION BY concept)::BIGINT AS n FROM e""")
+def concept_rollup(s, sf):
+    rows = B.table(s, sf, "lineitem").select("l_partkey", "l_suppkey").join(B.table(s, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return overview.sources_by_concept(rows.select(F.format_string("LLM-%04d", F.col("l_suppkey").cast("long")).alias("source_id"), F.array("p_brand").alias("concepts")))
+
+
+@query("""SELECT key_type, key, page_id, count(*) OVER (PARTITION BY key_type, key)::BIGINT AS n FROM (SELECT page_id, 'arxiv' AS key_type, regexp_extract(url, '//([^/]+)', 1) AS key FROM pages UNION ALL SELECT page_id, 'sha256', sha256(html) FROM pages)
+WHERE key <> '' QUALIFY n > 1""")
+def dup_rows(s, sf):
+    keyed = B.table(s, sf, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.regexp_extract("url", "//([^/]+)", 1).alias("arxiv"))
+    return reg.duplicate_rows(keyed, "page_id", ["arxiv", "sha256"]).withColumnRenamed("item", "page_id")
