@@ -4,7 +4,7 @@ Sizes are words. Targets fill up by weight, no source above `MOST` times its siz
 targets are cut into equal blocks of words and each block goes to the source with the
 highest quotient target / (2 * blocks so far + 1); the blocks of a source are dealt to its
 shards in the same way by shard size. A shard is a seeded bucket of about `SHARD_DOCS`
-documents in seeded order; its quota is met by whole passes over the shard and then by
+documents in seeded order (by id and text); its quota is met by whole passes over the shard and then by
 blocks of one more pass, evenly spaced from a seeded offset. What a document gives
 follows from its place in the shard in closed form, so blocks are never rows.
 
@@ -100,7 +100,7 @@ def _level(ranked_: DataFrame, total: int) -> float:
 
 
 def plan(sizes: DataFrame, seed: int = SEED, weights: int = WEIGHTS, most: int = MOST, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(key, source, size) -> the same rows with source_size, target, and what a document's place in its shard gives:
+    """(key, source, size, mark) -> the same rows with source_size, target, and what a document's place in its shard gives:
     size_before (words of the shard before it), block, passes, blocks, blocks_of, offset, taken."""
     sources = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), [F.col("source").asc_nulls_last()], "mix-sources")
     sources = sources.withColumn("weight", 1 + F.col("_at") % weights).withColumn("cap", most * F.col("source_size"))
@@ -114,7 +114,8 @@ def plan(sizes: DataFrame, seed: int = SEED, weights: int = WEIGHTS, most: int =
     won = _apportion(votes, [], [F.col("source").asc_nulls_last()], "seats")
     won = won.select("source", "source_size", "target", "block", F.col("won").alias("quota"), F.ceil(F.col("docs") / shard_docs).cast("long").alias("shards"))
 
-    marked = sizes.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary")))
+    # The text takes part, so that rows without an id, or with one id, are dealt to all shards.
+    marked = sizes.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("mark")).cast("binary")))
     placed = marked.join(won, marked["source"].eqNullSafe(won["source"])).drop(won["source"])
     placed = placed.withColumn("shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % F.col("shards"))
     stream = W.partitionBy("source", "shard").orderBy("_h", "key", "size").rowsBetween(W.unboundedPreceding, -1)
@@ -139,19 +140,23 @@ def plan(sizes: DataFrame, seed: int = SEED, weights: int = WEIGHTS, most: int =
 
     end = F.col("size_before") + F.col("size")
     out = out.withColumn("taken", F.col("passes") * F.col("size") + taken_before(end) - taken_before(F.col("size_before")))
-    return out.select("key", "source", "size", "source_size", "target", "size_before", "block", "passes", "blocks", "blocks_of", "offset", "taken")
+    return out.select("key", "source", "size", "mark", "source_size", "target", "size_before", "block", "passes", "blocks", "blocks_of", "offset", "taken")
 
 
 def _size(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def _mark(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def sizes_of(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return df.select(F.col(key).alias("key"), F.col(source).alias("source"), _size(text).alias("size"))
+    return df.select(F.col(key).alias("key"), F.col(source).alias("source"), _size(text).alias("size"), _mark(text).alias("mark"))
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """(key, source, size, source_size, target, taken, and the place columns of `plan`): one row for each row of `df`."""
+    """(key, source, size, mark (the text's MD5), source_size, target, taken, and the place columns of `plan`): one row for each row of `df`."""
     return plan(materialize(sizes_of(df, key, text, source), "mix-sizes"), seed)
 
 
@@ -169,12 +174,12 @@ def _excerpt(text: Column, at: Column) -> Column:
 
 def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """The mixed rows of `df`, with all its columns: each document whole, once for each pass, then an excerpt of the words
-    that the blocks of the last pass take. Rows with an equal key, source and size are all taken like the first of them."""
-    key_, source_, size_, at_, words_, k_ = (free_name(df, n) for n in ("_key", "_source", "_size", "_at", "_words", "_k"))
+    that the blocks of the last pass take. Rows with an equal key, source and text are all taken like the first of them."""
+    key_, source_, mark_, at_, own_, k_ = (free_name(df, n) for n in ("_key", "_source", "_mark", "_at", "_own", "_k"))
     places = F.struct("size_before", "block", "passes", "blocks", "blocks_of", "offset", "size", "taken")
-    placed = mix(df, key, text, source, seed).groupBy(F.col("key").alias(key_), F.col("source").alias(source_), F.col("size").alias(size_)).agg(F.min(places).alias(at_))
-    sized = df.withColumn(words_, _size(text))
-    both = sized.join(placed, F.col(key).eqNullSafe(F.col(key_)) & F.col(source).eqNullSafe(F.col(source_)) & (F.col(words_) == F.col(size_)))
+    placed = mix(df, key, text, source, seed).groupBy(F.col("key").alias(key_), F.col("source").alias(source_), F.col("mark").alias(mark_)).agg(F.min(places).alias(at_))
+    marked = df.withColumn(own_, _mark(text))
+    both = marked.join(placed, F.col(key).eqNullSafe(F.col(key_)) & F.col(source).eqNullSafe(F.col(source_)) & (F.col(own_) == F.col(mark_)))
     at = F.col(at_)
     times = at["passes"] + (at["taken"] > at["passes"] * at["size"]).cast("long")
     rows = both.where(times > 0).withColumn(k_, F.explode(F.sequence(F.lit(1).cast("long"), times)))
@@ -204,7 +209,7 @@ def _oracle(seed: int = SEED) -> str:
 
     return rf"""
 WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-             md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+             md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM z GROUP BY source),
 r AS (SELECT *, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {WEIGHTS} AS weight, {MOST} * source_size AS cap,
         (sum(source_size) OVER ())::BIGINT AS total FROM s),

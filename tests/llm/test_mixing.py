@@ -55,3 +55,17 @@ def test_applied_mix_has_the_words_taken(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
     assert got == {k: v for k, v in want.items() if v}
     assert mixing.apply_mix(df.where("false")).count() == 0
+
+
+def test_rows_without_an_id_are_dealt_to_all_shards(spark):
+    rows = [(None if i % 3 == 0 else i, " ".join(f"w{i}x{j}" for j in range(i % 40 + 1)), "hot") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows) and abs(got.taken.sum() - got.target.iloc[0]) <= 0.03 * got.target.iloc[0] + 1
+    shards = -(-len(rows) // mixing.SHARD_DOCS)
+    shares = got.sort_values("mark").groupby(got.size_before == 0).size()
+    assert shares[True] >= shards  # each shard has a first row
+    longest = got[got.key.isna()].size_before.max()
+    assert longest < 1.3 * got["size"].sum() / shards
+    mixed = mixing.apply_mix(df).toPandas()
+    assert mixed[mixed.doc_id.isna()].text.nunique() > 0.9 * len([1 for k, *_ in rows if k is None])
