@@ -73,7 +73,6 @@ def counts(claims: DataFrame) -> DataFrame:
 
 def unresolved_duplicates(claims: DataFrame, order: str = "line_no") -> DataFrame:
     """Every row after the first of a claim_id, with the first one's place."""
-    from pyspark.sql import Window as W
-
-    by = W.partitionBy("claim_id").orderBy(order)
-    return claims.withColumn("r", F.row_number().over(by)).withColumn("first_at", F.first(order).over(by)).where("r > 1").drop("r")
+    first = claims.groupBy(F.col("claim_id").alias("_id")).agg(F.min(order).alias("first_at"), F.count("*").alias("_n")).where("_n > 1")
+    both = claims.join(first, F.col("claim_id").eqNullSafe(F.col("_id")))
+    return both.where(F.col(order) > F.col("first_at")).drop("_id", "_n")

@@ -17,31 +17,39 @@ def rule(rows: DataFrame, priority: str, path: Column | str, message: Column | s
     return rows.select(F.lit(priority).alias("priority"), (F.col(path) if isinstance(path, str) else path).alias("path"), told.alias("message"), F.lit(fix).alias("fix"))
 
 
+def checked(rows: DataFrame, path: Column | str, rules: list[tuple[str, Column, Column | str, str]]) -> DataFrame:
+    """All rules (priority, condition, message, fix) that look at one row, in one pass: an array of findings, exploded."""
+    told = lambda m: m if isinstance(m, Column) else F.lit(m)
+    found = [F.when(c, F.struct(F.lit(p).alias("priority"), told(m).alias("message"), F.lit(f).alias("fix"))) for p, c, m, f in rules]
+    each = rows.select((F.col(path) if isinstance(path, str) else path).alias("path"), F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return each.select("f.priority", "path", "f.message", "f.fix")
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
 def page_rules(pages: DataFrame) -> list[DataFrame]:
-    """R3 to R10: headers, names, anchors and citations of pages."""
-    sources = pages.where(F.col("folder").isin("sources", "drafts"))
-    lacking = F.array_except(F.array(*[F.lit(f) for f in V.SOURCE_FIELDS]), F.map_keys("frontmatter"))
-    whole = sources.where(F.size(lacking) == 0)
-    status = F.col("frontmatter")["status"]
-    right = F.when(F.col("folder") == "sources", status.isin("stable", "published", "final")).otherwise(status.isin("draft", "review"))
-    own = whole.withColumn("id", F.col("frontmatter")["id"])
-    twice = own.groupBy("id").agg(F.count("*").alias("n"), F.max("relpath").alias("relpath")).where("n > 1")
-    concepts = pages.where("folder = 'concepts'")
-    short = F.array_except(F.array(*[F.lit(f) for f in V.CONCEPT_FIELDS]), F.map_keys("frontmatter"))
-    return [
-        rule(sources.where(F.size(lacking) > 0), "P0", "relpath", F.concat(F.lit("missing header fields: "), F.array_join(F.array_sort(lacking), ", ")), "complete the header"),
-        rule(whole.where(~F.col("stem").rlike(r"^LLM-\d{4}$")), "P1", "relpath", "bad source file name", "rename the page"),
-        rule(own.where("id <> stem"), "P0", "relpath", "id differs from the file name", "make them equal"),
-        rule(whole.where(~F.coalesce(right, F.lit(False))), "P0", "relpath", "status does not fit the folder", "move the page or change its status"),
-        rule(twice, "P0", "relpath", "id is used twice", "give one a new id"),
-        rule(whole.where(~F.col("body").contains("#L") & ~F.col("body").contains("raw/")), "P2", "relpath", "no evidence anchor", "cite lines"),
-        rule(concepts.where(F.size(short) > 0), "P1", "relpath", F.concat(F.lit("missing header fields: "), F.array_join(F.array_sort(short), ", ")), "complete the header"),
-        rule(concepts.where(~F.col("body").contains("[[")), "P2", "relpath", "concept without citations", "link its sources"),
+    """R3 to R10: headers, names, anchors and citations of pages; pages are read once for all but the ids used twice."""
+    head, folder = F.col("frontmatter"), F.col("folder")
+    lacks = lambda fields: F.array_sort(F.array_except(F.array(*[F.lit(f) for f in fields]), F.map_keys(head)))
+    source, concept = folder.isin("sources", "drafts"), folder == "concepts"
+    whole = source & (F.size(lacks(V.SOURCE_FIELDS)) == 0)
+    status = head["status"]
+    right = F.when(folder == "sources", status.isin("stable", "published", "final")).otherwise(status.isin("draft", "review"))
+    missing = lambda fields: F.concat(F.lit("missing header fields: "), F.array_join(lacks(fields), ", "))
+    body = F.col("body")
+    own = [
+        ("P0", source & (F.size(lacks(V.SOURCE_FIELDS)) > 0), missing(V.SOURCE_FIELDS), "complete the header"),
+        ("P1", whole & ~F.col("stem").rlike(r"^LLM-\d{4}$"), "bad source file name", "rename the page"),
+        ("P0", whole & (head["id"] != F.col("stem")), "id differs from the file name", "make them equal"),
+        ("P0", whole & ~F.coalesce(right, F.lit(False)), "status does not fit the folder", "move the page or change its status"),
+        ("P2", whole & ~body.contains("#L") & ~body.contains("raw/"), "no evidence anchor", "cite lines"),
+        ("P1", concept & (F.size(lacks(V.CONCEPT_FIELDS)) > 0), missing(V.CONCEPT_FIELDS), "complete the header"),
+        ("P2", concept & ~body.contains("[["), "concept without citations", "link its sources"),
     ]
+    twice = pages.where(whole).groupBy(head["id"].alias("id")).agg(F.count("*").alias("n"), F.max("relpath").alias("relpath")).where("n > 1")
+    return [checked(pages, "relpath", own), rule(twice, "P0", "relpath", "id is used twice", "give one a new id")]
 
 
 def link_rules(pages: DataFrame) -> list[DataFrame]:
@@ -96,23 +104,26 @@ def ledger_rules(claims: DataFrame, pages: DataFrame, registry: DataFrame) -> li
     sources = pages.where("folder = 'sources'").select(F.col("stem").alias("source_id"))
     last = "ord" if "ord" in registry.columns else "source_uuid"  # of several rows the last one counts, in the order there is
     known = registry.groupBy("source_id").agg(F.max_by("source_uuid", last).alias("known_uuid"), F.max(F.col("status") == "stale").alias("is_stale"))
-    c = claims.join(known, "source_id", "left")
-    lacking = F.array_except(F.array(*[F.lit(f) for f in V.LEDGER_FIELDS]), F.json_object_keys("raw"))
+    paged = sources.distinct().withColumn("has_page", F.lit(True))
+    any_known = F.lit(not registry.isEmpty())
+    c = claims.join(known, "source_id", "left").join(paged, "source_id", "left")
+    lacking = F.array_sort(F.array_except(F.array(*[F.lit(f) for f in V.LEDGER_FIELDS]), F.json_object_keys("raw")))
     blank = lambda n: F.coalesce(F.col(n), F.lit("")) == ""
-    full = registry.limit(1).select(F.lit(1).alias("one"))
-    out = [
+    own = [
+        ("P1", F.col("has_page").isNull(), "claim of a source without page", "restore the page or retract"),
+        ("P1", any_known & F.col("known_uuid").isNull(), "claim source is not registered", "register the source"),
+        ("P1", F.col("known_uuid").isNotNull() & ~blank("source_uuid") & (F.col("source_uuid") != F.col("known_uuid")), "source_uuid differs from the registry", "repair identities"),
+        ("P2", blank("claim_id") | blank("evidence"), "claim_id or evidence is missing", "complete the row"),
+        ("P1", F.size(lacking) > 0, F.concat(F.lit("missing fields: "), F.array_join(F.slice(lacking, 1, 6), ", ")), "extract again"),
+        ("P1", ~blank("evidence_quote") & ~blank("evidence_hash") & (F.col("evidence_hash") != X.short_sha256(F.col("evidence_quote"))), "evidence hash does not match", "extract again"),
+        ("P1", ~F.coalesce("verdict", F.lit("")).isin(V.VERDICTS), "invalid verdict", "verify again"),
+        ("P1", F.col("is_stale") & (F.col("verdict") != "stale"), "source is stale, claim is not", "mark the claim stale"),
+    ]
+    return [
+        checked(c, at, own),
         rule(unresolved_duplicates(claims), "P1", at, F.concat(F.lit("claim_id is used since line "), F.col("first_at").cast("string")), "remove the row"),
-        rule(claims.join(sources, "source_id", "left_anti"), "P1", at, "claim of a source without page", "restore the page or retract"),
-        rule(c.where("known_uuid is null").join(F.broadcast(full)), "P1", at, "claim source is not registered", "register the source"),
-        rule(c.where(F.col("known_uuid").isNotNull() & ~blank("source_uuid") & (F.col("source_uuid") != F.col("known_uuid"))), "P1", at, "source_uuid differs from the registry", "repair identities"),
-        rule(claims.where(blank("claim_id") | blank("evidence")), "P2", at, "claim_id or evidence is missing", "complete the row"),
-        rule(claims.where(F.size(lacking) > 0), "P1", at, F.concat(F.lit("missing fields: "), F.array_join(F.slice(F.array_sort(lacking), 1, 6), ", ")), "extract again"),
-        rule(claims.where(~blank("evidence_quote") & ~blank("evidence_hash") & (F.col("evidence_hash") != X.short_sha256(F.col("evidence_quote")))), "P1", at, "evidence hash does not match", "extract again"),
-        rule(claims.where(~F.coalesce("verdict", F.lit("")).isin(V.VERDICTS)), "P1", at, "invalid verdict", "verify again"),
-        rule(c.where(F.col("is_stale") & (F.col("verdict") != "stale")), "P1", at, "source is stale, claim is not", "mark the claim stale"),
         rule(sources.join(claims.select("source_id"), "source_id", "left_anti").orderBy("source_id").limit(8), "P2", "source_id", "source without claims", "extract claims"),
     ]
-    return out
 
 
 def synthesis_rule(pages: DataFrame, claims: DataFrame) -> DataFrame:

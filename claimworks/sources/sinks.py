@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import numbered
+
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One object for each row, keys in order. Overwriting a path that `df` reads is refused."""
@@ -45,7 +47,7 @@ def canvas(nodes: DataFrame) -> DataFrame:
     """Places of graph nodes on a canvas: a column for each type, a row for each node."""
     from pyspark.sql import Window as W
 
-    types = nodes.select("type").distinct().withColumn("column", F.row_number().over(W.orderBy("type")) - 1)  # a row for each type
-    row = F.row_number().over(W.partitionBy("type").orderBy("id")) - 1
-    placed = nodes.join(types, "type").withColumn("row", row)
+    placed = numbered(nodes.select("id", "type"), [F.col("type").asc(), F.col("id").asc()], "_n")
+    types = placed.groupBy("type").agg(F.min("_n").alias("_first")).withColumn("column", F.row_number().over(W.orderBy("type")) - 1)  # a row for each type
+    placed = placed.join(F.broadcast(types), "type").withColumn("row", F.col("_n") - F.col("_first"))
     return placed.select("id", (380 * F.col("column")).alias("x"), (190 * F.col("row")).alias("y"), F.lit(320).alias("width"), F.lit(160).alias("height"))
