@@ -166,3 +166,18 @@ def plain_line(x: Column) -> Column:
 def visible_in(value: Column, line: Column) -> Column:
     """Does the value stand on the line, as it is or without markup and case?"""
     return line.contains(value) | plain_line(line).contains(plain_line(value))
+
+
+def title_from_stem(stem: Column) -> Column:
+    """The parts of a file's name as capitalised words; the name itself if it has none."""
+    words = F.filter(F.split(stem, r"[-_\s]+"), lambda w: w != "")
+    title = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
+    return F.when(title == "", stem).otherwise(title)
+
+
+def wiki_link(relpath: Column, label: Column | None = None) -> Column:
+    """`[[path|label]]` without the suffix .md; without a label the name stands for it."""
+    target = F.regexp_replace(relpath, r"\.md$", "")
+    name = F.regexp_replace(F.substring_index(relpath, "/", -1), r"(?<=.)\.[^.]*$", "")
+    shown = name if label is None else F.coalesce(F.nullif(label, F.lit("")), name)
+    return F.concat(F.lit("[["), target, F.lit("|"), shown, F.lit("]]"))

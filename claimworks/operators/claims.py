@@ -76,3 +76,8 @@ def unresolved_duplicates(claims: DataFrame, order: str = "line_no") -> DataFram
     first = claims.groupBy(F.col("claim_id").alias("_id")).agg(F.min(order).alias("first_at"), F.count("*").alias("_n")).where("_n > 1")
     both = claims.join(first, F.col("claim_id").eqNullSafe(F.col("_id")))
     return both.where(F.col(order) > F.col("first_at")).drop("_id", "_n")
+
+
+def per_source(claims: DataFrame) -> DataFrame:
+    """(source_id, n): claims of each source; those without a source count as one."""
+    return claims.groupBy(F.coalesce("source_id", F.lit("")).alias("source_id")).agg(F.count("*").alias("n"))

@@ -180,3 +180,8 @@ def register_corpus(known: DataFrame, artifacts: DataFrame, today: str, next_id:
         F.lit("raw").alias("kind"), F.lit(today).alias("created"), F.lit(today).alias("updated"),
     )
     return done.unionByName(made.select(*[c for c in known.columns if c in made.columns]), allowMissingColumns=True)
+
+
+def counter_text(next_number: int) -> str:
+    """What a counter file holds."""
+    return f"# ID Counter\nnext: {next_number}\n"

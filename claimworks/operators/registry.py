@@ -124,3 +124,13 @@ def repair(rows: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         out = out.join(pairs.select(F.col("old").alias(c), F.col("new").alias("_new")), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
     return out.select(rows.columns)
+
+
+def stale_ids(rows: DataFrame) -> DataFrame:
+    """(source_id) of stale rows, each once."""
+    return rows.where((F.col("status") == "stale") & (F.coalesce("source_id", F.lit("")) != "")).select("source_id").distinct()
+
+
+def by_kind(rows: DataFrame) -> DataFrame:
+    """(kind, n); rows without a kind count as the empty one."""
+    return rows.groupBy(F.coalesce("kind", F.lit("")).alias("kind")).agg(F.count("*").alias("n"))

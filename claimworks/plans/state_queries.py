@@ -11,7 +11,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import archive, conversion, discovery, graph, graph_document, graph_parts, identity, lineage, overview, registry as reg
+from ..operators import archive, claims as claim_ops, conversion, discovery, graph, graph_document, graph_parts, identity, ingest, lineage, overview, registry as reg
 from ..sources import store
 from ..sources.scratch import new_folder
 from ..streaming import publish
@@ -447,3 +447,38 @@ WHERE key <> '' QUALIFY n > 1""")
 def dup_rows(s, sf):
     keyed = B.table(s, sf, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.regexp_extract("url", "//([^/]+)", 1).alias("arxiv"))
     return reg.duplicate_rows(keyed, "page_id", ["arxiv", "sha256"]).withColumnRenamed("item", "page_id")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) || '-of_the-' || page_id || '.md' AS path FROM pages), s AS (SELECT *, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '') AS stem FROM p)
+SELECT page_id, array_to_string(list_transform(list_filter(string_split_regex(stem, '[-_\s]+'), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title, '[[' || path[1:-4] || '|' || stem || ']]' AS link, '[[' || path[1:-4] || '|' || CASE WHEN page_id % 2 = 0 THEN 'label' ELSE stem END || ']]' AS labelled FROM s""")
+def titles_and_links(s, sf):
+    path = F.concat(F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1), F.lit("-of_the-"), F.col("page_id").cast("string"), F.lit(".md"))
+    p = B.table(s, sf, "pages").select("page_id", path.alias("path"))
+    label = F.when(F.col("page_id") % 2 == 0, "label").otherwise("")
+    return p.select("page_id", X.title_from_stem(lineage.stem_of(F.col("path"))).alias("title"), X.wiki_link(F.col("path")).alias("link"), X.wiki_link(F.col("path"), label).alias("labelled"))
+
+
+@query("""SELECT printf('LLM-%04d', doc_id) AS source_id, concat_ws('|', CASE WHEN length(coalesce(text, '')) < 120 THEN 'short' END, CASE WHEN doc_id % 4 < 2 THEN 'fewer' END, CASE WHEN doc_id % 5 = 0 THEN 'missing' END) AS issues,
+  CASE WHEN length(coalesce(text, '')) < 120 OR doc_id % 4 < 2 OR doc_id % 5 = 0 THEN 7.2 ELSE 8.2 END::DOUBLE AS overall, true AS passed FROM documents""")
+def draft_judgement(s, sf):
+    k = F.col("doc_id")
+    items = B.table(s, sf, "documents").select(F.format_string("LLM-%04d", k).alias("source_id"), F.col("text").alias("abstract"), (k % 4).alias("n_evidence"), F.when(k % 5 != 0, "x\nEvidence:\n").alias("draft"))
+    told = ingest.judge_drafts(items)
+    first = F.array_join(F.transform("issues", lambda x: F.when(x.startswith("abstract"), "short").otherwise(F.regexp_extract(x, r"^(\w+)", 1))), "|")
+    return told.select("source_id", first.alias("issues"), "overall", "passed")
+
+
+@query(f"""WITH {B.REGISTRY}, c AS (SELECT printf('LLM-%04d', l_suppkey) AS name FROM lineitem)
+SELECT 'claims' AS report, name, count(*)::BIGINT AS n FROM c GROUP BY name UNION ALL SELECT 'stale', source_id, 1 FROM (SELECT DISTINCT source_id FROM g WHERE status = 'failed')
+UNION ALL SELECT 'kind', suffix, count(*) FROM g GROUP BY suffix""")
+def small_reports(s, sf):
+    """Claims per source, stale sources, sources by kind."""
+    c = B.table(s, sf, "lineitem").select(F.format_string("LLM-%04d", F.col("l_suppkey").cast("long")).alias("source_id"))
+    g = B.registry(s, sf)
+    stale = reg.stale_ids(g.withColumn("status", F.when(F.col("status") == "failed", "stale").otherwise(F.col("status"))))
+    parts = [
+        claim_ops.per_source(c).select(F.lit("claims").alias("report"), F.col("source_id").alias("name"), "n"),
+        stale.select(F.lit("stale").alias("report"), F.col("source_id").alias("name"), F.lit(1).cast("long").alias("n")),
+        reg.by_kind(g.withColumn("kind", F.col("suffix"))).select(F.lit("kind").alias("report"), F.col("kind").alias("name"), "n"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
