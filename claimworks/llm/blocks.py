@@ -7,7 +7,9 @@ block comes back to it once per block instead of once per document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,21 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 
 
+@lru_cache(maxsize=1)
+def _allocator() -> None:
+    """Large arrays get pages of their own, which go back when they are freed, whatever was freed before."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy() -> None:
+    """At the start of a task's work: a Python worker lives on between stages and should not hold what its largest task held."""
+    _allocator()
+    pa.default_memory_pool().release_unused()
+
+
 def pack_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -44,6 +61,7 @@ def pack(df: DataFrame, tag: str, text: str = "text", size: int = BLOCK_BYTES) -
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         number = TaskContext.get().partitionId() << 32
         held, weight = [], 0
 

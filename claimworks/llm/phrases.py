@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .blocks import MESSAGE, Words, dealt, messages, pack, pack_bytes, runs, unpack_bytes
+from .blocks import MESSAGE, Words, dealt, messages, pack, pack_bytes, runs, tidy, unpack_bytes
 from .common import materialize, read, without
 
 WINDOW = 20
@@ -106,6 +106,7 @@ def _ask_phrases(window: int, phrase: int, numbers: Callable[[Words], np.ndarray
     """Over blocks: a message to each bucket with the texts of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
                 _, _, texts, twice, bucket = _phrases(Words(_texts(unpack_bytes(data.as_py()))), window, phrase, numbers, buckets)
@@ -118,6 +119,7 @@ def _ask_phrases(window: int, phrase: int, numbers: Callable[[Words], np.ndarray
 
 def _confirm(key: tuple, table: pa.Table) -> pa.Table:
     """Over the messages to a bucket: for each text of a message, does it occur twice? As bits."""
+    tidy()
     parts = [unpack_bytes(x.as_py()) for x in table.column("data")]
     coded = pa.chunked_array([c for p in parts for c in p.column("p").chunks], pa.binary()).combine_chunks().dictionary_encode().indices.to_numpy()
     twice = np.concatenate([p.column("twice").to_numpy() for p in parts])
@@ -169,6 +171,7 @@ def _windows(window: int, phrase: int, shard: int, numbers: Callable[[Words], np
     """Over a block and its confirmed phrases: the first of equal windows go to buckets, places are noted (bucket -1)."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy()
         block, rows = key[0].as_py(), []
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
         for data in left.column("data"):
@@ -203,6 +206,7 @@ def _windows(window: int, phrase: int, shard: int, numbers: Callable[[Words], np
 
 def _judge(key: tuple, table: pa.Table) -> pa.Table:
     """Over the messages to a bucket of digests: for each window of a message, does it start earlier elsewhere? As bits."""
+    tidy()
     blocks = table.column("block").to_pylist()
     parts = [unpack_bytes(x.as_py()) for x in table.column("data")]
     sizes = [p.num_rows for p in parts]
@@ -219,6 +223,7 @@ def _judge(key: tuple, table: pa.Table) -> pa.Table:
 
 def _remove(window: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy()
         table = unpack_bytes(left.column("data")[0].as_py())
         words = Words(_texts(table))
         n = len(words)
