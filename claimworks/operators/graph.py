@@ -136,12 +136,12 @@ def induced(nodes_: DataFrame, edges_: DataFrame, within: DataFrame) -> tuple[Da
     return nodes_.join(ids, "id", "left_semi"), kept
 
 
-def resolve(nodes_: DataFrame, targets: DataFrame) -> DataFrame:
+def resolve(nodes_: DataFrame, targets: DataFrame, digits: str = "4") -> DataFrame:
     """(target) -> (target, id), by the first step that gives a node: the id itself; a claim by `claims/...#id`; a source, draft or
-    concept by its page; a source by its number; a claim, then a concept by its bare name. Null if none does."""
+    concept by its page; a source by its number of so many digits; a claim, then a concept by its bare name. Null if none does."""
     value = F.trim("target")
     stem = F.regexp_extract(value, r"([^/]+)\.md$", 1)
-    number = F.regexp_extract(value, r"\b(LLM-\d{4})\b", 1)
+    number = F.regexp_extract(value, rf"\b(LLM-\d{{{digits}}})\b", 1)
     page = lambda folder: value.startswith(f"{folder}/") & value.endswith(".md")
     by_number = F.when(number != "", number).otherwise(stem)
     steps = [
@@ -150,7 +150,7 @@ def resolve(nodes_: DataFrame, targets: DataFrame) -> DataFrame:
         F.when(page("sources"), F.concat(F.lit("source:"), by_number)),
         F.when(page("drafts"), F.concat(F.lit("draft:"), by_number)),
         F.when(page("concepts"), F.concat(F.lit("concept:"), stem)),
-        F.when(value.rlike(r"^LLM-\d{4}$"), F.concat(F.lit("source:"), value)),
+        F.when(value.rlike(rf"^LLM-\d{{{digits}}}$"), F.concat(F.lit("source:"), value)),
         F.concat(F.lit("claim:"), value),
         F.concat(F.lit("concept:"), value),
     ]

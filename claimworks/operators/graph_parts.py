@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import brief, page_source, resolve
 
-_NUMBER = r"\b(LLM-\d{4})\b"
+#: Numbers have four digits, and more beyond 9999.
+_DIGITS = "4,"
+_NUMBER = rf"\b(LLM-\d{{{_DIGITS}}})\b"
 MARKER = r"\[CONTRADICTION[^\]]*\]"
 
 
@@ -77,7 +79,7 @@ def queue_parts(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFram
     rows = _rows(lines).withColumn("task", F.coalesce(F.nullif(_field("task_id"), F.lit("")), F.concat(F.lit("row-"), F.col("line_no").cast("string"))))
     nodes = rows.select(_id("queue-task", F.col("task")).alias("id"), F.lit("queue-task").alias("type"), F.coalesce(F.nullif(_field("action"), F.lit("")), F.col("task")).alias("label"), F.lit("_state/growth-queue.jsonl").alias("path"), _field("reason").alias("summary"), _field("status").alias("status"), F.col("r").alias("metadata"), F.col("line_no").alias("ord"))
     aimed = rows.withColumn("target", _field("target")).where("target <> ''").select("task", "target")
-    hit = resolve(known.select("id").unionByName(nodes.select("id")).distinct(), aimed).where("id is not null").withColumnRenamed("id", "to")
+    hit = resolve(known.select("id").unionByName(nodes.select("id")).distinct(), aimed, _DIGITS).where("id is not null").withColumnRenamed("id", "to")
     return nodes, _edge(aimed.join(hit, "target"), _id("queue-task", F.col("task")), F.col("to"), "related-to", "queue target", 0.5)
 
 

@@ -79,6 +79,16 @@ def test_state_rows(spark):
     assert {(r.source, r.target) for r in edges.collect()} == {("source:S", "raw:raw/a.pdf"), ("source:T", "raw:https://x")}
 
 
+def test_numbers_beyond_four_digits(spark):
+    rows = [("qa-reports/LLM-12345.md", "# r\nfine"), ("qa-reports/LLM-12345-contradiction.md", "none"), ("qa-reports/LLM-123.md", "short")]
+    nodes, edges = graph_parts.report_parts(spark.createDataFrame(rows, "relpath string, text string"))
+    assert {r.id: r.label for r in nodes.collect()} == {"qa-report:LLM-12345": "QA report: LLM-12345", "contradiction:LLM-12345": "Contradiction report: LLM-12345", "qa-report:LLM-123": "LLM-123"}
+    assert {(r.source, r.target) for r in edges.collect()} == {("source:LLM-12345", "qa-report:LLM-12345"), ("source:LLM-12345", "contradiction:LLM-12345")}
+    queue = spark.createDataFrame([(1, json.dumps({"task_id": "t", "target": "LLM-12345"})), (2, json.dumps({"task_id": "u", "target": "sources/x LLM-12345.md"}))], "line_no long, value string")
+    _, edges = graph_parts.queue_parts(queue, spark.createDataFrame([("source:LLM-12345",)], "id string"))
+    assert {(r.source, r.target) for r in edges.collect()} == {("queue-task:t", "source:LLM-12345"), ("queue-task:u", "source:LLM-12345")}
+
+
 def _graph(spark, n=300):
     nodes = spark.range(n).select(F.concat(F.lit("claim:"), F.col("id").cast("string")).alias("id"), F.when(F.col("id") % 3 == 0, "source").otherwise("claim").alias("type"), F.lit('quo"te\né').alias("label"))
     edges = spark.range(n).select(F.md5(F.col("id").cast("string").cast("binary")).alias("id"), F.lit("cites").alias("type"), (F.col("id") % 7).cast("string").alias("source"), (F.col("id") % 11).cast("string").alias("target"))
