@@ -24,10 +24,15 @@ def squeeze(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-def lines(x: Column) -> Column:
-    """The lines of a text, without a last empty one."""
-    parts = F.split(x, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+def lines(x: Column, most: int | None = None) -> Column:
+    """The lines of a text, without a last empty one; the first `most` of them, if told: what follows them is not split."""
+
+    def ended(s: Column) -> Column:
+        n = F.size(s["parts"])
+        whole = F.when(F.element_at(s["parts"], -1) == "", n - 1).otherwise(n)
+        return F.slice(s["parts"], 1, whole if most is None else F.least(whole, F.lit(most)))
+
+    return let(ended, parts=F.split(x, LINE_END, -1 if most is None else most + 1))
 
 
 def clean_line(x: Column) -> Column:

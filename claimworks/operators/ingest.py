@@ -9,18 +9,26 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import text as X, vocab as V
 
 
+#: Lines in which a title is looked for.
+TITLE_LINES = 80
+
+
 def _generic(title: Column) -> Column:
-    key = X.title_key(title)
-    return (key == "") | key.rlike(r"^page \d+$") | key.isin(V.GENERIC_TITLES)
+    # No such title has more than 12 letters, so the key of a longer line is never needed.
+    short = ~title.rlike(r"(?:[A-Za-z][^A-Za-z]*+){13}")
+    return short & X.let(lambda s: (s["key"] == "") | s["key"].isin(V.GENERIC_TITLES) | s["key"].rlike(r"^page \d+$"), key=X.title_key(title))
 
 
 def title(lines: Column, fallback: Column) -> Column:
-    """The first telling heading of the first 80 lines, else their first telling line that is no address, else the fallback."""
-    head = F.transform(F.slice(lines, 1, 80), lambda x: F.struct(F.trim(x).startswith("#").alias("heading"), X.clean_line(x).alias("text")))
-    telling = F.filter(head, lambda x: (F.length(x["text"]) > 4) & ~_generic(x["text"]))
-    headings = F.filter(telling, lambda x: x["heading"])
-    prose = F.filter(telling, lambda x: (F.length(x["text"]) > 12) & ~x["text"].rlike("^https?://"))
-    return F.coalesce(F.get(headings, F.lit(0))["text"], F.get(prose, F.lit(0))["text"], fallback)
+    """The first telling heading of the first TITLE_LINES lines, else their first telling line that is no address, else the fallback."""
+
+    def telling(s: Column) -> Column:
+        n = F.length(s["text"])
+        return (n > 4) & (s["heading"] | ((n > 12) & ~s["text"].rlike("^https?://"))) & ~_generic(s["text"])
+
+    head = F.transform(F.slice(lines, 1, TITLE_LINES), lambda x: F.struct(F.trim(x).startswith("#").alias("heading"), X.clean_line(x).alias("text")))
+    first = lambda s: F.coalesce(F.get(F.filter(s["told"], lambda x: x["heading"]), F.lit(0))["text"], F.get(s["told"], F.lit(0))["text"], fallback)
+    return X.let(first, told=F.filter(head, telling))
 
 
 def abstract(lines: Column, most: int = 1600) -> Column:
@@ -68,9 +76,13 @@ def concepts(tags_: Column, title_: Column, abstract_: Column, known: dict[str,
 
 def metric_value(line: Column) -> Column:
     """The metric value of a line: a number with a unit in words or %, else a compact one (7B) in a context that speaks of metrics; empty if none."""
-    explicit, compact = F.regexp_extract(line, V.EXPLICIT_METRIC, 0), F.regexp_extract(line, V.COMPACT_METRIC, 0)
-    year = F.trim(compact).rlike("^" + V.CITATION_YEAR + "$")
-    return F.when(explicit != "", explicit).when((compact != "") & ~year & line.rlike(V.METRIC_CONTEXT), compact).otherwise("")
+
+    def compact(s: Column) -> Column:
+        year = F.trim(s["compact"]).rlike("^" + V.CITATION_YEAR + "$")
+        return F.when((s["compact"] != "") & ~year & line.rlike(V.METRIC_CONTEXT), s["compact"]).otherwise("")
+
+    explicit = lambda s: F.when(s["explicit"] != "", s["explicit"]).otherwise(X.let(compact, compact=F.regexp_extract(line, V.COMPACT_METRIC, 0)))
+    return X.let(explicit, explicit=F.regexp_extract(line, V.EXPLICIT_METRIC, 0))
 
 
 def low_signal(line: Column) -> Column:
@@ -81,15 +93,23 @@ def low_signal(line: Column) -> Column:
 
 def evidence_rows(lines: DataFrame, key: str, most: int = 4, fallback: int = 2) -> DataFrame:
     """(key, line_no, line) -> (key, line_no, line, value): the first lines with a metric value of each document; of a document
-    without any, the first long lines among its first 140."""
-    clean = lines.select(key, "line_no", X.clean_line(F.col("line")).alias("line"))
-    line, first = F.col("line"), W.partitionBy(key).orderBy("line_no")
-    sized = clean.where(F.length("line").between(55, 260) & ~F.lower("line").rlike(r"^(figure |table |fig\. )") & ~line.startswith("#"))
-    telling = sized.where(~low_signal(line) & line.rlike(r"\d") & line.rlike(V.EVIDENCE_WORDS)).withColumn("value", metric_value(line)).where("value <> ''")
-    kept = telling.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).drop("_r")
-    long = clean.where((F.col("line_no") <= 140) & (F.length("line") > 70)).join(telling.select(key).distinct(), key, "left_anti")
-    prose = long.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= fallback).select(key, "line_no", F.substring("line", 1, 240).alias("line"), F.lit("qualitative claim").alias("value"))
-    return kept.unionByName(prose)
+    without any, the first long lines among its first 140. Each line is cleaned and judged once; of a document no more
+    rows than are asked for leave a task."""
+
+    def judged(s: Column) -> Column:
+        line = s["line"]
+        sized = F.length(line).between(55, 260) & ~line.startswith("#") & line.rlike(r"\d") & ~F.lower(line).rlike(r"^(figure |table |fig\. )")
+        telling = sized & line.rlike(V.EVIDENCE_WORDS) & ~low_signal(line)
+        return F.struct(line.alias("line"), F.when(telling, metric_value(line)).otherwise("").alias("value"))
+
+    long = lambda s: (F.col("line_no") <= 140) & (F.length(s["line"]) > 70)
+    told = F.filter(F.transform(F.array("line"), lambda x: X.let(judged, line=X.clean_line(x))), lambda s: (s["value"] != "") | long(s))
+    # Cleaning makes no line longer. `explode` keeps the optimizer from judging a line for each use of what was found.
+    rows = lines.where(F.length("line") >= 55).select(key, "line_no", F.explode(told).alias("s")).select(key, "line_no", "s.line", "s.value", (F.col("s.value") == "").alias("_prose"))
+    placed = rows.withColumn("_r", F.row_number().over(W.partitionBy(key, "_prose").orderBy("line_no"))).where(F.col("_r") <= max(most, fallback))
+    placed = placed.where(F.col("_r") <= F.when(F.col("_prose"), fallback).otherwise(most)).withColumn("_none", F.min("_prose").over(W.partitionBy(key)))
+    line, value = F.when(F.col("_prose"), F.substring("line", 1, 240)).otherwise(F.col("line")), F.when(F.col("_prose"), "qualitative claim").otherwise(F.col("value"))
+    return placed.where(F.col("_prose") == F.col("_none")).select(key, "line_no", line.alias("line"), value.alias("value"))
 
 
 def qa_score(n_issues: Column) -> Column:

@@ -268,7 +268,7 @@ t AS (SELECT doc_id, list_filter(c, lambda x, i: g[i] AND length(x) > 4 AND NOT
 SELECT doc_id, coalesce(a[1], b[1], 'untitled') AS title FROM t""")
 def ingest_titles(s, sf):
     docs = B.table(s, sf, "documents").where("text is not null")
-    return docs.select("doc_id", ingest.title(X.lines(F.col("text")), F.lit("untitled")).alias("title"))
+    return docs.select("doc_id", ingest.title(X.lines(F.col("text"), ingest.TITLE_LINES), F.lit("untitled")).alias("title"))
 
 
 _KNOWN = {"attention-mechanisms": "Attention", "training-data": "Training Data", "llm-research": "Research", "memory-architectures": "Memory", "evaluation-benchmarks": "Benchmarks"}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimworks.functions import metrics as M, text as X
-from claimworks.operators import claims as claim_ops, conflicts, graph, lint, registry as reg, review, status, verify, workqueue
+from claimworks.operators import claims as claim_ops, conflicts, graph, ingest, lint, registry as reg, review, status, verify, workqueue
 from claimworks.sources import sinks, store
 
 PAGE = """---
@@ -270,3 +270,30 @@ def test_many_header_lines(spark):
     text = "---\n" + "\n".join(f"k{i % 700}: v{i}" for i in range(2000)) + "\n---\nbody"
     head = spark.createDataFrame([(text,)], "t string").select(store.header(F.col("t")).alias("h")).first().h
     assert head == {f"k{i}": f"v{max(n for n in range(i, 2000, 700))}" for i in range(700)}
+
+
+def test_first_lines_and_titles(spark):
+    texts = ["", "\n", "a", "a\n", "a\nb", "a\nb\n", "a\r\nb\r\nc", "a\n\n", "\n\n\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", X.lines(F.col("t")).alias("all"), X.lines(F.col("t"), 2).alias("two")).collect():
+        assert r.two == (None if r.t is None else r.all[:2]) and r.all == (None if r.t is None else r.t.splitlines())
+    rows = {"Introduction\nPAGE 123456789012345\n# abs\nhttps://x.yz/abcdef\nThe first telling line": "The first telling line", "A long line of prose\n## Contents\n# The one": "The one", "-- __ --\n# __Keywords__\nshort one": "untitled", "\n" * 79 + "# in time": "in time", "\n" * 80 + "# too late": "untitled", "p. a. g. e. 1234567 !!!": "p. a. g. e. 1234567 !!!", None: "untitled"}
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert {r.t: r.x for r in df.select("t", ingest.title(X.lines(F.col("t"), ingest.TITLE_LINES), F.lit("untitled")).alias("x")).collect()} == rows
+
+
+def test_evidence_of_each_document(spark):
+    metric = "The model reaches {} tokens of accuracy on the held out benchmark of the year"
+    plain = "A line of more than seventy characters that has no number in it at all, nor any other sign"
+    lines = [("m", 1, plain)] + [("m", n, metric.format(n)) for n in range(2, 9)] + [("p", n, "<i>" + plain + "</i>" * (n > 139)) for n in range(138, 144)] + [("none", 1, "short")]
+    got = sorted((r.k, r.line_no, r.value) for r in ingest.evidence_rows(spark.createDataFrame(lines, "k string, line_no int, line string"), "k").collect())
+    assert got == [*[("m", n, f"{n} tokens") for n in range(2, 6)], ("p", 138, "qualitative claim"), ("p", 139, "qualitative claim")]
+
+
+def test_lines_are_judged_once(spark):
+    """A line was cleaned again for each rule that looks at it, and a text split again for each use of its lines."""
+    df = spark.createDataFrame([("d", "x")], "k string, t string")
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(ingest.evidence_rows(df.select("k", F.lit(1).alias("line_no"), F.col("t").alias("line")), "k")).count("<[^>]+>") == 1
+    titles = plan(df.select(ingest.title(X.lines(F.col("t"), ingest.TITLE_LINES), F.lit("u")).alias("x")))
+    assert titles.count("<[^>]+>") == 1 and titles.count("split(") == 1
