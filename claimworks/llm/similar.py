@@ -1,20 +1,21 @@
 """SimHash near-duplicates at a Jaccard similarity, verified exactly.
 
-Texts whose five-word shingle sets (ASCII letters lower-cased) have a Jaccard similarity of at
-least 0.8 differ in about 10 of the 64 bits of one SimHash, often in 16: no grid of segment
-popcounts selects at that radius. So a text gets `SAMPLES` fingerprints, each the SimHash of a
-min-wise sample of its shingles (the first of each of `DRAWS` random orders). Samples of similar
-texts agree wholly or not at all, so the range join has radius 0:
-
-1. Equal sets are one set, by a 64-bit number of the set.
-2. Each fingerprint is embedded as its segment popcounts (`simhash.embedding`) and enters the grid
-   cell of that point. Texts of similarity s share a cell with probability
+1. Equal sets of shingles are one set, by a 64-bit number of the set.
+2. Each text has its SimHash of five-word shingles; `simhash.links` finds all fingerprints within
+   `simhash.RADIUS` bits: segment popcounts, grid cells by the Manhattan bound, exact comparison. The sets of
+   each component of fingerprints are one cell of step 4.
+3. Texts whose shingle sets (ASCII letters lower-cased) have a Jaccard similarity of at
+   least 0.8 differ in about 10 of the 64 bits, often in 16: no grid of segment
+   popcounts selects at that radius. So a text also gets `SAMPLES` fingerprints, each the SimHash of a
+   min-wise sample of its shingles (the first of each of `DRAWS` random orders). Samples of similar
+   texts agree wholly or not at all, so their radius is 0: each is embedded as its segment popcounts and enters the cell
+   of that point. Texts of similarity s share such a cell with probability
    1 - (1 - s**DRAWS)**SAMPLES: 0.9998 at 0.8, 1 - 3e-6 at 0.85.
-3. Sets of one cell are compared in tasks: pairs that are not linked yet and of which at least half
+4. Sets of one cell are compared in tasks: pairs that are not linked yet and of which at least half
    of the min-wise values agree (at 0.8 all but 1 in 10**8 do) are verified on the whole sets. A
    cell sends a spanning forest of verified links. A cell beyond `CELL` sets or `BYTES` is cut
    into parts, and each pair of parts is a task.
-4. Components of the links are the groups.
+5. Components of the links are the groups.
 
 Shingles are 63-bit numbers; equal numbers are taken for equal shingles. Fewer words than
 `words` make one shingle. Null and empty texts are equal sets. Repeated rows share a component. An
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .blocks import Words, _inverses, _powers, mixed, tidy
 from .common import materialize, ship, without
 from .components import components
-from .simhash import embedding
+from .simhash import embedding, fingerprint, links
 
 WORDS = 5
 #: Similarity as a fraction, so that the bound itself is met exactly.
@@ -112,8 +113,9 @@ def _marked(text: str, rest: list[str], words: int):
                 doc, number = shingles(texts, words)
                 n, sig = _set_numbers(doc, number, len(texts))
                 fps = fingerprints(_minima(doc, number, len(texts)))
-                made = [pa.array(sig), pa.array(n.astype(np.int64)), pa.array(list(fps), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *made], names=[*rest, "sig", "n", "fps"])
+                fp = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+                made = [pa.array(sig), pa.array(n.astype(np.int64)), pa.array(fp), pa.array(list(fps), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *made], names=[*rest, "sig", "n", "fp", "fps"])
 
     return run
 
@@ -195,11 +197,14 @@ def near_duplicates(df: DataFrame, text: str = "text", words: int = WORDS, cell:
     # Inside, columns are numbered, so names of the caller can't clash.
     inner = [f"c{i}" for i in range(len(rest))]
     rows = df.select(*[F.col(c).alias(i) for c, i in zip(rest, inner, strict=True)], F.col(text).alias("text"))
-    schema = T.StructType([*rows.drop("text").schema.fields, *T._parse_datatype_string("sig long, n long, fps array<long>").fields])
+    schema = T.StructType([*rows.drop("text").schema.fields, *T._parse_datatype_string("sig long, n long, fp long, fps array<long>").fields])
     marked = materialize(rows.mapInArrow(_marked("text", inner, words), schema), "similar-marked")
     own = marked.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("fps").alias("fps"))
     points = own.select("sig", "n", F.posexplode("fps").alias("sample", "fp"))
-    dealt = points.select(F.xxhash64("sample", embedding(F.col("fp"))).alias("cell"), "sig", "n")
+    whole = marked.where("n > 0").select("fp", "sig", "n").distinct()
+    near = components(links(whole.select("fp").distinct()), "similar-fingerprints")
+    linked = whole.join(near, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit(-1), F.coalesce("root", "fp")).alias("cell"), "sig", "n").distinct()
+    dealt = points.select(F.xxhash64("sample", embedding(F.col("fp"))).alias("cell"), "sig", "n").unionByName(linked)
     count = dealt.groupBy("cell").agg(F.count("*").alias("count"), F.sum("n").alias("total")).where("count > 1")
     parts = F.greatest(F.ceil(F.col("count") / cell), F.ceil(F.col("total") * 8 / BYTES)).cast("int")
     met = materialize(dealt.join(count.select("cell", parts.alias("parts")), "cell").select("cell", "sig", "parts"), "similar-met")

@@ -4,7 +4,7 @@ Each stage reads all that the one before kept, written as Parquet:
 
 1. language: texts in no language go (no letters at all, or most letters in scripts that no learned
    language uses), mixed ones stay; a missing `lang` becomes the predicted one.
-2. near_duplicates: SimHash of min-wise samples of five-word shingles finds candidates; documents
+2. near_duplicates: SimHash of five-word shingles by the range join of `simhash`, and SimHash of min-wise samples of them, find candidates; documents
    whose shingle sets have a Jaccard similarity of at least 0.8, verified exactly, are linked; of each group of linked documents the one with the least id stays
    (null ids come last). Rows that share an id, or have none, are documents of their own.
 3. repeated_passages: words of passages that an earlier document has are cut out; documents

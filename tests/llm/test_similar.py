@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline as C
 from claimworks.llm import similar
+from claimworks.llm.simhash import fingerprint
 
 
 def _brute(rows):
@@ -87,3 +88,19 @@ def test_samples_meet_as_often_as_stated():
         x, y = similar.fingerprints(similar._minima(doc, number, 2))
         met += bool((x == y).any())
     assert met >= 298
+
+
+def test_the_range_join_of_fingerprints_finds_links_by_itself(spark, monkeypatch):
+    """Min-wise samples that never meet: texts whose SimHash differs in at most three bits are linked all the same."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(6):
+        words = [f"w{rng.randrange(9000)}" for _ in range(3000)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "other"]))]
+    near = [(fingerprint(a[1].encode(), 5) ^ fingerprint(b[1].encode(), 5)).bit_count() <= 3 for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert sum(near) >= 4
+    drawn = np.random.default_rng(3)
+    monkeypatch.setattr(similar, "fingerprints", lambda minima: drawn.integers(-(1 << 62), 1 << 62, (len(minima), similar.SAMPLES)))
+    got = {r.doc_id: r.component for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [got[2 * k] == got[2 * k + 1] for k in range(6)] == near
+    assert len(set(got.values())) == 12 - sum(near)
