@@ -11,12 +11,10 @@
    of images with at least `VOTES` different corners in each that agree is linked.
 5. Links give classes; `class_id` is the least id reachable.
 
-Keys shared by many descriptors: within a key descriptors are sorted by the 64 tests beside it, and
-each meets all others if there are at most `DENSE`, else the `NEAR` that follow: copies stand side by side and are linked through one another, while unlike images that share
-a common corner mostly don't meet there. So a key sends rows in proportion to its descriptors, and a pair of
-copies of different classes may be missed only if no corner of either stands near the other's in any order;
-the README has the recall measured against all pairs. `n_links`, the number of different images that
-an image is linked to, is exact within its class: all images of a class are compared with each other,
+All descriptors that share a key meet, however many they are: a key of more than `CROWD` descriptors is cut into
+parts, and each pair of parts is compared by itself, so no task holds a whole one. Unlike images share common corners, so meetings
+grow with the square of the descriptors of a key. `n_links`, the number of different images that
+an image is linked to, is exact: all images of a class are compared with each other,
 descriptors against descriptors, in tasks of at most BLOCK images a side that return a count for each image.
 
 Images are PGM or PPM (P5, P6, 8 bits) or PNG (8 bits, not interlaced), of at most `PIXELS`
@@ -45,14 +43,15 @@ SCALES = (1.0, 0.7, 0.5)
 POINTS = 32
 TABLES = 8
 VOTES = 4
+#: Keys of at most so many descriptors are compared many at a time, larger ones one by one.
 DENSE = 16
+#: A key of more descriptors is cut into parts of half as many.
+CROWD = 4096
 #: Bins of a vote: half octaves of size, turns of 30 degrees, shifts of SHIFT pixels.
 SHIFT = 12
 RADIUS = 10
 #: Of the 64 tests beside a shared key, so many at most may differ.
 FLIPPED = 16
-#: In a key of more than DENSE descriptors each meets so many that follow.
-NEAR = 4
 #: Images a side of a task that compares images.
 BLOCK = 128
 PIXELS = 1 << 26
@@ -270,23 +269,11 @@ def agreeing(one: tuple[np.ndarray, np.ndarray], owner: np.ndarray, spots: np.nd
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over descriptors sorted by key and the tests beside it: the votes of those that share a key: all of them in a
-    key of at most DENSE, else those at most NEAR places apart."""
-    names = ["key", "id", "spot", "rest"]
+    """Over descriptors sorted by key, part and side: the votes of those that share a key; in a pair of parts (part > 0), of those of different sides."""
+    names = ["key", "part", "side", "id", "spot", "rest"]
     held = {n: np.empty(0, np.int64) for n in names}
-    for batch in batches:
-        old = len(held["key"])  # these have met among themselves
-        c = {n: np.concatenate([held[n], batch.column(n).to_numpy(zero_copy_only=False)]) for n in names}
-        key, left, right = c["key"], [np.empty(0, int)], [np.empty(0, int)]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(edge, len(key)))
-        large = np.repeat(size > DENSE, size)
-        for d in range(1, min(DENSE, len(key))):
-            i = np.flatnonzero(key[d:] == key[:-d])
-            i = i[(i + d >= old) & (~large[i] | (d <= NEAR))]
-            left.append(i)
-            right.append(i + d)
-        left, right = np.concatenate(left), np.concatenate(right)
+
+    def votes(c: dict, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
         near = (c["id"][left] != c["id"][right]) & (np.bitwise_count((c["rest"][left] ^ c["rest"][right]).view(np.uint64)) <= FLIPPED)
         left, right = left[near], right[near]
         turned = c["id"][left] > c["id"][right]
@@ -294,14 +281,52 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(left):
             change = _change(c["spot"][left], c["spot"][right])
             yield pa.RecordBatch.from_arrays([pa.array(c["id"][left]), pa.array(c["id"][right]), pa.array(change)], names=["a", "b", "change"])
-        last = max(int(np.searchsorted(key, key[-1])), len(key) - DENSE + 1)
+
+    def met(c: dict, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole cells that begin at `edge`."""
+        n = len(c["key"])
+        size = np.diff(np.append(edge, n))
+        cell, small = np.repeat(np.arange(len(edge)), size), np.repeat(size <= DENSE, size)
+        for d in range(1, min(DENSE, n)):
+            i = np.flatnonzero((cell[d:] == cell[:-d]) & small[d:])
+            yield from votes(c, *(x[(c["part"][i] <= 0) | (c["side"][i] != c["side"][i + d])] for x in (i, i + d)))
+        for at in np.flatnonzero(size > DENSE).tolist():
+            first, end = int(edge[at]), int(edge[at] + size[at])
+            rest, middle = c["rest"][first:end].view(np.uint64), None
+            if c["part"][first] > 0:
+                middle = int(np.searchsorted(c["side"][first:end], 1))
+            for begin in range(0, end - first if middle is None else middle, 256):
+                rows = rest[begin : begin + 256] if middle is None else rest[begin : min(begin + 256, middle)]
+                other = begin if middle is None else middle
+                i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ rest[None, other:]) <= FLIPPED)
+                i, j = i + begin, j + other
+                use = i < j
+                yield from votes(c, i[use] + first, j[use] + first)
+
+    for batch in batches:
+        c = {n: np.concatenate([held[n], batch.column(n).to_numpy(zero_copy_only=False)]) for n in names}
+        new = (c["key"][1:] != c["key"][:-1]) | (c["part"][1:] != c["part"][:-1])
+        edge = np.flatnonzero(np.concatenate([[True], new]))
+        last = int(edge[-1])
+        if last:
+            yield from met({n: v[:last] for n, v in c.items()}, edge[:-1])
         held = {n: v[last:] for n, v in c.items()}
+    if len(held["key"]):
+        yield from met(held, np.zeros(1, int))
 
 
 def links(images: DataFrame, votes: int = VOTES) -> DataFrame:
     """(id, packed descriptors) of distinct images -> linked pairs (a, b, votes)."""
     found = images.select("id", "packed").mapInArrow(_descriptors, "key long, id long, spot long, rest long")
-    dealt = found.repartition("key").sortWithinPartitions("key", "rest", "id", "spot")
+    count = found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    crowded = materialize(count.select("key", F.ceil(F.col("n") / (CROWD // 2)).cast("int").alias("parts")), "media-crowded")
+    whole = found.join(crowded, "key", "left_anti").withColumn("part", F.lit(0).cast("long")).withColumn("side", F.lit(0).cast("long"))
+    block = found.join(crowded, "key").withColumn("k", F.pmod(F.xxhash64("id", "spot"), F.col("parts")).cast("int"))
+    paired = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = F.when(F.col("k") == F.col("o"), -1 - F.col("k").cast("long")).otherwise(F.least("k", "o").cast("long") * F.col("parts") + F.greatest("k", "o"))
+    cut = paired.withColumn("part", part).withColumn("side", (F.col("k") > F.col("o")).cast("long"))
+    columns = ["key", "part", "side", "id", "spot", "rest"]
+    dealt = whole.select(columns).unionByName(cut.select(columns)).repartition("key", "part").sortWithinPartitions("key", "part", "side", "id", "spot")
     cast = dealt.mapInArrow(_meet, "a long, b long, change long")
     # One shuffle by the pair serves both groupings. Two grids of shifts, so neighbours across an edge agree in one;
     # a corner counts once for each change, as a bit of the mask.

@@ -98,3 +98,20 @@ def test_classes_and_links_against_all_pairs(spark, monkeypatch):
     own = [i for i in found if i % 9 == 0]
     want = {(i, j) for i in own for j in own if i < j and len(M.agreeing(found[i], np.zeros(len(found[j][0]), int), *found[j]))}
     assert {(r.a, r.b) for r in pairs.collect()} == want
+
+
+@pytest.mark.parametrize("crowd", [20, 4096])
+def test_keys_of_many_descriptors_lose_no_link(spark, monkeypatch, crowd):
+    """Unlike images that share a mark: most keys of its corners are held by all of them."""
+    rng, mark, images = np.random.default_rng(1), _scene(50, 60), []
+    for k in range(36):
+        b = _scene(60 + k // 2, 110) * (1 - 0.1 * (k % 2)) + rng.normal(0, 3, (110, 110))
+        b[20:80, 20:80] = mark + rng.normal(0, 3, (60, 60))
+        images.append((k, _pgm(b)))
+    described = M.described(spark.createDataFrame(images, "id long, image binary"))
+    found = {r.id: M._unpacked(r.packed) for r in described.collect()}
+    want = {(i, j) for i in found for j in found if i < j and len(M.agreeing(found[i], np.zeros(len(found[j][0]), int), *found[j]))}
+    keys = Counter((t, int(k)) for _, rows in found.values() for row in rows for t, k in enumerate(row))
+    assert max(keys.values()) > M.DENSE
+    monkeypatch.setattr(M, "CROWD", crowd)
+    assert {(r.a, r.b) for r in M.links(described).collect()} == want
