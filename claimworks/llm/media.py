@@ -7,13 +7,15 @@
 3. Hamming-table join: the tests are cut into `TABLES` keys of 32 bits; descriptors that
    share a key meet. Two descriptors within TABLES - 1 flipped tests always share one.
    Of those that meet, only pairs with at most FLIPPED of the next 64 tests different vote.
+   Images are dealt into parts, and each pair of parts is joined in a task of its own, where the votes of
+   a pair of images are counted at once: links leave a task, votes don't.
 4. Geometric consensus: each meeting votes for a change of size, a turn and a shift; a pair
    of images with at least `VOTES` different corners in each that agree is linked.
 5. Links give classes; `class_id` is the least id reachable.
 
-All descriptors that share a key meet, however many they are: a key of more than `CROWD` descriptors is cut into
-parts, and each pair of parts is compared by itself, so no task holds a whole one. Unlike images share common corners, so meetings
-grow with the square of the descriptors of a key. `n_links`, the number of different images that
+All descriptors that share a key meet, however many they are. Unlike images share common corners, so meetings
+grow with the square of the descriptors of a key; a task holds `MEETINGS` of them at a time, and `ROUND` bounds what is shuffled at once,
+so memory is bounded and disk grows with the images. `n_links`, the number of different images that
 an image is linked to, is exact: all images of a class are compared with each other,
 descriptors against descriptors, in tasks of at most BLOCK images a side that return a count for each image.
 
@@ -29,13 +31,16 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import materialize, read, ship
+from .blocks import tidy
+from .common import materialize, read, ship, write_table
 from .components import components
 
 SCALES = (1.0, 0.7, 0.5)
@@ -43,10 +48,16 @@ SCALES = (1.0, 0.7, 0.5)
 POINTS = 32
 TABLES = 8
 VOTES = 4
-#: Keys of at most so many descriptors are compared many at a time, larger ones one by one.
+#: A key of more descriptors counts as common; its meetings count as others do.
 DENSE = 16
-#: A key of more descriptors is cut into parts of half as many.
-CROWD = 4096
+#: Images of a part, on average: a task compares two parts.
+CROWD = 8192
+#: Few images are cut into so many parts.
+SPREAD = 4
+#: Parts whose comparisons are made in one job: a job shuffles each image at most twice as often.
+ROUND = 8
+#: Meetings that a task holds at a time.
+MEETINGS = 1 << 21
 #: Bins of a vote: half octaves of size, turns of 30 degrees, shifts of SHIFT pixels.
 SHIFT = 12
 RADIUS = 10
@@ -216,20 +227,6 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sums, pa.string()), pa.array(packed, pa.binary())], names=["id", "sum", "packed"])
 
 
-def _descriptors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, packed) -> a row for each corner and table: the key, the corner's place in one number, and the next two keys' 64 bits."""
-    for batch in batches:
-        rows = []
-        for image, data in zip(batch.column("id").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-            spot, keys = _unpacked(data)
-            n = len(spot)
-            key = np.arange(TABLES, dtype=np.int64)[None] << 32 | keys.astype(np.int64)
-            rest = _beside(keys).view(np.int64)
-            rows.append((key.reshape(-1), np.full(n * TABLES, image), np.repeat(spot, TABLES), rest.reshape(-1)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows])) for i in range(4)], names=["key", "id", "spot", "rest"])
-
-
 def _change(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The vote of each meeting, in one number: shift, turn and size from the left corner to the right one, and both corners."""
     (x, y, size, turns), (x2, y2, size2, turns2) = (((s >> 32).astype(float), (s >> 16 & 0xFFFF).astype(float), 1 / np.array(SCALES)[s >> 12 & 15], s >> 8 & 15) for s in (left, right))
@@ -268,76 +265,140 @@ def agreeing(one: tuple[np.ndarray, np.ndarray], owner: np.ndarray, spots: np.nd
     return np.unique(np.concatenate(found))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over descriptors sorted by key, part and side: the votes of those that share a key; in a pair of parts (part > 0), of those of different sides."""
-    names = ["key", "part", "side", "id", "spot", "rest"]
-    held = {n: np.empty(0, np.int64) for n in names}
-
-    def votes(c: dict, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-        near = (c["id"][left] != c["id"][right]) & (np.bitwise_count((c["rest"][left] ^ c["rest"][right]).view(np.uint64)) <= FLIPPED)
-        left, right = left[near], right[near]
-        turned = c["id"][left] > c["id"][right]
-        left, right = np.where(turned, right, left), np.where(turned, left, right)
-        if len(left):
-            change = _change(c["spot"][left], c["spot"][right])
-            yield pa.RecordBatch.from_arrays([pa.array(c["id"][left]), pa.array(c["id"][right]), pa.array(change)], names=["a", "b", "change"])
-
-    def met(c: dict, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Of whole cells that begin at `edge`."""
-        n = len(c["key"])
-        size = np.diff(np.append(edge, n))
-        cell, small = np.repeat(np.arange(len(edge)), size), np.repeat(size <= DENSE, size)
-        for d in range(1, min(DENSE, n)):
-            i = np.flatnonzero((cell[d:] == cell[:-d]) & small[d:])
-            yield from votes(c, *(x[(c["part"][i] <= 0) | (c["side"][i] != c["side"][i + d])] for x in (i, i + d)))
-        for at in np.flatnonzero(size > DENSE).tolist():
-            first, end = int(edge[at]), int(edge[at] + size[at])
-            rest, middle = c["rest"][first:end].view(np.uint64), None
-            if c["part"][first] > 0:
-                middle = int(np.searchsorted(c["side"][first:end], 1))
-            for begin in range(0, end - first if middle is None else middle, 256):
-                rows = rest[begin : begin + 256] if middle is None else rest[begin : min(begin + 256, middle)]
-                other = begin if middle is None else middle
-                i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ rest[None, other:]) <= FLIPPED)
-                i, j = i + begin, j + other
-                use = i < j
-                yield from votes(c, i[use] + first, j[use] + first)
+@dataclass
+class Side:
+    """The corners of some images, sorted by image: ids, and of each corner the image's place, its spot, its keys and the 64 tests beside each."""
 
-    for batch in batches:
-        c = {n: np.concatenate([held[n], batch.column(n).to_numpy(zero_copy_only=False)]) for n in names}
-        new = (c["key"][1:] != c["key"][:-1]) | (c["part"][1:] != c["part"][:-1])
-        edge = np.flatnonzero(np.concatenate([[True], new]))
-        last = int(edge[-1])
-        if last:
-            yield from met({n: v[:last] for n, v in c.items()}, edge[:-1])
-        held = {n: v[last:] for n, v in c.items()}
-    if len(held["key"]):
-        yield from met(held, np.zeros(1, int))
-
-
-def links(images: DataFrame, votes: int = VOTES) -> DataFrame:
-    """(id, packed descriptors) of distinct images -> linked pairs (a, b, votes)."""
-    found = images.select("id", "packed").mapInArrow(_descriptors, "key long, id long, spot long, rest long")
-    count = found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
-    crowded = materialize(count.select("key", F.ceil(F.col("n") / (CROWD // 2)).cast("int").alias("parts")), "media-crowded")
-    whole = found.join(crowded, "key", "left_anti").withColumn("part", F.lit(0).cast("long")).withColumn("side", F.lit(0).cast("long"))
-    block = found.join(crowded, "key").withColumn("k", F.pmod(F.xxhash64("id", "spot"), F.col("parts")).cast("int"))
-    paired = block.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    part = F.when(F.col("k") == F.col("o"), -1 - F.col("k").cast("long")).otherwise(F.least("k", "o").cast("long") * F.col("parts") + F.greatest("k", "o"))
-    cut = paired.withColumn("part", part).withColumn("side", (F.col("k") > F.col("o")).cast("long"))
-    columns = ["key", "part", "side", "id", "spot", "rest"]
-    dealt = whole.select(columns).unionByName(cut.select(columns)).repartition("key", "part").sortWithinPartitions("key", "part", "side", "id", "spot")
-    cast = dealt.mapInArrow(_meet, "a long, b long, change long")
-    # One shuffle by the pair serves both groupings. Two grids of shifts, so neighbours across an edge agree in one;
-    # a corner counts once for each change, as a bit of the mask.
-    corners = [F.expr(f"shiftleft(1L, cast(shiftright(change, {at}) & 63 as int))").alias(name) for name, at in (("left", 0), ("right", 45))]
-    bins = F.expr(
-        "inline(transform(array(0, 1), half -> named_struct('half', half, 'turn', shiftright(change, 6) & 511, "
-        "'x', shiftright((shiftright(change, 30) & 32767) + half, 1), 'y', shiftright((shiftright(change, 15) & 32767) + half, 1))))"
-    )
-    bins = cast.repartition("a", "b").select("a", "b", *corners, bins)
-    counted = bins.groupBy("a", "b", "half", "turn", "x", "y").agg(F.least(F.bit_count(F.bit_or("left")), F.bit_count(F.bit_or("right"))).alias("n"))
-    return counted.where(F.col("n") >= votes).groupBy("a", "b").agg(F.max("n").cast("long").alias("votes"))
+    ids: np.ndarray
+    owner: np.ndarray
+    spots: np.ndarray
+    keys: np.ndarray
+    rest: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, packed: list[bytes]) -> Side:
+        images = [_unpacked(x) for x in packed]
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x[0]) for x in images])
+        keys = np.concatenate([x[1] for x in images])
+        return cls(ids, owner, np.concatenate([x[0] for x in images]), keys, _beside(keys))
+
+    def cut(self, first: int, end: int) -> Side:
+        a, b = np.searchsorted(self.owner, [first, end]).tolist()
+        return Side(self.ids[first:end], self.owner[a:b] - first, self.spots[a:b], self.keys[a:b], self.rest[a:b])
+
+    def codes(self) -> np.ndarray:
+        return (np.arange(TABLES, dtype=np.int64)[None] << 32 | self.keys.astype(np.int64)).reshape(-1)
+
+
+def _most(pair: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Of each pair (numbered from 0), the most corners that agree on one change. Two grids of shifts, so neighbours across an edge agree in one."""
+    most = np.zeros(int(pair.max()) + 1, np.int64)
+    for half in (0, 1):
+        code = ((pair << 9 | change >> 6 & 511) << 15 | ((change >> 30 & 0x7FFF) + half) >> 1) << 15 | ((change >> 15 & 0x7FFF) + half) >> 1
+        bins, own = np.unique(code, return_inverse=True)
+        n = [np.bincount(np.unique(own.reshape(-1) << 6 | corner) >> 6, minlength=len(bins)) for corner in (change & 63, change >> 45)]
+        np.maximum.at(most, bins >> 39, np.minimum(*n))
+    return most
+
+
+def _between(left: Side, right: Side, own: bool, votes: int, meetings: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The linked pairs (a, b, votes) of images of two sides, or of one (own: `right` is `left` or a piece of it). Some `meetings` are
+    held at a time: the left side is cut into runs of images, and for an image that meets more by itself the right side into halves."""
+    asked, given = left.codes(), right.codes()
+    order = np.argsort(given, kind="stable")
+    given, rest, corner = given[order], right.rest.reshape(-1)[order], (order // TABLES).astype(np.int32)
+    by_key = np.argsort(asked, kind="stable")
+    low, count = np.empty(len(asked), np.int64), np.empty(len(asked), np.int64)
+    low[by_key] = np.searchsorted(given, asked[by_key])
+    count[by_key] = np.searchsorted(given, asked[by_key], "right")
+    count -= low
+    n, width = len(left.ids), len(right.ids)
+    entry = np.searchsorted(left.owner, np.arange(n + 1)) * TABLES
+    total = np.concatenate([[0], np.cumsum(count)])[entry]
+    at = 0
+    while at < n:
+        end = min(n, at + max(1, (1 << 22) // width), max(at + 1, int(np.searchsorted(total, total[at] + meetings, "right")) - 1))
+        if total[end] - total[at] > meetings and width > 1:
+            for first, last in ((0, width // 2), (width // 2, width)):
+                yield from _between(left.cut(at, end), right.cut(first, last), own, votes, meetings)
+            at = end
+            continue
+        one = np.repeat(np.arange(entry[at], entry[end], dtype=np.int32), count[entry[at] : entry[end]])
+        two = np.arange(len(one)) + np.repeat((low - (np.cumsum(count) - count))[entry[at] : entry[end]] + total[at], count[entry[at] : entry[end]])
+        near = np.bitwise_count(left.rest.reshape(-1)[one] ^ rest[two]) <= FLIPPED
+        one, two = one[near] // TABLES, corner[two[near]]
+        a, b = left.owner[one], right.owner[two]
+        if own:
+            use = left.ids[a] < right.ids[b]
+            one, two, a, b = one[use], two[use], a[use], b[use]
+        pair = (a.astype(np.int64) - at) * width + b
+        use = np.bincount(pair, minlength=1)[pair] >= votes  # fewer meetings than corners that a link needs
+        one, two = one[use], two[use]
+        pairs, pair = np.unique(pair[use], return_inverse=True)
+        if len(pairs):
+            turned = (left.ids[at + pairs // width] > right.ids[pairs % width])[pair]
+            spots = left.spots[one], right.spots[two]
+            most = _most(pair, _change(np.where(turned, spots[1], spots[0]), np.where(turned, spots[0], spots[1])))
+            good = most >= votes
+            ends = left.ids[at + pairs[good] // width], right.ids[pairs[good] % width]
+            yield np.minimum(*ends), np.maximum(*ends), most[good]
+        at = end
+
+
+def _forest(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of linked pairs, those that join what the pairs before them left apart."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for links in found:
+        use = []
+        for i, (a, b) in enumerate(zip(links[0].tolist(), links[1].tolist(), strict=True)):
+            a, b = top(a), top(b)
+            if a != b:
+                root[b] = a
+                use.append(i)
+        yield tuple(x[use] for x in links)
+
+
+def _linked(votes: int, meetings: int, forest: bool):
+    """Over the rows (i, j, part, id, packed) of two parts of the images (of one, if i = j): linked pairs between them."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        tidy()
+        table = table.sort_by("id")
+        sides = []
+        for k in dict.fromkeys(x.as_py() for x in key):
+            own = table.filter(pc.equal(table.column("part"), k))
+            if own.num_rows:
+                sides.append(Side.of(own.column("id").to_numpy(), own.column("packed").to_pylist()))
+        own = key[0].as_py() == key[1].as_py()
+        found = _between(sides[0], sides[-1], own, votes, meetings) if own or len(sides) > 1 else iter(())
+        rows = [(np.empty(0, np.int64),) * 3, *(_forest(found) if forest else found)]
+        return pa.table({name: np.concatenate([r[i] for r in rows]) for i, name in enumerate(("a", "b", "votes"))})
+
+    return run
+
+
+def links(images: DataFrame, votes: int = VOTES, forest: bool = False) -> DataFrame:
+    """(id, packed descriptors) of distinct images -> linked pairs (a, b, votes); with `forest`, of each task only those that join images
+    which the task has not joined yet."""
+    spark = images.sparkSession
+    n = images.count()
+    parts = max(-(-n // CROWD), min(SPREAD, -(-n // 512)), 1)
+    block = images.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "packed")
+    schema, out = "a long, b long, votes long", []
+    for first in range(0, parts, ROUND):
+        last = min(first + ROUND, parts)
+        # The pairs (i, j) of this round have i in it and j >= i: a part of the round meets all parts from the first on, later parts the round's.
+        met = block.where(F.col("part") >= first).withColumn("o", F.explode(F.sequence(F.lit(first), F.when(F.col("part") < last, parts - 1).otherwise(last - 1))))
+        paired = met.select(F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "id", "packed")
+        dealt = paired.repartition(2 * (last - first) * (parts - first), "i", "j")
+        out.append(write_table(dealt.groupBy("i", "j").applyInArrow(_linked(votes, MEETINGS, forest), schema), "media-pairs"))
+    return spark.read.schema(schema).parquet(*out)
 
 
 def described(rows: DataFrame) -> DataFrame:
@@ -383,7 +444,7 @@ def degrees(members: DataFrame, images: DataFrame, votes: int = VOTES) -> DataFr
 
 def classes(images: DataFrame, votes: int = VOTES) -> DataFrame:
     """(id, packed) of distinct images -> (id, class): the least id that links reach."""
-    found = materialize(links(images, votes).select("a", "b"), "media-links")
+    found = links(images, votes, forest=True).select("a", "b")
     rooted = components(found, "media-components")
     return images.select("id").join(rooted, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("class"))
 

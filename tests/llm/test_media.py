@@ -115,3 +115,47 @@ def test_keys_of_many_descriptors_lose_no_link(spark, monkeypatch, crowd):
     assert max(keys.values()) > M.DENSE
     monkeypatch.setattr(M, "CROWD", crowd)
     assert {(r.a, r.b) for r in M.links(described).collect()} == want
+
+
+def _marked(n):
+    """Unlike images that share a mark, described."""
+    rng, mark, images = np.random.default_rng(2), _scene(50, 60), []
+    for k in range(n):
+        b = _scene(100 + k, 110)
+        b[20:80, 20:80] = mark + rng.normal(0, 3, (60, 60))
+        images.append((7 * k, _pgm(b)))
+    return images
+
+
+def _shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_votes_stay_in_their_task(spark):
+    """What is shuffled grows with the images, not with the meetings of their common corners."""
+    described = M.described(spark.createDataFrame(_marked(60), "id long, image binary"))
+    size = described.agg(F.sum(F.octet_length("packed"))).first()[0]
+    before = _shuffled(spark)
+    assert M.links(described).count() > 60
+    assert _shuffled(spark) - before < 3 * size
+
+
+def test_parts_rounds_and_runs_lose_no_link(spark, monkeypatch):
+    described = M.described(spark.createDataFrame(_marked(30), "id long, image binary"))
+    found = {r.id: M._unpacked(r.packed) for r in described.collect()}
+    want = {(i, j) for i in found for j in found if i < j and len(M.agreeing(found[i], np.zeros(len(found[j][0]), int), *found[j]))}
+    for name, value in (("CROWD", 5), ("ROUND", 4), ("MEETINGS", 40)):
+        monkeypatch.setattr(M, name, value)
+    rows = M.links(described).collect()
+    assert {(r.a, r.b) for r in rows} == want and len(rows) == len(want) and min(r.votes for r in rows) >= M.VOTES
+    tree = {(r.a, r.b) for r in M.links(described, forest=True).collect()}
+
+    def groups(pairs):
+        root = {i: i for i in found}
+        for a, b in pairs:
+            root = {x: root[a] if y == root[b] else y for x, y in root.items()}
+        return {frozenset(x for x in found if root[x] == r) for r in root.values()}
+
+    assert tree <= want and groups(tree) == groups(want)
